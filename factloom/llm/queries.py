@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixture, simhash
+from . import bpe, exact_dedup, html_text, mixture, simhash, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": html_text.op1,
+    "op4_url_filter": url_filter.op4,
+    "op5_toxicity": toxicity.op5,
     "op6_source_mixture": mixture.op6,
     "op7_exact_dedup": exact_dedup.op7,
     "op9_byte_bpe": bpe.op9,
@@ -16,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op4_url_filter": url_filter.OP4_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
