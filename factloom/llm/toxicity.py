@@ -37,14 +37,14 @@ from pyspark.sql import functions as F
 from .common import table, workers_import_us
 
 #: Most labelled rows that the fit reads.
-FIT_ROWS = 12_000
+FIT_ROWS = 9000
 HOLD_OUT = 1
 THRESHOLD = 0.7
 MARK = 0.5
 PREFIXES = (4, 5, 6, 7)
 #: Least documents, and share of them toxic, for a feature to mark tokens.
 LEAST_DOCS = 3
-LEAST_SHARE = 0.6
+LEAST_SHARE = 0.75
 MAX_FEATURES = 20_000
 WINDOW = 5
 
@@ -236,7 +236,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     return model
 
 
-def _ascend(windows: Counter, n: int, rounds: int = 100, rate: float = 0.15, decay: float = 1e-3):
+def _ascend(windows: Counter, n: int, rounds: int = 60, rate: float = 0.15, decay: float = 1e-3):
     """Fits emissions, transitions, start and bias of the two-state chain by Adam on the mean conditional log-likelihood."""
     size, length = len(windows), 2 * WINDOW + 1
     times = np.array(list(windows.values()), dtype=float)
