@@ -6,19 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, mixture, simhash, toxicity, url_filter
+from . import bpe, chat, exact_dedup, html_text, mixture, pii, quality_rules, simhash, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": html_text.op1,
+    "op2_chat_format": chat.op2,
+    "op3_pii_feistel": pii.op3,
     "op4_url_filter": url_filter.op4,
     "op5_toxicity": toxicity.op5,
     "op6_source_mixture": mixture.op6,
     "op7_exact_dedup": exact_dedup.op7,
+    "op8_quality_rules": quality_rules.op8,
     "op9_byte_bpe": bpe.op9,
     "op10_simhash": simhash.op10,
 }
 
 SQL: dict[str, str] = {
+    "op2_chat_format": chat.OP2_SQL,
     "op4_url_filter": url_filter.OP4_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
