@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import table, workers_import_us
 
 #: Most labelled rows that the fit reads.
-FIT_ROWS = 9000
+FIT_ROWS = 6000
 HOLD_OUT = 1
 THRESHOLD = 0.7
 MARK = 0.5
