@@ -30,7 +30,7 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +49,7 @@ MAX_FEATURES = 20_000
 WINDOW = 5
 
 _WORDS = re.compile(r"[^\W\d_]+")
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 100_000
 
 
 def held_out(id_col: Column) -> Column:
@@ -329,16 +329,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def scored(text: Column, model: Model) -> Column:
     """A column struct(score, spans) for a text column."""
 
-    @F.pandas_udf("score double, spans array<struct<start:int,end:int>>")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("struct<score:double,spans:array<struct<start:int,end:int>>>")
+    def run(texts: pa.Array) -> pa.Array:
         tagger = Tagger(model)
         scores, spans = [], []
-        for t in texts:
-            t = t or ""
-            found = tagger.marginals(words_of(t))
-            scores.append(tagger.score(found))
-            spans.append(tagger.spans(t, found))
-        return pd.DataFrame({"score": scores, "spans": spans})
+        for at in range(0, len(texts), 256):  # so few texts are Python strings at a time
+            for t in texts.slice(at, 256).to_pylist():
+                t = t or ""
+                found = tagger.marginals(words_of(t))
+                scores.append(tagger.score(found))
+                spans.append(tagger.spans(t, found))
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        return pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(spans, kind)], names=["score", "spans"])
 
     return run(F.coalesce(text, F.lit("")))
 
