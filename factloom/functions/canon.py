@@ -13,6 +13,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Punctuation, patterns and words of the value formats.
 EDGE = r".,;:!?()\[\]{}<>\"'`*_~/\\|"
@@ -39,7 +40,7 @@ def _unified(text: str) -> str:
     return "".join(QUOTES.get(c, c) for c in unicodedata.normalize("NFKC", text))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     import unicodedata as u
 
@@ -47,7 +48,7 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else "".join(quotes.get(c, c) for c in u.normalize("NFKC", t)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _casefold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else t.casefold())
 

@@ -14,10 +14,17 @@ from pyspark.sql import functions as F
 
 from factloom.functions import values
 
-START, END = F.col("validity_interval.start"), F.col("validity_interval.end")
 KEY = ["seed", "entity_id", "attribute"]
 
 
+def start_day() -> Column:
+    return F.col("validity_interval.start")
+
+
+def end_day() -> Column:
+    return F.col("validity_interval.end")
+
+
 def memorable() -> Column:
     return ~F.col("injection") & ~F.col("never_memorize")
 
@@ -33,13 +40,15 @@ def with_successor(facts: DataFrame) -> DataFrame:
     Of several (a violation of its own) the earliest counts. The right side is
     reduced to one row a superseded fact before the join.
     """
-    first = F.min(F.struct(START.alias("start"), F.col("fact_id").alias("id")))
+    first = F.min(F.struct(start_day().alias("start"), F.col("fact_id").alias("id")))
     succ = facts.where("supersedes IS NOT NULL").groupBy("seed", F.col("supersedes").alias("fact_id")).agg(first.alias("s"))
     return facts.join(succ, ["seed", "fact_id"], "left").withColumns({"succ_id": F.col("s.id"), "succ_start": F.col("s.start")}).drop("s")
 
 
-def status(as_of: Column, start: Column = START, end: Column = END, succ_start: Column | None = None) -> Column:
+def status(as_of: Column, start: Column | None = None, end: Column | None = None, succ_start: Column | None = None) -> Column:
     """superseded, expired or active; null where the fact isn't known yet. end = as_of is still active."""
+    start = start_day() if start is None else start
+    end = end_day() if end is None else end
     succ = F.col("succ_start") if succ_start is None else succ_start
     return F.when(start > as_of, None).when(succ <= as_of, "superseded").when(end < as_of, "expired").otherwise("active")
 
@@ -61,7 +70,7 @@ def active_at(facts: DataFrame, dates: DataFrame) -> DataFrame:
 
 def current_as_of(facts: DataFrame, offset_days: int = values.DEFAULTS["current_offset_days"]) -> DataFrame:
     """(seed, as_of): the latest start and offset_days on."""
-    return facts.groupBy("seed").agg(F.date_add(F.max(START), offset_days).alias("as_of"))
+    return facts.groupBy("seed").agg(F.date_add(F.max(start_day()), offset_days).alias("as_of"))
 
 
 def current_values(facts: DataFrame, offset_days: int = values.DEFAULTS["current_offset_days"]) -> DataFrame:
@@ -88,19 +97,19 @@ def nearest_horizon(as_of: Column, dates: dict[str, Column]) -> Column:
 
 def history(facts: DataFrame) -> DataFrame:
     """Memorable facts with their place in the history of their key by start: pos, length, first and last values, neighbours."""
-    order = W.partitionBy(*KEY).orderBy(START, "fact_id")
+    order = W.partitionBy(*KEY).orderBy(start_day(), "fact_id")
     whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     return facts.where(memorable()).withColumns({
         "pos": F.row_number().over(order) - 1, "length": F.count("*").over(whole),
         "first_value": F.first("value").over(whole), "last_value": F.last("value").over(whole),
-        "next_id": F.lead("fact_id").over(order), "next_start": F.lead(START).over(order),
+        "next_id": F.lead("fact_id").over(order), "next_start": F.lead(start_day()).over(order),
     })
 
 
 def close_intervals(facts: DataFrame) -> DataFrame:
     """Ends each superseded fact no later than the day before its successor starts."""
-    end = F.least(END, F.date_sub("succ_start", 1))
-    return with_successor(facts).withColumn("validity_interval", F.struct(START.alias("start"), end.alias("end"))).drop("succ_id", "succ_start")
+    end = F.least(end_day(), F.date_sub("succ_start", 1))
+    return with_successor(facts).withColumn("validity_interval", F.struct(start_day().alias("start"), end.alias("end"))).drop("succ_id", "succ_start")
 
 
 def pointer_chains(facts: DataFrame, max_depth: int = 64) -> DataFrame:

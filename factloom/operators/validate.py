@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import values
 
-from .temporal import END, KEY, START, cycles, memorable, status, with_successor, with_trust
+from .temporal import KEY, cycles, end_day, memorable, start_day, status, with_successor, with_trust
 
 ID = r"^[A-Za-z0-9][A-Za-z0-9_.:-]*$"
 
@@ -55,14 +55,14 @@ def fact_violations(facts: DataFrame) -> DataFrame:
         _identifier("fact_id"), _identifier("entity_id"), _identifier("event_id"),
         _one_of("entity", values.ENTITY_TYPES), _one_of("volatility_class", values.VOLATILITY_CLASSES), _one_of("channel", values.CHANNELS), _one_of("author", values.AUTHORS),
         _bad("attribute_blank", F.coalesce(F.col("attribute") == "", F.lit(True)), ""), _bad("value_blank", _blank("value"), ""),
-        _bad("interval", START.isNull() | F.coalesce(END < START, F.lit(False)), F.to_json("validity_interval")),
+        _bad("interval", start_day().isNull() | F.coalesce(end_day() < start_day(), F.lit(False)), F.to_json("validity_interval")),
         _bad("trust_unknown", F.col("derived_trust").isNull(), F.concat_ws("/", "channel", "author")),
         _bad("trust", F.col("derived_trust").isNotNull() & ~F.col("trust_class").eqNullSafe(F.col("derived_trust")), F.col("trust_class")),
         _bad("supersedes_id", F.coalesce(~F.col("supersedes").rlike(ID), F.lit(False)), F.col("supersedes")),
         _bad("injection_null", F.col("injection").isNull(), ""), _bad("never_memorize_null", F.col("never_memorize").isNull(), ""),
         _bad("plausibility", F.when(injected, ~F.coalesce(F.col("plausibility").isin(values.PLAUSIBILITY), F.lit(False))).otherwise(F.col("plausibility").isNotNull()), F.col("plausibility")),
         _bad("snapshot_volatility", snapshot & ~F.col("volatility_class").eqNullSafe(F.lit("ephemeral")), F.col("volatility_class")),
-        _bad("snapshot_interval", snapshot & ~START.eqNullSafe(END), F.to_json("validity_interval")),
+        _bad("snapshot_interval", snapshot & ~start_day().eqNullSafe(end_day()), F.to_json("validity_interval")),
     ]
     return _violations(f, "fact_id", rules)
 
@@ -109,14 +109,14 @@ def chain_violations(facts: DataFrame, as_of: Column | None = None) -> DataFrame
     pairs = facts.where("supersedes IS NOT NULL").join(prior, (F.col("seed") == F.col("p_seed")) & (F.col("supersedes") == F.col("p_id")), "left")
     dangling = rows(pairs.where("p_id IS NULL"), "supersedes_unknown", "fact_id", F.col("supersedes"))
     known = pairs.where("p_id IS NOT NULL")
-    inverted = rows(known.where(START <= F.col("p_start")), "interval_inverted", "fact_id", START)
+    inverted = rows(known.where(start_day() <= F.col("p_start")), "interval_inverted", "fact_id", start_day())
     passing = rows(known.where("p_vol = 'transient'"), "transient_superseded", "fact_id", F.col("supersedes"))
     crossed = rows(known.where("p_entity <> entity_id OR p_attribute <> attribute"), "crosses_keys", "fact_id", F.col("supersedes"))
     values_seen = facts.where(memorable()).groupBy(*KEY, "value").agg(F.count("*").alias("n"), F.min("fact_id").alias("fact_id")).where("n > 1")
     revisited = rows(values_seen, "value_revisited", "fact_id", F.col("value"))
     loop = rows(cycles(facts), "cycle", "fact_id", F.lit(""))
     at = F.col("as_of") if as_of is None else as_of
-    late = facts.groupBy("seed").agg(F.date_add(F.max(START), values.DEFAULTS["current_offset_days"]).alias("as_of"))
+    late = facts.groupBy("seed").agg(F.date_add(F.max(start_day()), values.DEFAULTS["current_offset_days"]).alias("as_of"))
     active = with_successor(facts.where(memorable())).join(F.broadcast(late), "seed").where(status(at) == "active")
     double = rows(active.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("fact_id").alias("fact_id")).where("n > 1"), "duplicate_active", "fact_id", F.col("n"))
     out = twice
