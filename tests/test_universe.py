@@ -63,7 +63,8 @@ def test_questions(world):
 def test_quotas_by_hand():
     pools = {("a", "current"): 10, ("a", "early"): 2, ("b", "current"): 3}
     got = questions.quotas(pools, 6, 6, 2, {"current": 4, "early": 2})
-    assert got == {("a", "current"): 2, ("a", "early"): 2, ("b", "current"): 2}
+    # floors: a takes current, then early; b current twice. Then a takes early, the emptier one, and b current again
+    assert got == {("a", "current"): 1, ("a", "early"): 2, ("b", "current"): 3}
     with pytest.raises(validate.EngineError, match="floor"):
         questions.quotas({("a", "current"): 1}, 1, 1, 2)
     with pytest.raises(validate.EngineError, match="outside"):
