@@ -50,6 +50,8 @@ WINDOW = 5
 
 _WORDS = re.compile(r"[^\W\d_]+")
 _CACHE_WORDS = 100_000
+#: Windows whose gradient is worked out at once.
+_PART = 4096
 
 
 def held_out(id_col: Column) -> Column:
@@ -187,9 +189,15 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     if len({labels[k] for k in own}) < 2 or len({labels[k] for k in apart}) < 2:
         own = apart = list(range(len(rows)))
 
+    # a feature below LEAST_DOCS toxic documents can't be pure enough, so only the others are counted in clean ones
     toxic, clean = Counter(), Counter()
     for k in own:
-        (toxic if labels[k] else clean).update({f for w in set(words_of(rows[k][0])) for f in features_of(w)})
+        if labels[k]:
+            toxic.update({f for w in set(words_of(rows[k][0])) for f in features_of(w)})
+    toxic = Counter({f: n for f, n in toxic.items() if n >= LEAST_DOCS})
+    for k in own:
+        if not labels[k]:
+            clean.update({f for w in set(words_of(rows[k][0])) for f in features_of(w) if f in toxic})
     n_toxic = sum(labels[k] for k in own)
     base = n_toxic / len(own)
     score = {}
@@ -208,14 +216,15 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     if not index:
         return Model(constant=base)
 
-    seen: dict[str, tuple[tuple[int, ...], int]] = {}
     windows = Counter()  # equal windows are fitted once, by their number
     for k in own:
         words = words_of(rows[k][0])
-        for w in set(words).difference(seen):
+        own_words = {}
+        for w in set(words):
             fs = features_of(w)
-            seen[w] = tuple(index[f] for f in fs if f in index), int(any(f in strong for f in fs))
-        tokens = [seen[w] for w in words]
+            if at := tuple(index[f] for f in fs if f in index):
+                own_words[w] = at, int(any(f in strong for f in fs))
+        tokens = [own_words.get(w, ((), 0)) for w in words]
         hits = [i for i, (f, _) in enumerate(tokens) if f]
         at = 0
         for i in hits or [0] * bool(words):
@@ -260,37 +269,14 @@ def _ascend(windows: Counter, n: int, rounds: int = 60, rate: float = 0.15, deca
     for a in (0, 1):
         for b in (0, 1):
             pair[2 * a + b] = (((gold[:, :-1] == a) & (gold[:, 1:] == b) & both).sum(axis=1) * times).sum()
+    cuts = [*range(0, size, _PART), size]
+    parts = [(lo, hi, slice(*np.searchsorted(rows, (lo, hi)))) for lo, hi in zip(cuts, cuts[1:], strict=False)]
     first, second = np.zeros_like(params), np.zeros_like(params)
     for t in range(1, rounds + 1):
-        e = np.full((size, length), params[-1])
-        e += np.bincount(rows * length + cols, weights=params[feats], minlength=size * length).reshape(size, length)
-        pot = np.stack([np.ones_like(e), np.exp(np.clip(e, -30, 30))], axis=2)
-        chain = np.exp(params[n : n + 4].reshape(2, 2))
-        fwd = np.zeros((size, length, 2))
-        fwd[:, 0] = pot[:, 0] * np.array([1.0, np.exp(params[-2])])
-        fwd[:, 0] /= fwd[:, 0].sum(axis=1, keepdims=True)
-        for c in range(1, length):
-            nxt = (fwd[:, c - 1] @ chain) * pot[:, c]
-            nxt /= nxt.sum(axis=1, keepdims=True)
-            fwd[:, c] = np.where(valid[:, c : c + 1], nxt, fwd[:, c - 1])
-        bwd = np.ones((size, length, 2))
-        expected = np.zeros(4)
-        for c in range(length - 2, -1, -1):
-            inner = pot[:, c + 1] * bwd[:, c + 1]
-            nxt = inner @ chain.T
-            joint = fwd[:, c, :, None] * chain[None] * inner[:, None, :]
-            joint /= joint.sum(axis=(1, 2), keepdims=True)
-            expected += ((valid[:, c + 1] * times) @ joint.reshape(size, 4))
-            nxt /= nxt.sum(axis=1, keepdims=True)
-            bwd[:, c] = np.where(valid[:, c + 1 : c + 2], nxt, bwd[:, c])
-        post = fwd * bwd
-        p = post[:, :, 1] / post.sum(axis=2)
-        miss = np.where(valid, gold - p, 0.0) * times[:, None]
         grad = np.zeros_like(params)
-        grad[:n] = np.bincount(feats, weights=miss[rows, cols], minlength=n)
-        grad[n : n + 4] = pair - expected
-        grad[-2] = miss[:, 0].sum()
-        grad[-1] = miss.sum()
+        grad[n : n + 4] = pair
+        for lo, hi, own in parts:
+            _add_gradient(grad, params, n, valid[lo:hi], gold[lo:hi], times[lo:hi], rows[own] - lo, cols[own], feats[own])
         grad = grad / total - decay * params / max(1.0, np.sqrt(total) / 10)
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad**2
@@ -298,6 +284,35 @@ def _ascend(windows: Counter, n: int, rounds: int = 60, rate: float = 0.15, deca
     return params[:n], params[n : n + 4].reshape(2, 2), params[-2], params[-1]
 
 
+def _add_gradient(grad: np.ndarray, params: np.ndarray, n: int, valid: np.ndarray, gold: np.ndarray, times: np.ndarray, rows: np.ndarray, cols: np.ndarray, feats: np.ndarray) -> None:
+    """Adds the gradient of some windows: what is labelled less what forward-backward expects."""
+    size, length = valid.shape
+    e = params[-1] + np.bincount(rows * length + cols, weights=params[feats], minlength=size * length).reshape(size, length)
+    pot = np.stack([np.ones_like(e), np.exp(np.clip(e, -30, 30))], axis=2)
+    chain = np.exp(params[n : n + 4].reshape(2, 2))
+    fwd = np.zeros((size, length, 2))
+    fwd[:, 0] = pot[:, 0] * np.array([1.0, np.exp(params[-2])])
+    fwd[:, 0] /= fwd[:, 0].sum(axis=1, keepdims=True)
+    for c in range(1, length):
+        nxt = (fwd[:, c - 1] @ chain) * pot[:, c]
+        nxt /= nxt.sum(axis=1, keepdims=True)
+        fwd[:, c] = np.where(valid[:, c : c + 1], nxt, fwd[:, c - 1])
+    bwd = np.ones((size, length, 2))
+    for c in range(length - 2, -1, -1):
+        inner = pot[:, c + 1] * bwd[:, c + 1]
+        nxt = inner @ chain.T
+        joint = fwd[:, c, :, None] * chain[None] * inner[:, None, :]
+        joint /= joint.sum(axis=(1, 2), keepdims=True)
+        grad[n : n + 4] -= (valid[:, c + 1] * times) @ joint.reshape(size, 4)
+        nxt /= nxt.sum(axis=1, keepdims=True)
+        bwd[:, c] = np.where(valid[:, c + 1 : c + 2], nxt, bwd[:, c])
+    post = fwd * bwd
+    miss = np.where(valid, gold - post[:, :, 1] / post.sum(axis=2), 0.0) * times[:, None]
+    grad[:n] += np.bincount(feats, weights=miss[rows, cols], minlength=n)
+    grad[-2] += miss[:, 0].sum()
+    grad[-1] += miss.sum()
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float, float]:
     """Newton's method with a small ridge; the slopes are kept from turning negative."""
     w = np.zeros(3)
