@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, shared_dir, table, text_or_empty
+from .common import free_name, materialize, shared_dir, table, text_or_empty
 
 #: A group with at least one row in so many is looked up by broadcast; there are at most so many of them.
 HOT_SHARE = 1000
@@ -94,20 +94,19 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
 
 def keep_first_copies(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that deduplicate() drops, with all their columns."""
+    names = docs.columns
+    sha, drop_id, drop_sha = (free_name(names, c) for c in ("own_sha", "drop_id", "drop_sha"))
     found = materialize(deduplicate(docs, index or DigestIndex(docs.sparkSession), id_col, text_col), "decisions")
-    dropped = found.where(~F.col("kept")).groupBy(F.col(id_col).alias("_drop_id"), F.col("text_sha256").alias("_drop_sha")).count()
+    dropped = found.where(~F.col("kept")).select(F.col(id_col).alias(drop_id), F.col("text_sha256").alias(drop_sha)).distinct()
     # a row repeated with its doc_id is both kept and dropped: it stays once
-    both = materialize(
-        dropped.join(found.where("kept").select(F.col(id_col).alias("_keep_id"), F.col("text_sha256").alias("_keep_sha")),
-                     F.col("_drop_id").eqNullSafe(F.col("_keep_id")) & (F.col("_drop_sha") == F.col("_keep_sha")), "left_semi")
-        .select("_drop_id", "_drop_sha"), "repeated")
-    names = docs.columns
-    own = docs.withColumn("_own_sha", F.sha2(text_or_empty(text_col), 256))
-    same = F.col(id_col).eqNullSafe(F.col("_drop_id")) & (F.col("_own_sha") == F.col("_drop_sha"))
-    left = own.join(dropped.select("_drop_id", "_drop_sha"), same, "left_anti").select(*names)
+    kept = found.where("kept").select(F.col(id_col).alias("keep_id"), F.col("text_sha256").alias("keep_sha"))
+    both = materialize(dropped.join(kept, F.col(drop_id).eqNullSafe(F.col("keep_id")) & (F.col(drop_sha) == F.col("keep_sha")), "left_semi"), "repeated")
+    own = docs.withColumn(sha, F.sha2(text_or_empty(text_col), 256))
+    same = F.col(id_col).eqNullSafe(F.col(drop_id)) & (F.col(sha) == F.col(drop_sha))
+    left = own.join(dropped, same, "left_anti").select(*names)
     if both.isEmpty():
         return left
-    again = own.join(both, same, "left_semi").dropDuplicates([id_col, "_own_sha"]).select(*names)
+    again = own.join(both, same, "left_semi").dropDuplicates([id_col, sha]).select(*names)
     return left.unionByName(again)
 
 
