@@ -148,8 +148,9 @@ def judge(answers: DataFrame) -> DataFrame:
 
     found, lost = picked(F.filter("t", lambda x: x["hit"])), picked(F.filter("t", lambda x: ~x["hit"]))
     matched = F.when(blank, False).when(is_sentinel, F.col("_cue").isNotNull()).otherwise(F.size(lost) == 0)
-    reason = F.when(F.col("answer").isNull(), "no answer").when(blank, "empty answer").when(is_sentinel & matched, F.concat(F.lit("sentinel "), "gold_answer", F.lit(" expressed")))
-    reason = reason.when(is_sentinel, F.concat(F.lit("sentinel "), "gold_answer", F.lit(" not expressed"))).when(matched, "all gold tokens present").otherwise("gold token missing from answer")
+    told = {k: values.filled(v) for k, v in values.REASONS.items()}
+    reason = F.when(F.col("answer").isNull(), told["none"]).when(blank, told["empty"]).when(is_sentinel & matched, told["expressed"])
+    reason = reason.when(is_sentinel, told["not_expressed"]).when(matched, told["all"]).otherwise(told["missing"])
     return df.withColumns({
         "matched": matched, "judge_reason": reason,
         "matched_tokens": F.when(blank, none).when(is_sentinel, F.when(matched, F.array("_cue")).otherwise(none)).otherwise(found),
