@@ -162,9 +162,8 @@ def _batch(ids: list, rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
 
 def _spread(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: int, schema: str, with_ids: bool) -> DataFrame:
     """The same for texts whose chunks are dealt to several tasks."""
-    spread = docs.sparkSession
     block = chunk * 64
-    parts = int(spread.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select("id", "text", F.monotonically_increasing_id().alias("row"))
     last = F.greatest(F.lit(0), F.floor((F.length("text") - 1) / block)).cast("int")
     blocks = keyed.select("id", "row", F.explode(F.sequence(F.lit(0), last)).alias("k"), "text", last.alias("last")).select(
@@ -179,7 +178,7 @@ def _spread(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: int,
             for r in batch.to_pylist():
                 text = r["text"]
                 # the part that both this block and the next one see, and the part it shares with the one before
-                mine = [p for p in boundaries(text, split, 0, len(text) if r["k"] == r["last"] else len(text)) if p > block and p <= len(text) - MARGIN]
+                mine = [p for p in boundaries(text, split, 0, len(text)) if block < p <= len(text) - MARGIN]
                 head = [p for p in boundaries(text, split, 0, min(len(text), 2 * chunk)) if p < chunk - MARGIN]
                 head = [p for p in head if not text[p - 1].isspace()]
                 yield pa.RecordBatch.from_pylist([{"id": r["id"], "row": r["row"], "k": r["k"], "last": r["last"], "text": text, "tail": [p - block for p in mine], "head": head}], schema=pa.schema([("id", pa.int64()), ("row", pa.int64()), ("k", pa.int32()), ("last", pa.int32()), ("text", pa.string()), ("tail", pa.list_(pa.int32())), ("head", pa.list_(pa.int32()))]))
@@ -193,8 +192,9 @@ def _spread(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: int,
         at = [0]
         for a, b in zip(rows, rows[1:], strict=False):
             shared = sorted(set(a["tail"]).intersection(b["head"]))
-            if shared:
-                at.append(b["k"] * block + shared[0])
+            if not shared:  # the next block may be out of step, so nothing behind it counts; pieces() cuts the rest
+                break
+            at.append(b["k"] * block + shared[0])
         at.append(len(text))
         parts = [own.encode_ordinary(p) for x, y in zip(at, at[1:], strict=False) for p in pieces(text[x:y], split, chunk, overlap)]
         return pa.Table.from_batches([_batch([rows[0]["id"]], [_row(own, parts, with_ids)], with_ids)])
