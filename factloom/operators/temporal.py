@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions import values
+from factloom.sources import scratch
 
 KEY = ["seed", "entity_id", "attribute"]
 
@@ -116,7 +117,7 @@ def pointer_chains(facts: DataFrame, max_depth: int = 64) -> DataFrame:
     """(seed, root, fact_id, depth): each chain of `supersedes` from its first fact on.
 
     Pointer doubling: after k rounds every fact points 2^k back, so chains of
-    max_depth need log2(max_depth) joins. Facts on a cycle reach no root and are
+    max_depth need log2(max_depth) joins, fewer if the chains are shorter. Facts on a cycle reach no root and are
     left out; cycles() lists them.
     """
     rooted, _ = _walk(facts, max_depth)
@@ -134,10 +135,13 @@ def _walk(facts: DataFrame, max_depth: int) -> tuple[DataFrame, int]:
     link = facts.select("seed", "fact_id", "supersedes").join(known, ["seed", "supersedes"], "left").select("seed", "fact_id", "up")
     now = link.select("seed", "fact_id", F.coalesce("up", "fact_id").alias("at"), "up", F.when(F.col("up").isNotNull(), 1).otherwise(0).alias("depth"))
     rounds = 0
-    while 1 << rounds < max_depth:
+    # each round is written, so that the next reads it twice instead of planning it twice
+    now = scratch.written(now, "walk")
+    while 1 << rounds < max_depth and not now.where("up IS NOT NULL").isEmpty():
         far = now.select(F.col("seed").alias("s2"), F.col("fact_id").alias("f2"), F.col("at").alias("at2"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
         now = now.join(far, (F.col("seed") == F.col("s2")) & (F.col("up") == F.col("f2")), "left").select(
             "seed", "fact_id", F.coalesce("at2", "at").alias("at"), F.when(F.col("f2").isNotNull(), F.col("up2")).alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"))
+        now = scratch.written(now, "walk")
         rounds += 1
     return now, rounds
 
