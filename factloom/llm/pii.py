@@ -5,7 +5,10 @@ keyed permutation, so equal values stay equal, and linked, in all documents,
 while different values stay different:
 
     card       13 to 19 digits that pass the Luhn test; the digits before the
-               last are permuted, the last is the new check digit
+               last are permuted, the last is the new check digit. In a run of
+               digit groups each reading that starts and ends at a group's
+               boundary counts: unbroken numbers and the usual groupings first,
+               then from left to right the longest
     phone      +1 (ddd) ddd-dddd and the like; all digits behind the country code
     ssn        ddd-dd-dddd in an area that is issued
     ipv4       four octets; permuted as a 32-bit number
@@ -45,9 +48,16 @@ DOT_DATE = r"(?<![\w.])\d{2}\.\d{2}\.\d{4}(?![\w]|\.\d)"
 PHONE = r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)"
 PLAIN_PHONE = r"(?<![\w(+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]|[ -]\d)"
-
-ANY = "|".join([EMAIL, IPV4, ISO_DATE, US_DATE, DOT_DATE, PHONE, PLAIN_PHONE, SSN, CARD])
+OTHERS = "|".join([EMAIL, IPV4, ISO_DATE, US_DATE, DOT_DATE, PHONE, PLAIN_PHONE, SSN])
+#: Digit groups parted by single spaces or hyphens, 13 digits or more, up to a group at which another format starts.
+#: All repeats are possessive: Java's matcher then loops over them, where it would else recurse and overflow on long runs.
+_HYPHENED = rf"\d++(?:-(?!{OTHERS})\d++)*+(?:(?![\w-])|(?=-(?:{OTHERS})))"
+RUN = rf"(?<![\w-])(?=\d(?:[ -]?\d){{12}}){_HYPHENED}(?: (?!{OTHERS}){_HYPHENED})*+"
+CARD_DIGITS = (13, 19)
+#: Groupings that cards are printed in; the number on the back may follow, so the longest comes last.
+GROUPINGS = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3))
+
+ANY = f"{OTHERS}|{RUN}"
 #: A text without any of these can't have a match.
 HINT = r"[0-9]{2}|@"
 
@@ -138,8 +148,63 @@ def luhn_sum(digits: Column, doubled_from: int) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, b: a + b)
 
 
-def is_card(value: Column) -> Column:
-    return value.rlike(_whole(CARD)) & (luhn_sum(digits_of(value), 1) % 10 == 0)
+def is_run(value: Column) -> Column:
+    """For matches of ANY: no other format has 13 digits, spaces and hyphens only."""
+    return value.rlike("^[0-9][0-9 -]*[0-9]$") & (F.length(digits_of(value)) >= CARD_DIGITS[0])
+
+
+def _passes(digits: Column) -> Column:
+    return F.length(digits).between(*CARD_DIGITS) & (luhn_sum(digits, 1) % 10 == 0)
+
+
+def _readings(groups: Column, sizes: Column) -> Column:
+    """For each digit group (strong, weak): how many groups from it on are a card, as one number or in a usual
+    grouping (0: none), and how many in any other way, an array, longest first."""
+
+    def joined(i: Column, n) -> Column:
+        return F.array_join(F.slice(groups, i + 1, n), "")
+
+    def one(g: Column, i: Column) -> Column:
+        strong = F.when(_passes(g), 1)
+        for shape in GROUPINGS:
+            strong = strong.when((F.slice(sizes, i + 1, len(shape)) == F.array(*map(F.lit, shape))) & _passes(joined(i, len(shape))), len(shape))
+        most = F.least(F.lit(CARD_DIGITS[1]), F.size(groups) - i)
+        weak = F.filter(F.sequence(most, F.lit(1), F.lit(-1)), lambda n: _passes(joined(i, n)))
+        return F.struct(strong.otherwise(0).alias("strong"), weak.alias("weak"))
+
+    return F.transform(groups, one)
+
+
+def _cuts(readings: Column) -> Column:
+    """For each group: how many groups the card that starts there has; -1 inside of a card, 0 elsewhere."""
+
+    def step(s: Column, r: Column) -> Column:
+        at = F.size(s["out"])
+        clear = F.filter(r["weak"], lambda n: ~F.exists(F.slice(readings, at + 2, n - 1), lambda x: x["strong"] > 0))
+        n = F.when(s["skip"] > 0, -1).when(r["strong"] > 0, r["strong"]).otherwise(F.coalesce(F.get(clear, F.lit(0)), F.lit(0)))
+        return F.transform(F.array(n), lambda n: F.struct(F.concat(s["out"], F.array(n)).alias("out"), F.when(n < 0, s["skip"] - 1).otherwise(F.greatest(n - 1, F.lit(0))).alias("skip")))[0]
+
+    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("skip"))
+    return F.aggregate(readings, start, step, lambda s: s["out"])
+
+
+def cards_of_run(run: Column) -> Column:
+    """The pieces (v, kind) of a run: its cards, and what stands before, between and behind them, kind null."""
+    cells = F.regexp_extract_all(run, F.lit("[ -]?[0-9]+"), F.lit(0))
+    start = _in_steps(cells, [lambda c: F.struct(c.alias("cells"), F.transform(c, digits_of).alias("groups"), F.transform(c, lambda x: F.length(digits_of(x))).alias("sizes"))])
+    read = _in_steps(start, [lambda s: F.struct(s["cells"].alias("cells"), _readings(s["groups"], s["sizes"]).alias("readings"))])
+    cut = _in_steps(read, [lambda s: F.struct(s["cells"].alias("cells"), _cuts(s["readings"]).alias("cuts"))])
+    none = F.lit(None).cast("string")
+
+    def pieces(cell: Column, n: Column, i: Column, cells: Column) -> Column:
+        # the separator before a card's first group isn't the card's
+        gap = F.regexp_extract(cell, "^[ -]?", 0)
+        whole = F.array_join(F.slice(cells, i + 1, n), "")
+        return F.when(n == 0, F.array(F.struct(cell.alias("v"), none.alias("kind")))).when(
+            n > 0, F.array(F.struct(gap.alias("v"), none.alias("kind")), F.struct(F.substr(whole, F.length(gap) + 1).alias("v"), F.lit("card").alias("kind")))
+        ).otherwise(F.array().cast("array<struct<v:string,kind:string>>"))
+
+    return _in_steps(cut, [lambda s: F.flatten(F.transform(F.arrays_zip(s["cells"], s["cuts"]), lambda z, i: pieces(z["cells"], z["cuts"], i, s["cells"])))])
 
 
 def card(value: Column, key: str) -> Column:
@@ -222,14 +287,13 @@ def _shifted(text: Column, digest: Column) -> Column:
 
 
 def kind_of(value: Column) -> Column:
-    """The kind of a match that passes its test, else null."""
+    """The kind of a match that passes its test, else null; runs of digit groups aside."""
     return (
         F.when(value.contains("@"), F.lit("email"))
         .when(is_ipv4(value), F.lit("ipv4"))
         .when(value.rlike(_whole("|".join([ISO_DATE, US_DATE, DOT_DATE]))), F.when(as_day(value).isNotNull(), F.lit("date")))
         .when(value.rlike(_whole(f"{PHONE}|{PLAIN_PHONE}")), F.lit("phone"))
         .when(is_ssn(value), F.lit("ssn"))
-        .when(is_card(value), F.lit("card"))
     )
 
 
@@ -250,11 +314,11 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     none = F.array().cast("array<string>")
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     found = found.withColumn("hits", F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ANY), 0)).otherwise(none))
-    found = found.withColumn("tested", F.transform("hits", lambda v: F.struct(v.alias("v"), kind_of(v).alias("kind"))))
-    found = found.withColumn("new", F.transform("tested", lambda s: pseudonym(s["v"], s["kind"], key)))
+    found = found.withColumn("tested", F.transform("hits", lambda v: F.when(is_run(v), cards_of_run(v)).otherwise(F.array(F.struct(v.alias("v"), kind_of(v).alias("kind"))))))
+    found = found.withColumn("new", F.transform("tested", lambda parts: F.array_join(F.transform(parts, lambda s: pseudonym(s["v"], s["kind"], key)), "")))
     gaps = F.split("text", ANY, -1)
     joined = F.array_join(F.zip_with(gaps, F.concat("new", F.array(F.lit(""))), lambda gap, new: F.concat(gap, new)), "")
-    kinds = F.transform(F.filter("tested", lambda s: s["kind"].isNotNull()), lambda s: s["kind"])
+    kinds = F.transform(F.filter(F.flatten("tested"), lambda s: s["kind"].isNotNull()), lambda s: s["kind"])
     return found.select(
         F.col("id").alias(id_col),
         F.when(F.size("hits") > 0, joined).otherwise(F.col("text")).alias("text"),
