@@ -59,7 +59,7 @@ GROUPINGS = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3))
 
 ANY = f"{OTHERS}|{RUN}"
 #: A text without any of these can't have a match.
-HINT = r"[0-9]{2}|@"
+HINT = r"[0-9][ .-]?[0-9]|@"
 
 DAYS = 146_097
 LEFT, RIGHT = 189, 773

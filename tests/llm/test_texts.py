@@ -96,6 +96,13 @@ def test_cards_beside_other_digits(spark):
     assert got[4]["text"][:19].replace(" ", "") == new and got[1]["text"][16:] == " 12/27" and got[5]["text"].startswith("12 ") and got[3]["text"][16:] == " 123" and b not in got[14]["text"]
 
 
+def test_values_of_single_digits(spark):
+    texts = ["8.8.8.8", "at 8.8.8.8 in 2024", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "1-800", "a 1 b"]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i]["kinds"] for i in range(5)] == [["ipv4"], ["ipv4"], ["card"], [], []]
+    assert got[0]["text"] != "8.8.8.8" and got[1]["text"] == f"at {got[0]['text']} in 2024" and luhn(got[2]["text"].replace(" ", "")) and got[2]["text"] != texts[2]
+
+
 def test_permutations_are_one_to_one(spark):
     from pyspark.sql import functions as F
 
