@@ -12,8 +12,10 @@ while different values stay different:
     phone      +1 (ddd) ddd-dddd and the like; all digits behind the country code
     ssn        ddd-dd-dddd in an area that is issued
     ipv4       four octets; permuted as a 32-bit number
-    date       yyyy-mm-dd, mm/dd/yyyy and dd.mm.yyyy that the calendar has; the day
-               is permuted within the 400 years from 1800 (146,097 days)
+    date       yyyy-mm-dd (a time may follow behind a T), mm/dd/yyyy and dd.mm.yyyy
+               that the calendar has, and dd/mm/yyyy where mm/dd/yyyy has no such
+               day; the day is permuted within the 400 years from 1800 (146,097
+               days), for dd/mm/yyyy until it can't be read as mm/dd/yyyy either
     email      letters and digits of the part before the @
 
 A Feistel network of ROUNDS rounds works on the two halves of a value: in turn,
@@ -42,7 +44,7 @@ ROUNDS = 4
 #: The formats. Each stands clear of letters and digits around it.
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IPV4 = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
-ISO_DATE = r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])"
+ISO_DATE = r"(?<![\w-])\d{4}-\d{2}-\d{2}(?:(?![\w-])|(?=[Tt]\d{2}:?\d{2}))"
 US_DATE = r"(?<![\w/])\d{2}/\d{2}/\d{4}(?![\w/])"
 DOT_DATE = r"(?<![\w.])\d{2}\.\d{2}\.\d{4}(?![\w]|\.\d)"
 PHONE = r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)"
@@ -64,6 +66,8 @@ HINT = r"[0-9][ .-]?[0-9]|@"
 DAYS = 146_097
 LEFT, RIGHT = 189, 773
 FIRST_DAY = -62_091  # 1800-01-01 as days from 1970-01-01
+#: Two days in five are read as months as well; a walk of so many steps over all of them has odds under 1e-20.
+WALK = 64
 
 
 def _whole(pattern: str) -> str:
@@ -240,10 +244,15 @@ def ipv4(value: Column, key: str) -> Column:
     return _in_steps(done, [lambda s: F.concat_ws(".", *(x.cast("string") for x in (F.shiftright(s["l"], 8), s["l"].bitwiseAND(F.lit(255)), F.shiftright(s["r"], 8), s["r"].bitwiseAND(F.lit(255)))))])
 
 
+def _day_first(value: Column) -> Column:
+    """A slashed date with no month before its slash: no other dd/mm is missing from the mm/dd calendar and in the dd/mm one."""
+    return value.rlike("^(?:1[3-9]|[23][0-9])/")
+
+
 def as_day(value: Column) -> Column:
-    """The date of a value in one of the three formats; null if the calendar has no such day in 1800 to 2199."""
+    """The date of a value in one of the formats; null if the calendar has no such day in 1800 to 2199."""
     iso = F.when(value.rlike(r"^\d{4}-"), value)
-    iso = iso.when(value.rlike("/"), F.concat_ws("-", F.substr(value, F.lit(7), F.lit(4)), F.substr(value, F.lit(1), F.lit(2)), F.substr(value, F.lit(4), F.lit(2))))
+    iso = iso.when(value.rlike("/") & ~_day_first(value), F.concat_ws("-", F.substr(value, F.lit(7), F.lit(4)), F.substr(value, F.lit(1), F.lit(2)), F.substr(value, F.lit(4), F.lit(2))))
     iso = iso.otherwise(F.concat_ws("-", F.substr(value, F.lit(7), F.lit(4)), F.substr(value, F.lit(4), F.lit(2)), F.substr(value, F.lit(1), F.lit(2))))
     day = iso.try_cast("date")
     return F.when(F.year(day).between(1800, 2199), day)
@@ -251,10 +260,19 @@ def as_day(value: Column) -> Column:
 
 def date(value: Column, key: str) -> Column:
     since = F.unix_date(as_day(value)).cast("long") - FIRST_DAY
+    day = _in_steps(_permuted_day(since, key), [lambda d: F.date_from_unix_date((d + FIRST_DAY).cast("int"))])
+    # a dd/mm/yyyy goes on to the next day of the permutation until the day of the month is no month,
+    # so that it never becomes what some mm/dd/yyyy becomes
+    walk = lambda d, _: F.when(F.dayofmonth(d) > 12, d).otherwise(F.date_from_unix_date((_permuted_day(F.unix_date(d).cast("long") - FIRST_DAY, key) + FIRST_DAY).cast("int")))
+    day = F.when(_day_first(value), F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), day, walk)).otherwise(day)
+    return _in_steps(day, [lambda d: F.when(value.rlike(r"^\d{4}-"), F.date_format(d, "yyyy-MM-dd")).when(_day_first(value), F.date_format(d, "dd/MM/yyyy")).when(value.rlike("/"), F.date_format(d, "MM/dd/yyyy")).otherwise(F.date_format(d, "dd.MM.yyyy"))])
+
+
+def _permuted_day(since: Column, key: str) -> Column:
+    """Days since FIRST_DAY under the permutation."""
     start = _in_steps(since, [lambda d: F.struct(F.floor(d / RIGHT).cast("long").alias("l"), F.pmod(d, F.lit(RIGHT)).cast("long").alias("r"))])
     done = _rounds(start, key, "date", lambda s: F.lit(LEFT), lambda s: F.lit(RIGHT))
-    day = _in_steps(done, [lambda s: F.date_from_unix_date((s["l"] * RIGHT + s["r"] + FIRST_DAY).cast("int"))])
-    return _in_steps(day, [lambda d: F.when(value.rlike(r"^\d{4}-"), F.date_format(d, "yyyy-MM-dd")).when(value.rlike("/"), F.date_format(d, "MM/dd/yyyy")).otherwise(F.date_format(d, "dd.MM.yyyy"))])
+    return _in_steps(done, [lambda s: s["l"] * RIGHT + s["r"]])
 
 
 def email(value: Column, key: str) -> Column:

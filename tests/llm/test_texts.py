@@ -103,6 +103,22 @@ def test_values_of_single_digits(spark):
     assert got[0]["text"] != "8.8.8.8" and got[1]["text"] == f"at {got[0]['text']} in 2024" and luhn(got[2]["text"].replace(" ", "")) and got[2]["text"] != texts[2]
 
 
+def test_more_dates(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["2024-02-29T10:00", "2024-02-29", "31/12/2024", "12/31/2024", "31/02/2024", "2024-02-29TX", "04/05/2024"]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i]["kinds"] for i in range(7)] == [["date"]] * 4 + [[], [], ["date"]]
+    assert got[0]["text"] == got[1]["text"] + "T10:00" and got[1]["text"] != "2024-02-29" and got[4]["text"] == "31/02/2024"
+    day, month = map(int, got[2]["text"].split("/")[:2])
+    assert day > 12 >= month and got[2]["text"] != "31/12/2024"
+    # days of both readings stay different
+    days = spark.range(8_000).select(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    both = days.select(F.date_format("d", "MM/dd/yyyy").alias("v")).union(days.where(F.dayofmonth("d") > 12).select(F.date_format("d", "dd/MM/yyyy")))
+    n, new = both.select(F.count("*"), F.countDistinct(pii.date(F.col("v"), "k"))).first()
+    assert n == new > 12_000
+
+
 def test_permutations_are_one_to_one(spark):
     from pyspark.sql import functions as F
 
