@@ -113,37 +113,40 @@ def close_intervals(facts: DataFrame) -> DataFrame:
     return with_successor(facts).withColumn("validity_interval", F.struct(start_day().alias("start"), end.alias("end"))).drop("succ_id", "succ_start")
 
 
-def pointer_chains(facts: DataFrame, max_depth: int = 64) -> DataFrame:
+def pointer_chains(facts: DataFrame) -> DataFrame:
     """(seed, root, fact_id, depth): each chain of `supersedes` from its first fact on.
 
-    Pointer doubling: after k rounds every fact points 2^k back, so chains of
-    max_depth need log2(max_depth) joins, fewer if the chains are shorter. Facts on a cycle reach no root and are
+    Pointer doubling: after k rounds every fact points 2^k back, so the longest
+    chain needs log2 of its depth joins. Facts on a cycle, or behind one, reach no root and are
     left out; cycles() lists them.
     """
-    rooted, _ = _walk(facts, max_depth)
-    return rooted.where("up IS NULL").select("seed", F.col("at").alias("root"), "fact_id", "depth")
+    return _walk(facts).where("up IS NULL").select("seed", F.col("at").alias("root"), "fact_id", "depth")
 
 
-def cycles(facts: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(seed, fact_id) of facts whose pointers reach no first fact within max_depth steps."""
-    rooted, _ = _walk(facts, max_depth)
-    return rooted.where("up IS NOT NULL").select("seed", "fact_id")
+def cycles(facts: DataFrame) -> DataFrame:
+    """(seed, fact_id) of facts whose pointers reach no first fact."""
+    return _walk(facts).where("up IS NOT NULL").select("seed", "fact_id")
 
 
-def _walk(facts: DataFrame, max_depth: int) -> tuple[DataFrame, int]:
+def _walk(facts: DataFrame) -> DataFrame:
     known = facts.select("seed", F.col("fact_id").alias("supersedes"), F.col("fact_id").alias("up"))
     link = facts.select("seed", "fact_id", "supersedes").join(known, ["seed", "supersedes"], "left").select("seed", "fact_id", "up")
     now = link.select("seed", "fact_id", F.coalesce("up", "fact_id").alias("at"), "up", F.when(F.col("up").isNotNull(), 1).otherwise(0).alias("depth"))
-    rounds = 0
     # each round is written, so that the next reads it twice instead of planning it twice
     now = scratch.written(now, "walk")
-    while 1 << rounds < max_depth and not now.where("up IS NOT NULL").isEmpty():
+    left, before = _rootless(now), None
+    # a chain that goes on has facts that reach its root in the next round, so a round that roots no fact leaves only cycles
+    while left and left != before:
         far = now.select(F.col("seed").alias("s2"), F.col("fact_id").alias("f2"), F.col("at").alias("at2"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
         now = now.join(far, (F.col("seed") == F.col("s2")) & (F.col("up") == F.col("f2")), "left").select(
             "seed", "fact_id", F.coalesce("at2", "at").alias("at"), F.when(F.col("f2").isNotNull(), F.col("up2")).alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"))
         now = scratch.written(now, "walk")
-        rounds += 1
-    return now, rounds
+        before, left = left, _rootless(now)
+    return now
+
+
+def _rootless(walk: DataFrame) -> int:
+    return walk.where("up IS NOT NULL").select("seed", "fact_id").distinct().count()
 
 
 def event_facts(events: DataFrame, facts: DataFrame) -> DataFrame:

@@ -53,6 +53,18 @@ def test_current_values_and_chains(facts):
     assert t.cycles(facts).isEmpty() and validate.chain_violations(facts).isEmpty() and validate.fact_violations(facts).isEmpty()
 
 
+def test_long_chains_and_cycles(spark):
+    day = d.date(2020, 1, 1)
+    n = 300
+    chain = [fact(f"F{k}", "L1", "cpm_rate", str(k), str(day + d.timedelta(k)), supersedes=f"F{k - 1}" if k else None) for k in range(n)]
+    loop = [fact(f"C{k}", "L2", "cpm_rate", str(k), "2025-01-10", supersedes=f"C{(k + 1) % 5}") for k in range(5)]
+    behind = [fact(f"B{k}", "L3", "cpm_rate", str(k), "2025-01-10", supersedes=f"B{k - 1}" if k else "C0") for k in range(90)]
+    both = spark.createDataFrame([*chain, *loop, *behind], values.FACT_DDL)
+    assert sorted((r["depth"], r["root"], r["fact_id"]) for r in t.pointer_chains(both).collect()) == [(k, "F0", f"F{k}") for k in range(n)]
+    assert {r["fact_id"] for r in t.cycles(both).collect()} == {f[1] for f in (*loop, *behind)}
+    assert "cycle" not in {r["check"] for r in validate.chain_violations(spark.createDataFrame(chain, values.FACT_DDL)).collect()}
+
+
 def test_closing(spark, facts):
     loose = facts.withColumn("validity_interval", F.struct(t.start_day().alias("start"), F.lit(None).cast("date").alias("end")))
     ends = {r["fact_id"]: r["e"] for r in t.close_intervals(loose).select("fact_id", t.end_day().alias("e")).collect()}
