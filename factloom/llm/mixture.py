@@ -6,8 +6,9 @@ by weight, until none is above. Sampling: a target is whole epochs and a
 fraction. Every document is taken for each whole epoch, and the fraction takes
 documents in the order of a seeded hash. Large documents (over 1/64 of their
 source, at most 63 of them) are taken in that order while they stay within the
-fraction of all large ones; the others fill what is then missing, up to the
-hash at which their words come nearest to it. That hash is found by two
+fraction of all large ones, and one more if the source then comes nearer to its
+target than all the others could bring it; the others fill what is then missing,
+up to the hash at which their words come nearest to it. That hash is found by two
 histograms of 1,024 bins a source, so no task ever holds a source's documents.
 
 Defined results: null text has size 0; a null source is a source of its own and
@@ -103,8 +104,16 @@ def plan_mix(slim: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epoch
     large = sized.where(_is_large()).select("source", "size", "draw", "missing", "source_size")
     order = W.partitionBy("source").orderBy("draw", "size")
     large = large.withColumn("run", F.sum("size").over(order)).withColumn("all", F.sum("size").over(W.partitionBy("source")))
-    large = large.where(F.col("run") * F.col("source_size") <= F.col("missing") * F.col("all"))
-    large = large.groupBy("source").agg((F.max("draw") + 1).alias("cut_large"), F.sum("size").alias("large")).withColumnRenamed("source", "s3")
+    within = F.col("run") * F.col("source_size") <= F.col("missing") * F.col("all")
+    large = large.groupBy("source").agg(
+        F.coalesce(F.max(F.when(within, F.col("draw"))) + 1, F.lit(0)).alias("cut0"), F.coalesce(F.max(F.when(within, F.col("run"))), F.lit(0)).alias("large0"),
+        (F.min(F.when(~within, F.col("draw"))) + 1).alias("cut1"), F.min(F.when(~within, F.col("run"))).alias("large1"),
+        F.first("missing").alias("want"), (F.first("source_size") - F.first("all")).alias("rest"),
+    )
+    # short: by how much all others leave the target unmet; over: by how much the document that crosses the fraction passes it
+    short, over = F.greatest(F.col("want") - F.col("large0") - F.col("rest"), F.lit(0.0)), F.greatest(F.col("large1") - F.col("want"), F.lit(0.0))
+    more = F.coalesce(over < short, F.lit(False))
+    large = large.select(F.col("source").alias("s3"), F.when(more, F.col("cut1")).otherwise(F.col("cut0")).alias("cut_large"), F.when(more, F.col("large1")).otherwise(F.col("large0")).alias("large"))
     plan = plan.join(large, same("source", "s3"), "left").drop("s3")
     plan = materialize(plan.select("source", "source_size", "target", "whole", F.coalesce("cut_large", F.lit(0)).alias("cut_large"), (F.col("missing") - F.coalesce("large", F.lit(0))).alias("missing")), "plan")
     plan = F.broadcast(plan) if len(rows) <= BROADCAST_SOURCES else plan

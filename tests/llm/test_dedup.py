@@ -130,6 +130,21 @@ def test_mixture(spark):
     assert repeated.count() == sum(r["times"] for r in rows.values())
 
 
+def test_mixture_takes_the_nearer_cut_of_large_documents(spark):
+    """Equal weights and a budget of 1.75 or 1.25 give each source that many times its size."""
+    rows = [(1, "one " * 40, "a"), *((10 + k, "two " * 20, "b") for k in range(2)), *((20 + k, f"w{k} " * 10, "c") for k in range(4)), (30, "big " * 36, "d"), *((31 + k, f"s{k} x", "d") for k in range(2))]
+    for budget, a in ((1.75, 80), (1.25, 40)):
+        taken, target = defaultdict(int), {}
+        for r in mixture.mix(docs(spark, rows), weights=(1.0,), budget=budget).collect():
+            s = next(s for i, _, s in rows if i == r["doc_id"])
+            assert r["times"] <= 2
+            taken[s] += r["taken"]
+            target[s] = r["target"]
+        assert target == {s: budget * 40 for s in "abcd"} and taken["a"] == a and abs(taken["b"] - target["b"]) <= 10 and taken["c"] - target["c"] in (-10, 0, 10) and abs(taken["d"] - target["d"]) <= 10
+    few = [(1, "one " * 41, "a"), (2, "a b", "a")]
+    assert {r["doc_id"]: r["times"] for r in mixture.mix(docs(spark, few), budget=1.95).collect()}[1] == 2
+
+
 def test_mixture_edges(spark):
     assert mixture.mix(docs(spark, [])).isEmpty()
     out = mixture.mix(docs(spark, CASES)).collect()
