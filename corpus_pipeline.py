@@ -23,8 +23,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document of the smallest doc_id stays."""
-    return simhash.keep_one_of_each(docs)
+    """Of each component of near copies one document stays, of the smallest doc_id or, if none has any, of none."""
+    return simhash.keep_one_of_each(docs, spare_null=False)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

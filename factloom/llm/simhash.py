@@ -242,26 +242,55 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, block: int = BLOCK) -> DataFrame:
-    """Rows (id, fingerprint, component_id), one for each row of docs."""
-    prints = materialize(fingerprints(docs, id_col, text_col, words), "prints")
+def _components_of(prints: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Rows (of_fp, root, component_id), one for each fingerprint of prints (id, fp): its component and the smallest id there."""
     distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct")
     parts = components(links(distinct.select("fp"), block))
     rooted = distinct.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "rooted")
     low = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = rooted.join(low, "root").select(F.col("fp").alias("of_fp"), "component_id")
-    found = prints.join(of, F.col("fp") == F.col("of_fp"))
+    return rooted.join(low, "root").select(F.col("fp").alias("of_fp"), "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, block: int = BLOCK) -> DataFrame:
+    """Rows (id, fingerprint, component_id), one for each row of docs."""
+    prints = materialize(fingerprints(docs, id_col, text_col, words), "prints")
+    found = prints.join(_components_of(prints, block), F.col("fp") == F.col("of_fp"))
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """docs without those whose component has a smaller doc_id; rows of a null doc_id stay."""
-    found = near_duplicates(docs, id_col, text_col, words)
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, spare_null: bool = True) -> DataFrame:
+    """docs with one row of each component, of its smallest doc_id.
+
+    Rows of a null doc_id all stay if spare_null; else one stays where a component has no doc_id.
+    Rows whose doc_id is null or occurs again can't be told apart by it, so only their fingerprints are worked out once more.
+    """
     names = docs.columns
-    gone = free_name(names, "gone_id")
-    dropped = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col(gone), "left_anti").select(*names)
+    prints = materialize(fingerprints(docs, id_col, text_col, words), "prints")
+    of = materialize(_components_of(prints), "components")
+    gone, odd_id = free_name(names, "gone_id"), free_name(names, "odd_id")
+    odd = materialize(prints.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select(F.col("id").alias(odd_id)), "odd")
+    dropped = prints.join(of, F.col("fp") == F.col("of_fp")).where(F.col("id") != F.col("component_id")).select(F.col("id").alias(gone))
+    dropped = dropped.unionByName(odd.select(F.col(odd_id).alias(gone))).distinct()
+    known = docs.where(F.col(id_col).isNotNull())
+    kept = known.join(dropped, F.col(id_col) == F.col(gone), "left_anti").select(*names)
+    nulls = docs.where(F.col(id_col).isNull())
+    again = None if odd.isEmpty() else known.join(odd, F.col(id_col) == F.col(odd_id), "left_semi").select(*names)
+    if spare_null:
+        kept = kept.unionByName(nulls)
+    elif not prints.where("id IS NULL").isEmpty():
+        again = nulls if again is None else again.unionByName(nulls)
+    return kept if again is None else kept.unionByName(_one_a_component(again, of, id_col, text_col, words))
+
+
+def _one_a_component(docs: DataFrame, of: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """Of the rows that carry their component's smallest doc_id, one for each component; rows are told apart by a number written with them."""
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("n"), F.struct(*docs.columns).alias("row")), "again")
+    prints = fingerprints(rows.select("n", F.col("row")[text_col].alias("text")), "n", "text", words)
+    ids = rows.select("n", F.col("row")[id_col].cast("long").alias("own_id"))
+    lowest = prints.join(of, F.col("fp") == F.col("of_fp")).join(ids, F.col("id") == F.col("n")).where(F.col("own_id").eqNullSafe(F.col("component_id")))
+    chosen = lowest.groupBy("root").agg(F.min("n").alias("chosen"))
+    return rows.join(chosen, F.col("n") == F.col("chosen"), "left_semi").select("row.*")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

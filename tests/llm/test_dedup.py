@@ -6,6 +6,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from factloom.llm import exact_dedup, mixture, simhash
 from factloom.llm.common import table
 
@@ -84,6 +85,16 @@ def test_simhash_edges(spark):
     assert sorted(r["doc_id"] or -1 for r in simhash.keep_one_of_each(docs(spark, rows)).collect()) == [-1, 1, 3, 6]
 
 
+def test_near_dedup_with_repeated_and_missing_ids(spark):
+    rows = [(1, "one", "s"), (5, "One", "s"), (5, "a text of its own", "s"), (7, "again and again", "s"), (7, "Again and again", "s"), (None, "ONE", "s"), (None, "no id here", "s"), (None, "No id here", "s"), (9, "last of all", "s")]
+    kept = simhash.keep_one_of_each(docs(spark, rows), spare_null=False)
+    assert sorted((r["doc_id"] or -1, r["text"].lower()) for r in kept.collect()) == [(-1, "no id here"), (1, "one"), (5, "a text of its own"), (7, "again and again"), (9, "last of all")]
+    assert kept.columns == docs(spark, []).columns
+    assert simhash.keep_one_of_each(docs(spark, rows)).where("doc_id IS NULL").count() == 3
+    staged = corpus_pipeline.drop_near_copies(spark, docs(spark, rows), SF)
+    assert staged.count() == 5
+
+
 def test_dense_postings_are_dealt_out(spark):
     """Many fingerprints near one another: small blocks must give the components of all pairs."""
     rng = np.random.default_rng(5)
