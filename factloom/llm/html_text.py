@@ -2,8 +2,12 @@
 
 A page is read into a tree of block elements (inline markup belongs to its
 block). Parts that name themselves as no article (menus, page headers, footers,
-sidebars, notices, adverts, forms, scripts, reader comments) are left out. Each
-node's density is its characters per tag, adjusted for links:
+sidebars, notices, adverts, forms, scripts, reader comments) are left out, by
+element, or by a word of their class, id or role. Such a word doesn't count if it
+only says what a part has (with-sidebar, hasComments), or if the part holds over
+nine tenths of the page's text: then it is the page's frame. An inline element
+that is left out ends with its block at the latest, as does a link. Each node's
+density is its characters per tag, adjusted for links:
 
     C/T * log_b((C/LC) * (T/LT)),  b = ln(C/(C-LC) * LC + LCb/Cb * C + e)
 
@@ -11,8 +15,10 @@ with C characters, T tags, LC link characters, LT link tags, and Cb, LCb those
 of the body. The densities of a node's children are summed, and the subtree of
 the largest sum is the main text. The least density on its path to the body is
 the threshold: other subtrees at or above it give their own largest-sum part.
-If the chosen subtree lies in an article or main element, that whole element
-is taken, so that short headings and paragraphs stay.
+A heading or a short paragraph can't reach the threshold by itself, so what was
+chosen is widened to the blocks of text elements next to it, in page order, up to
+a block that is mostly links, is no text element or shares only the body with the
+main text; headings right before chosen text stay in any case.
 
 Defined results: null or empty html gives an empty text; a page without text
 outside left-out parts gives an empty text; a page cut off anywhere is read as
@@ -38,13 +44,24 @@ from .common import table, workers_import_us
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
-LEFT_OUT = frozenset("nav menu aside footer form fieldset button select textarea label input script style noscript template svg math canvas iframe object embed audio video map head title dialog search noembed noframes xmp".split())
+LEFT_OUT = frozenset("nav menu aside footer form fieldset select textarea input script style noscript template svg math canvas iframe object embed audio video map head title dialog search noembed noframes xmp".split())
 ENDS_P = BLOCK - frozenset(["html", "body"])
 OWN_CLOSE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th", "tbody", "thead"), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody", "thead")}
 SCOPES = frozenset("ul ol dl table div article section main body html td th blockquote".split())
-#: Words in class, id or role that mark a part as no article.
-MARKS = frozenset("ad ads adbox adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent contentinfo cookie cookies copyright disqus feedback footer form gdpr login masthead menu menubar modal nav navbar navigation navigation newsletter notice notification notifications pager pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tagcloud toolbar topbar widget widgets alert complementary alertdialog dialog toast overlay".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXT = HEADINGS | frozenset("address blockquote caption dd dt figcaption li p pre summary td th".split())
+#: Words in class, id or role that mark a part as no article, by what the part is.
+MENUS = "nav navbar navigation menu menubar breadcrumb breadcrumbs pager pagination"
+HEADERS_FOOTERS = "masthead footer contentinfo"
+SIDEBARS = "sidebar aside complementary"
+NOTICES = "notice notices notification notifications cookie cookies consent gdpr alert alertdialog modal popup dialog toast overlay banner"
+ADVERTS = "ad ads adbox adsense advert adverts advertisement advertising sponsor sponsored"
+FORMS = "form login signup newsletter"
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+MARKS = COMMENTS | frozenset(" ".join([MENUS, HEADERS_FOOTERS, SIDEBARS, NOTICES, ADVERTS, FORMS]).split())
 _HEADER = frozenset(["header", "banner"])
+#: Words before a mark that say what a part has or lacks, not what it is.
+HAVING = frozenset("with has have no non not without show hide".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)|<(?=/?[a-zA-Z])[^<]*\Z", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|[\s/\"'])(class|id|role|hidden|aria-hidden|style|type)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -53,69 +70,79 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("children", "chars", "density", "link_chars", "link_tags", "name", "out", "sum", "tags", "up")
+    """An element. out: left out by its element; marked: left out by a word, unless it is the page's frame; closed: its end was read."""
 
-    def __init__(self, name: str, up: Node | None, out: bool):
-        self.name, self.up, self.out = name, up, out
+    __slots__ = ("chars", "children", "closed", "density", "link_chars", "link_tags", "marked", "name", "out", "sum", "tags", "up")
+
+    def __init__(self, name: str, up: Node | None, out: bool, marked: str = ""):
+        self.name, self.up, self.out, self.marked, self.closed = name, up, out, marked, False
         self.children: list = []  # nodes, and [text, characters in links] runs
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-def _marked(name: str, raw: str, in_article: bool) -> bool:
-    """Whether an element's attributes mark it as no part of the article."""
+def _marks(name: str, raw: str, in_article: bool) -> str:
+    """How an element's attributes mark it as no part of the article: "hidden", "comments", "other" or not at all."""
     if not raw or raw.isspace():
-        return False
+        return ""
+    found = ""
     for key, value in _ATTRIBUTE.findall(raw):
         key, value = key.lower(), value.strip("\"'")
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-        if key == "style":
-            if _HIDDEN.search(value):
-                return True
-        elif key in ("class", "id", "role"):
-            words = {w.lower() for w in _WORD.findall(value)}
-            if words & MARKS and not (in_article and name in ("h1", "h2", "p")):
-                return True
-            if not in_article and words & _HEADER:
-                return True
-    return False
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
+            return "hidden"
+        if key not in ("class", "id", "role"):
+            continue
+        for token in value.split():
+            words = [w.lower() for w in _WORD.findall(token)]
+            says = {w for k, w in enumerate(words) if not k or words[k - 1] not in HAVING}
+            if in_article and name in ("h1", "h2", "p"):
+                continue
+            if says & COMMENTS:
+                found = "comments"
+            elif says & MARKS or not in_article and says & _HEADER:
+                found = found or "other"
+    return found
 
 
 def parse(page: str) -> Node:
     """The tree of a page's blocks, under a root that stands for the body."""
     root = Node("body", None, False)
-    now, opened, links = root, [], 0  # opened: inline elements to leave out, by name
-    article = 0
+    now, article = root, 0
+    opened: list[tuple[str, Node]] = []  # inline elements to leave out, by name, with the block that each began in
+    link: Node | None = None  # the block that the open link began in
     at, end = 0, len(page)
 
     def add(raw: str) -> None:
-        if not raw:
+        if not raw or now.out or opened:
             return
         text = html.unescape(raw) if "&" in raw else raw
-        if now.out or opened:
-            return
         kids = now.children
         if kids and isinstance(kids[-1], list):
             kids[-1][0].append(text)
         else:
             kids.append([[text], 0])
-        if links:
+        if link is not None:
             kids[-1][1] += len("".join(text.split()))
 
+    def leave() -> None:
+        nonlocal now, article, link
+        now.closed = True
+        article -= now.name in ("article", "main")
+        if link is now:
+            link = None
+        while opened and opened[-1][1] is now:
+            opened.pop()
+        now = now.up
+
     def close(names, scopes=SCOPES) -> None:
-        nonlocal now, article
         node = now
         while node.up is not None and node.name not in names:
             if node.name in scopes:
                 return
             node = node.up
         if node.up is not None:
-            while now is not node:
-                article -= now.name in ("article", "main")
-                now = now.up
-            article -= now.name in ("article", "main")
-            now = now.up
+            while not node.closed:
+                leave()
 
     while at < end:
         m = _TOKEN.search(page, at)
@@ -129,13 +156,14 @@ def parse(page: str) -> Node:
             continue
         name, raw = name.lower(), m.group(3)
         if m.group(1):
-            if name in opened:
-                del opened[len(opened) - 1 - opened[::-1].index(name) :]
+            if name == "a":
+                link = None
+            last = next((k for k in range(len(opened) - 1, -1, -1) if opened[k][0] == name), None)
+            if last is not None:
+                del opened[last:]
             elif name in BLOCK or name in LEFT_OUT:
                 if name not in ("body", "html"):
                     close((name,), frozenset(["article", "main", "table"]) - {name} if name in ("p", "li", "dd", "dt") else frozenset())
-            elif name == "a":
-                links = max(0, links - 1)
             continue
         if name in ("html", "body"):
             continue
@@ -161,22 +189,37 @@ def parse(page: str) -> Node:
             if name == "hr":
                 now.children.append(Node("hr", now, False))
                 continue
-            out = now.out or bool(opened) or name in LEFT_OUT or (name == "header" and not article) or (name != "main" and _marked(name, raw, article > 0))
-            if name in ("article", "main") and not now.out:
-                out = name == "article" and article > 0 and _marked(name, raw, False)
-            now.children.append(node := Node(name, now, out))
+            marked = _marks(name, raw, article > 0)
+            if name == "main" or name == "article" and marked != "comments" and not (article and marked):
+                marked = ""
+            out = now.out or bool(opened) or name in LEFT_OUT or (name == "header" and not article) or marked == "hidden"
+            now.children.append(node := Node(name, now, out, marked))
             now = node
             article += name in ("article", "main")
             continue
         if name == "a":
-            links = 1
+            link = now
             if not now.out:
                 now.link_tags += 1
-        if _marked(name, raw, article > 0) and not raw.endswith("/"):
-            opened.append(name)
+        if not raw.endswith("/") and _marks(name, raw, article > 0):
+            opened.append((name, now))
     return root
 
 
+def resolve(root: Node) -> None:
+    """Leaves marked parts out, but for the page's frame: a part with over nine tenths of the text that isn't reader comments."""
+    held: dict[int, int] = {}
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(c for c in node.children if isinstance(c, Node) and not c.out)
+    for node in reversed(order):
+        held[id(node)] = sum(len("".join("".join(c[0]).split())) if isinstance(c, list) else held.get(id(c), 0) for c in node.children)
+    for node in order:
+        node.out = node.marked == "comments" or bool(node.marked) and 10 * held[id(node)] <= 9 * held[id(root)]
+
+
 def weigh(root: Node) -> None:
     """Counts characters and tags of every subtree, then densities and their sums, without recursion."""
     order, stack = [], [root]
@@ -213,35 +256,25 @@ def _density(chars: int, tags: int, link_chars: int, link_tags: int, ratio: floa
     return chars / t * math.log(max(value, 1.0)) / math.log(base) if base > 1 + 1e-9 else chars / t * math.log(max(value, 1.0) + math.e - 1)
 
 
-def choose(root: Node) -> list[Node]:
-    """The subtrees that hold the main text, in page order."""
+def choose(root: Node) -> tuple[list[Node], Node | None]:
+    """The subtrees that hold the main text, and the frame: the part right below the body with the subtree of the largest sum."""
     best = _best(root)
     if best is None:
-        return []
+        return [], None
     path, node = [], best
     while node is not None:
         path.append(node)
         node = node.up
-    holders = [n for n in path if n.name == "article"] or [n for n in path if n.name == "main"]
-    if holders:
-        return [holders[-1]]
     threshold = min(n.density for n in path)
-    chosen, stack, out = {id(best)}, [root], []
+    chosen, stack = [best], [root]
     while stack:
         node = stack.pop()
         if node.density >= threshold and node is not root:
             part = _best(node)
             if part is not None:
-                chosen.add(id(part))
+                chosen.append(part)
         stack.extend(c for c in node.children if isinstance(c, Node) and not c.out)
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        if id(node) in chosen:
-            out.append(node)
-        else:
-            stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.out)
-    return out
+    return chosen, path[-2] if len(path) > 1 else root
 
 
 def _best(top: Node) -> Node | None:
@@ -255,25 +288,36 @@ def _best(top: Node) -> Node | None:
     return best
 
 
-def blocks(top: Node) -> Iterator[str]:
-    """Texts of a subtree's blocks in page order; white space is one space."""
-    stack: list = [top]
+def blocks(root: Node, chosen: list[Node], frame: Node | None) -> list[str]:
+    """Texts of the chosen subtrees' blocks and of those that widen them, in page order; white space is one space."""
+    ids = {id(n) for n in chosen}
+    found: list[tuple[str, bool, bool, bool]] = []  # text, chosen, may widen, is a heading
+    stack: list = [(root, root, False, False)]
     while stack:
-        item = stack.pop()
+        item, owner, taken, inside = stack.pop()
         if isinstance(item, list):
             text = " ".join("".join(item[0]).split())
             if text:
-                yield text
+                plain = 2 * item[1] <= len(text) - text.count(" ")
+                found.append((text, taken, inside and plain and owner.name in TEXT, plain and owner.name in HEADINGS))
         elif not item.out:
-            stack.extend(reversed(item.children))
+            taken, inside = taken or id(item) in ids, inside or item is frame
+            stack.extend((c, item, taken, inside) for c in reversed(item.children))
+    keep = [taken for _, taken, _, _ in found]
+    for k in range(1, len(found)):
+        keep[k] = keep[k] or keep[k - 1] and found[k][2]
+    for k in range(len(found) - 2, -1, -1):
+        keep[k] = keep[k] or keep[k + 1] and (found[k][2] or found[k][3])
+    return [text for (text, *_), kept in zip(found, keep, strict=True) if kept]
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    resolve(root)
     weigh(root)
-    return "\n\n".join(text for node in choose(root) for text in blocks(node))
+    return "\n\n".join(blocks(root, *choose(root)))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

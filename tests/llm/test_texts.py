@@ -21,6 +21,13 @@ PAGES = {
     "<article><p>a&nbsp;b&#8217;c <!-- x > y -->d": "a b’c d",
     "<article><h1>T</h1><p><b>long text<br></article><footer>&copy; x": "T\n\nlong text",
     "plain &lt;b&gt;  text": "plain <b> text", "": "", "<nav>menu</nav>": "", "<article><p>cut <b": "cut",
+    '<p><span class="ad">x</p><p>Real text': "Real text", '<a class="ad" href=x>buy</a>text that is no link': "text that is no link",
+    '<div class="layout with-sidebar"><article><p>one two</p></article><div class=sidebar>no</div></div>': "one two",
+    '<div class="post has-comments"><p>text of the post</p><div class="comments"><p>a comment that is much longer than the post itself, as comments often are</p></div></div>': "text of the post",
+    '<div class="sidebar-layout"><p>all of the text is here, and it is long enough</p></div>': "all of the text is here, and it is long enough",
+    "<article><p class=byline>By X</p><div class=related>See more</div><p>Some text of fair length.</p><button>B</button></article>": "By X\n\nSee more\n\nSome text of fair length.\n\nB",
+    "<ul><li><a href=1>a</a><li><a href=2>b</a></ul><h2>Head</h2><div><p>This is a paragraph</p><p>And another one here</p></div><ul><li><a href=3>a link</a></ul>": "Head\n\nThis is a paragraph\n\nAnd another one here",
+    "<div><p>Short.</p><div><p>A paragraph of fair length is here.</p><p>A second paragraph of fair length is here.</p></div><p>End.</p></div>": "Short.\n\nA paragraph of fair length is here.\n\nA second paragraph of fair length is here.\n\nEnd.",
 }
 
 
@@ -45,7 +52,12 @@ def test_html_on_whole_table(spark):
 
     pages = {r["page_id"]: r["html"] for r in table(spark, SF, "pages").collect()}
     got = {r["page_id"]: r["text"] for r in html_text.op1(spark, SF).collect()}
-    assert got == {i: truth(h) for i, h in pages.items()}
+    want = {i: truth(h) for i, h in pages.items()}
+    assert got == want
+    # the article element's name decides nothing
+    for name in ("div", "section class='layout with-sidebar'"):
+        for i, h in pages.items():
+            assert html_text.main_text(h.replace("<article>", f"<{name}>").replace("</article>", f"</{name.split()[0]}>")) == want[i]
 
 
 # ---- op2
