@@ -79,7 +79,7 @@ def test_pseudonyms(spark):
     text = "card 4111111111111111 not 4111111111111112, mail bob.x9@ex.com on 2024-02-29 or 2023-02-29, 02/28/2020, ip 10.0.0.1 and 999.1.1.1; +1 (487) 555-7209. SSN 123-45-6789 000-12-3456 4111 1111 1111 1111!"
     rows = [(1, text), (2, None), (3, ""), (4, "clean"), (5, "again 4111111111111111, 10.0.0.1"), (5, "again 4111111111111111, 10.0.0.1"), (6, "x " * 50_000 + "10.0.0.1")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'c' AS kinds")
-    out = pii.pseudonymise(df).collect()
+    out = pii.pseudonymise(df, "k").collect()
     by = {r["doc_id"]: r for r in out}
     assert len(out) == len(rows) and by[2]["text"] is None and by[3]["text"] == "" and by[4]["text"] == "clean"
     new = by[1]["text"]
@@ -88,7 +88,7 @@ def test_pseudonyms(spark):
         assert kept in new
     card = re.search(r"card (\d{16})", new)[1]
     assert luhn(card) and card != "4111111111111111" and card == re.search(r"(\d{4} \d{4} \d{4} \d{4})!", new)[1].replace(" ", "") and card in by[5]["text"]
-    assert re.search(r"ip (\S+) and", new)[1] in by[6]["text"] and pii.pseudonymise(df.limit(0)).isEmpty()
+    assert re.search(r"ip (\S+) and", new)[1] in by[6]["text"] and pii.pseudonymise(df.limit(0), "k").isEmpty()
 
 
 def test_cards_beside_other_digits(spark):
@@ -96,7 +96,7 @@ def test_cards_beside_other_digits(spark):
     texts = [f"{a} 4845168114407329", f"{b} 12/27", f"{b} 12/27/2025", f"{b} 123", f"4111 1111 1111 1111 {a} 123-45-6789", f"12 {b} 192.168.1.1", f"{b}-1227", f"{b} 2024-02-29", f"3782 822463 10005 {b} 5 x@y.org", f"{b} 12-34ab", f"{b}-192.168.1.1",
              "555-123-4567 555-987-6543", "1234567890123 4", "4111111111111112 12", " ".join(["1000"] * 20_000) + f" {b}"]
     kinds = [["card", "card"], ["card"], ["card", "date"], ["card"], ["card", "card", "ssn"], ["card", "ipv4"], ["card"], ["card", "date"], ["card", "card", "email"], ["card"], ["card", "ipv4"], ["phone", "phone"], [], [], None]
-    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
     new = got[1]["text"][:16]
     assert luhn(new) and new != b
     for i, (text, want) in enumerate(zip(texts, kinds, strict=True)):
@@ -110,7 +110,7 @@ def test_cards_beside_other_digits(spark):
 
 def test_values_of_single_digits(spark):
     texts = ["8.8.8.8", "at 8.8.8.8 in 2024", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "1-800", "a 1 b"]
-    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
     assert [got[i]["kinds"] for i in range(5)] == [["ipv4"], ["ipv4"], ["card"], [], []]
     assert got[0]["text"] != "8.8.8.8" and got[1]["text"] == f"at {got[0]['text']} in 2024" and luhn(got[2]["text"].replace(" ", "")) and got[2]["text"] != texts[2]
 
@@ -119,7 +119,7 @@ def test_more_dates(spark):
     from pyspark.sql import functions as F
 
     texts = ["2024-02-29T10:00", "2024-02-29", "31/12/2024", "12/31/2024", "31/02/2024", "2024-02-29TX", "04/05/2024"]
-    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
     assert [got[i]["kinds"] for i in range(7)] == [["date"]] * 4 + [[], [], ["date"]]
     assert got[0]["text"] == got[1]["text"] + "T10:00" and got[1]["text"] != "2024-02-29" and got[4]["text"] == "31/02/2024"
     day, month = map(int, got[2]["text"].split("/")[:2])
@@ -252,6 +252,27 @@ def test_encoding(spark):
     assert bpe.encode_documents(df.limit(0)).isEmpty()
 
 
+def test_runs_of_white_space():
+    path, pattern = bpe.default_ranks()
+    own = bpe.encoder(path, pattern)
+    for n in (bpe.RUN - 1, bpe.RUN, bpe.RUN + 1, 20_000):
+        for text in (" " * n, "a" + " " * n + "b", "\n" * n + "'s", "a" + "\u2003" * n + " b" + "\t" * n + "\n" + " " * n + "!\x1c"):
+            assert bpe.encode(text, path, pattern) == own.encode_ordinary(text)
+
+
+def test_very_long_texts(spark):
+    """A run of white space on which the library gives up, and texts over several blocks that share no boundary."""
+    texts = ["x" + " " * 2_000_000 + "y", "z" * 3_000, ("word " * 700 + "q" * 900 + " ") * 3, "\n" * 9_000 + "end"]
+    own = bpe.encoder(*bpe.default_ranks())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for part, chunk, overlap, far in ((df.where("doc_id = 0"), bpe.CHUNK, bpe.OVERLAP, bpe.FAR - 10), (df.where("doc_id > 0"), 4, 2, 100)):
+        for r in bpe.encode_documents(part, chunk=chunk, overlap=overlap, far=far, with_ids=True).collect():
+            text = texts[r["doc_id"]]
+            if r["doc_id"]:
+                assert r["ids"] == own.encode_ordinary(text)
+            assert own.decode_bytes(r["ids"]) == text.encode() and r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest() and r["n_tokens"] == len(r["ids"])
+
+
 # ---- SQL
 def test_sql(spark):
     from factloom.llm.queries import QUERIES, SQL
