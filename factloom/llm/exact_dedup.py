@@ -2,25 +2,29 @@
 
 New rows are reduced to one candidate a digest (a map-side combine), the
 candidates meet the index in a sort-merge anti-join, and what is new is
-appended. The index table is bucketed by digest, so neither the anti-join nor
-the lookup shuffles it.
+appended; for what isn't, its count is. The index table is bucketed by digest, so
+neither the anti-join nor the lookup shuffles it.
+
+A table that has no index yet is added to one in two batches, the larger half of
+the doc_ids first: what the second batch finds in the index has the larger doc_id.
 
 Defined results: a null text counts as empty; equal texts are equal byte
 sequences; of equal texts the row with the largest doc_id stays (a null doc_id
 is the smallest; of rows that also share the doc_id, one stays). A digest that
-an earlier batch has put into the index drops every new row that has it. Empty
-input gives an empty result. Other columns are not read.
+an earlier batch has put into the index drops every new row that has it, whatever
+its doc_id; group_size counts the rows of all batches so far. Empty input gives
+an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, materialize, shared_dir, table, text_or_empty
+from .common import free_name, materialize, remove, shared_dir, table, text_or_empty
 
 #: A group with at least one row in so many is looked up by broadcast; there are at most so many of them.
 HOT_SHARE = 1000
@@ -29,13 +33,14 @@ INDEX = T.StructType([
     T.StructField("digest", T.BinaryType()),
     T.StructField("keep_id", T.LongType()),
     T.StructField("keep_row", T.LongType()),
-    T.StructField("group_size", T.LongType()),
+    T.StructField("n", T.LongType()),
+    T.StructField("first", T.BooleanType()),
     T.StructField("batch", T.StringType()),
 ])
 
 
 class DigestIndex:
-    """A table (digest, keep_id, keep_row, group_size, batch), bucketed and sorted by digest."""
+    """A table bucketed and sorted by digest. Rows with `first` name the row that stays; the others count what came later."""
 
     def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int | None = None):
         """name: of the table in the catalog; path: its folder; buckets: by default the session's shuffle partitions."""
@@ -53,7 +58,7 @@ class DigestIndex:
         return self.spark.table(self.name)
 
     def append(self, rows: DataFrame) -> None:
-        """Adds rows, which must have the index's columns and no digest that it holds."""
+        """Adds rows, which must have the index's columns and no digest as first that it holds."""
         (
             rows.select(*INDEX.names)
             .repartition(self.buckets, "digest")
@@ -62,41 +67,84 @@ class DigestIndex:
             .option("path", self.path).saveAsTable(self.name)
         )
 
+    def drop(self) -> None:
+        """Removes the table and its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.spark, self.path)
 
-def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, keep_id, group_size, kept, text_sha256), one for each row of docs, after adding docs to the index."""
-    batch = uuid.uuid4().hex
-    keyed = materialize(
-        docs.select(
-            F.col(id_col).cast("long").alias("id"),
-            F.unhex(F.sha2(text_or_empty(text_col), 256)).alias("digest"),
-        ).withColumn("row", F.monotonically_increasing_id()),
-        "digests",
-    )
-    groups = keyed.groupBy("digest").agg(F.max(F.struct("id", "row")).alias("best"), F.count("*").alias("group_size"))
-    known = index.table()
-    fresh = groups.join(known.hint("merge"), "digest", "left_anti") if index.exists() else groups
-    index.append(fresh.select("digest", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size", F.lit(batch).alias("batch")))
 
-    stored = index.table()
+def unseen(groups: DataFrame, index: DigestIndex) -> DataFrame:
+    """The rows of groups, one a digest, whose digest the index doesn't hold: a sort-merge anti-join with the buckets."""
+    return groups.join(index.table().where("first").select("digest").hint("merge"), "digest", "left_anti")
+
+
+def _digests(docs: DataFrame, id_col: str, text_col: str, batch: Column) -> DataFrame:
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(text_or_empty(text_col), 256)).alias("digest"))
+    return materialize(slim.select("id", "digest", F.monotonically_increasing_id().alias("row"), batch.alias("batch")), "digests")
+
+
+def _add(keyed: DataFrame, index: DigestIndex, batch: str) -> None:
+    """Puts the digests of one batch into the index."""
+    groups = keyed.where(F.col("batch") == batch).groupBy("digest").agg(F.max(F.struct("id", "row")).alias("best"), F.count("*").alias("n"))
+
+    def logged(df: DataFrame, first: bool) -> DataFrame:
+        kept = [F.when(F.lit(first), F.col(f"best.{c}")).alias(f"keep_{c}") for c in ("id", "row")]
+        return df.select("digest", *kept, "n", F.lit(first).alias("first"), F.lit(batch).alias("batch"))
+
+    if not index.exists():
+        index.append(logged(groups, True))
+        return
+    known = index.table().where("first").select("digest").hint("merge")
+    # both are written before the table that they read changes
+    index.append(materialize(logged(unseen(groups, index), True).unionByName(logged(groups.join(known, "digest", "left_semi"), False)), "batch"))
+
+
+def _decided(keyed: DataFrame, index: DigestIndex, batches: list[str], id_col: str) -> DataFrame:
+    """Each row of keyed with what the index says of its digest; a digest with many of the rows is looked up by broadcast."""
+    keep = F.max(F.when(F.col("first"), F.struct("keep_id", "keep_row", "batch"))).alias("k")
+    mine = F.sum(F.when(F.col("batch").isin(batches), F.col("n"))).alias("mine")
+    totals = index.table().groupBy("digest").agg(keep, F.sum("n").alias("group_size"), mine).where("mine IS NOT NULL")
+    totals = totals.select("digest", "k.keep_id", "k.keep_row", F.col("k.batch").alias("kept_in"), "group_size", "mine")
     rows = keyed.count()
-    hot = stored.where((F.col("batch") == batch) & (F.col("group_size") * HOT_SHARE >= F.lit(max(rows, 2 * HOT_SHARE))))
+    hot = totals.where(F.col("mine") * HOT_SHARE >= F.lit(max(rows, 2 * HOT_SHARE)))
     by_broadcast = keyed.join(F.broadcast(hot), "digest")
-    by_merge = keyed.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(stored.hint("merge"), "digest")
+    by_merge = keyed.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(totals.hint("merge"), "digest")
     return by_broadcast.unionByName(by_merge).select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",
-        ((F.col("row") == F.col("keep_row")) & (F.col("batch") == batch)).alias("kept"),
+        ((F.col("row") == F.col("keep_row")) & (F.col("batch") == F.col("kept_in"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
+def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, keep_id, group_size, kept, text_sha256), one for each row of docs, after adding docs to the index as one batch."""
+    batch = uuid.uuid4().hex
+    keyed = _digests(docs, id_col, text_col, F.lit(batch))
+    _add(keyed, index, batch)
+    return _decided(keyed, index, [batch], id_col)
+
+
+def deduplicate_whole(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same over an index of its own, in two batches from the larger doc_ids down; the index is dropped behind it."""
+    index = DigestIndex(docs.sparkSession)
+    middle = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), 0.5, 1000)).first()[0]
+    batches = [uuid.uuid4().hex for _ in range(2)]
+    larger = F.coalesce(F.col("id") >= F.lit(middle).cast("long"), F.lit(False))
+    keyed = _digests(docs, id_col, text_col, F.when(larger, batches[0]).otherwise(batches[1]))
+    for batch in batches:
+        _add(keyed, index, batch)
+    found = materialize(_decided(keyed, index, batches, id_col), "decisions")
+    index.drop()
+    return found
+
+
 def keep_first_copies(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that deduplicate() drops, with all their columns."""
+    """docs without the rows that deduplicate() drops, with all their columns; without an index, deduplicate_whole() does."""
     names = docs.columns
     sha, drop_id, drop_sha = (free_name(names, c) for c in ("own_sha", "drop_id", "drop_sha"))
-    found = materialize(deduplicate(docs, index or DigestIndex(docs.sparkSession), id_col, text_col), "decisions")
+    found = materialize(deduplicate(docs, index, id_col, text_col), "decisions") if index else deduplicate_whole(docs, id_col, text_col)
     dropped = found.where(~F.col("kept")).select(F.col(id_col).alias(drop_id), F.col("text_sha256").alias(drop_sha)).distinct()
     # a row repeated with its doc_id is both kept and dropped: it stays once
     kept = found.where("kept").select(F.col(id_col).alias("keep_id"), F.col("text_sha256").alias("keep_sha"))
@@ -111,7 +159,7 @@ def keep_first_copies(docs: DataFrame, index: DigestIndex | None = None, id_col:
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate(table(spark, sf_dir, "documents"), DigestIndex(spark))
+    return deduplicate_whole(table(spark, sf_dir, "documents"))
 
 
 OP7_SQL = """

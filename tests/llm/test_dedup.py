@@ -40,10 +40,34 @@ def test_exact_dedup_against_an_index(spark):
     exact_dedup.deduplicate(docs(spark, CASES[:3]), index).count()
     again = {r["doc_id"]: r for r in exact_dedup.deduplicate(docs(spark, [(20, "c", "s"), (21, "new", "s")]), index).collect()}
     assert (again[20]["keep_id"], again[20]["kept"]) == (3, False) and again[21]["kept"]
-    assert index.table().count() == 3
+    assert index.table().where("first").count() == 3
+    more = {r["doc_id"]: r for r in exact_dedup.deduplicate(docs(spark, [(30, "a b", "s"), (31, "a b", "s")]), index).collect()}
+    assert {(r["keep_id"], r["kept"], r["group_size"]) for r in more.values()} == {(5, False, 4)}
+    groups = spark.createDataFrame([(bytearray(32),)], "digest binary")
+    plan = exact_dedup.unseen(groups, index)._jdf.queryExecution().executedPlan().toString()
+    index_side = plan[plan.index("SortMergeJoin") :].split("+- ")[-1]
+    assert "LeftAnti" in plan and plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in index_side
+    index.drop()
+    assert not index.exists()
     assert exact_dedup.deduplicate(docs(spark, []), exact_dedup.DigestIndex(spark)).isEmpty()
 
 
+def test_exact_dedup_in_two_batches(spark):
+    """Any split by doc_id gives what one pass gives, null and repeated doc_ids included."""
+    rows = [(None if k % 11 == 0 else k % 40, f"text {k % 7}", "s") for k in range(120)]
+    before = {t.name for t in spark.catalog.listTables()}
+    out = exact_dedup.deduplicate_whole(docs(spark, rows)).collect()
+    size, best = defaultdict(int), {}
+    for i, x, _ in rows:
+        size[x] += 1
+        best[x] = max(best.get(x, -1), -1 if i is None else i)
+    sha = {hashlib.sha256(x.encode()).hexdigest(): x for x in size}
+    assert len(out) == 120 and all((r["keep_id"], r["group_size"]) == (best[sha[r["text_sha256"]]], size[sha[r["text_sha256"]]]) for r in out)
+    assert sorted(r["text_sha256"] for r in out if r["kept"]) == sorted(sha)
+    assert exact_dedup.deduplicate_whole(docs(spark, [])).isEmpty()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def brute_print(text):
     words = (text or "").encode().lower().split()
     if not words:
