@@ -18,6 +18,8 @@ repeated as a whole) are taken alike. Empty input gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,21 +49,17 @@ def word_count(text: Column) -> Column:
 
 def water_fill(sizes: dict, weights: dict, budget: float, max_epochs: float) -> dict:
     """Targets by source: shares of budget by weight, none above max_epochs times its size."""
-    target = {}
-    active = [s for s in sizes if sizes[s] > 0 and weights[s] > 0]
-    target.update({s: 0.0 for s in sizes if s not in set(active)})
-    left = float(budget)
-    while active:
-        total = sum(weights[s] for s in active)
-        share = {s: left * weights[s] / total for s in active}
-        over = [s for s in active if share[s] > max_epochs * sizes[s]]
-        if not over:
-            target.update(share)
+    target = dict.fromkeys(sizes, 0.0)
+    # in the order in which a rising level of words per weight clamps them; those after the first one below its clamp stay below
+    active = sorted((s for s in sizes if sizes[s] > 0 and weights[s] > 0), key=lambda s: max_epochs * sizes[s] / weights[s])
+    left, total = float(budget), math.fsum(weights[s] for s in active)
+    for k, s in enumerate(active):
+        if left * weights[s] <= max_epochs * sizes[s] * total:
+            target.update({x: left * weights[x] / total for x in active[k:]})
             break
-        for s in over:
-            target[s] = float(max_epochs * sizes[s])
-            left -= target[s]
-        active = [s for s in active if s not in set(over)]
+        target[s] = float(max_epochs * sizes[s])
+        left -= target[s]
+        total -= weights[s]
     return target
 
 
