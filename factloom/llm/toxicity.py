@@ -14,13 +14,14 @@ matrix, taken in closed form; the marginals are those of the full chain. The
 score rises with the expected number of toxic tokens and with the largest
 marginal; tokens at MARK or more are merged into spans of character offsets.
 
-The fit uses at most FIT_ROWS labelled rows, those smallest by a hash of their
-doc_id; rows whose crc32(doc_id) mod 3 is 1 are never used. Scoring covers every
-row and whole texts.
+The fit uses at most FIT_ROWS labelled rows and FIT_CHARS characters, those
+smallest by a hash of their doc_id; rows whose crc32(doc_id) mod 3 is 1 are never
+used. Scoring covers every row and whole texts.
 
 Defined results: null text is empty; empty texts get the score of a text without
 any toxic token; without labels, or with one class only, every score is the
-share of toxic labels (0 without labels). Repeated rows score alike.
+share of toxic labels (0 without labels). Repeated rows score alike; of several
+texts with one labelled doc_id the fit reads the smallest.
 """
 
 from __future__ import annotations
@@ -32,12 +33,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import table, workers_import_us
 
-#: Most labelled rows that the fit reads.
+#: Most labelled rows, and most characters of their texts, that the fit reads.
 FIT_ROWS = 6000
+FIT_CHARS = 64_000_000
 HOLD_OUT = 1
 THRESHOLD = 0.7
 MARK = 0.5
@@ -208,11 +211,11 @@ def fit(rows: list[tuple[str, int]]) -> Model:
             score[f] = (share - base) * np.sqrt(n + m)
     strong = set(sorted(score, key=lambda f: (-score[f], f))[: MAX_FEATURES // 2])
     # look-alikes: features that strong words share with clean ones, so that the chain can weigh them
-    watched = set(strong)
-    for f in sorted(strong):
-        if f[0] == "=":
-            watched.update(features_of(f[1:]))
-    index = {f: k for k, f in enumerate(sorted(watched)[:MAX_FEATURES])}
+    watched = dict.fromkeys(strong, 0.0)
+    for f in strong:
+        for g in [f, *(features_of(f[1:]) if f[0] == "=" else [])]:
+            watched[g] = max(watched.get(g, 0.0), score[f])
+    index = {f: k for k, f in enumerate(sorted(sorted(watched, key=lambda f: (-watched[f], f))[:MAX_FEATURES]))}
     if not index:
         return Model(constant=base)
 
@@ -328,17 +331,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
     return tuple(float(v) for v in w)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
-    """Fits on at most fit_rows labelled rows outside the held-out remainder. What comes to the driver has that bound."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> Model:
+    """Fits on at most fit_rows labelled rows of fit_chars characters outside the held-out remainder. What comes to the driver has these bounds."""
     chosen = (
         labels.select(F.col(id_col).alias("own_id"), F.col(label_col).alias("y"))
         .where(F.col("own_id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("own_id")))
         .distinct().withColumn("draw", F.xxhash64("own_id")).orderBy("draw", "own_id", "y").limit(fit_rows)
     )
     found = docs.select(F.col(id_col).alias("of"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("of") == F.col("own_id"))
-    rows = found.select("draw", "own_id", "y", "text").limit(2 * fit_rows).collect()
-    rows.sort(key=lambda r: (r["draw"], r["own_id"], r["y"], r["text"] or ""))
-    return fit([(r["text"] or "", int(r["y"])) for r in rows[:fit_rows]])
+    found = found.groupBy("draw", "own_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    run = F.sum(F.length("text")).over(W.orderBy("draw", "own_id", "y"))  # over fit_rows rows at most
+    rows = found.withColumn("run", run).where(F.col("run") <= fit_chars).select("draw", "own_id", "y", "text").collect()
+    rows.sort(key=lambda r: (r["draw"], r["own_id"], r["y"]))
+    return fit([(r["text"], int(r["y"])) for r in rows])
 
 
 def scored(text: Column, model: Model) -> Column:
