@@ -51,6 +51,8 @@ GLOB_RULES = (
 )
 DEFAULT = "allow"
 MAX_BITS = 1 << 20
+#: Words of 64 bits that the states of the texts in step may take.
+STATE = 1 << 20
 
 _ANY = np.ones(256, dtype=bool)
 _NO_SLASH = _ANY.copy()
@@ -119,6 +121,18 @@ def compile_rules(patterns: list[list]) -> Automaton:
     return Automaton(enter, stay, first, last)
 
 
+def decide(automaton: Automaton, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The first pattern that accepts each text, -1 if none does; so many texts at a time that states stay under STATE words."""
+    n = len(offsets) - 1
+    step = max(1, STATE // automaton.enter.shape[1])
+    out = np.full(n, -1)
+    for at in range(0, n, step):
+        hits = simulate(automaton, data, offsets[at : at + step + 1])
+        if hits.shape[1]:
+            out[at : at + step] = np.where(hits.any(axis=1), hits.argmax(axis=1), -1)
+    return out
+
+
 def simulate(automaton: Automaton, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Which patterns accept: [texts, patterns] booleans, for texts data[offsets[k]:offsets[k + 1]]."""
     n, words = len(offsets) - 1, automaton.enter.shape[1]
@@ -176,9 +190,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", site_
             both = pa.compute.binary_join_element_wise(".", host, path, "").cast(pa.large_binary())
             offsets = np.frombuffer(both.buffers()[1], dtype=np.int64)[both.offset : both.offset + len(both) + 1]
             data = np.frombuffer(both.buffers()[2] or b"", dtype=np.uint8)
-            hits = simulate(automaton, data, offsets)
-            chosen = np.where(hits.any(axis=1), hits.argmax(axis=1), len(names) - 1) if len(verdicts) > 1 else np.zeros(len(both), int)
-            site, glob = chosen < n_sites, (chosen >= n_sites) & (chosen < len(names) - 1)
+            chosen = decide(automaton, data, offsets)
+            site, glob = (chosen >= 0) & (chosen < n_sites), chosen >= n_sites
             found = names[chosen]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), host, path, pa.array(found, pa.string(), mask=~site), pa.array(verdicts[chosen], pa.string()), pa.array(found, pa.string(), mask=~glob)],
