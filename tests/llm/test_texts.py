@@ -63,10 +63,12 @@ def test_html_on_whole_table(spark):
 # ---- op2
 def test_chats(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "c"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (3, 2, "user", "c"), (4, 0, "user", "a"), (5, 0, "user", "ab"),
-            (6, 0, "user", "a"), (6, 1, "assistant", "x"), (6, 1, "assistant", "x"), (None, 0, "user", None), (7, None, None, "q"), (8, 0, "user", "w " * 20_000)]
+            (6, 0, "user", "a"), (6, 1, "assistant", "x"), (6, 1, "assistant", "x"), (None, 0, "user", None), (None, 5, "user", ""), (None, 1, "user", "a"), (None, 0, "user", "lone"), (7, None, None, "q"), (8, 0, "user", "w " * 20_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS n_turns")
-    got = {r["conv_id"]: (r["n_turns"], r["n_copies"]) for r in chat.format_chats(df).collect()}
-    assert got == {2: (3, 2), 5: (1, 1), 6: (2, 1), None: (1, 1), 7: (1, 1), 8: (1, 1)}
+    out = chat.format_chats(df).collect()
+    got = {r["conv_id"]: (r["n_turns"], r["n_copies"]) for r in out if r["conv_id"]}
+    assert got == {2: (3, 2), 5: (1, 1), 6: (2, 1), 7: (1, 1), 8: (1, 1)}
+    assert sorted((r["text"], r["n_copies"]) for r in out if not r["conv_id"]) == [("<|user|>\n<|end|>\n", 2), ("<|user|>\nlone<|end|>\n", 1)]
     assert chat.format_chats(df.limit(0)).isEmpty()
 
 
