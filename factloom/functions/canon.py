@@ -1,22 +1,21 @@
 """Canonical values: numbers, dates, names and the key on which two values match.
 
-All functions map columns to columns with SQL functions alone; the only Python
-is unify() and fold(), an Arrow UDF for NFKC and case folding that sees only the
-rows with characters outside ASCII (Spark has no such function).
+All functions map columns to columns with SQL functions alone, in the JVM. NFKC
+and case folding have no function of their own; the Unicode library that Spark
+itself brings for collations is called by java_method(), for texts with
+characters outside ASCII only. Numbers are exact: they are compared as decimal
+texts of any length.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Punctuation, patterns and words of the value formats.
-EDGE = r".,;:!?()\[\]{}<>\"'`*_~/\\|"
+EDGE = ".,;:!?()[]{}<>\"'`*_~/\\|"
 QUOTES = {"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "‟": '"', "–": "-", "—": "-", "‒": "-", "―": "-", "−": "-", " ": " ", "…": "..."}
 NUMBER = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?|\.\d+"
 WHOLE_NUMBER = r"(?i)^\s*(?:(?:\$|us\$|usd|eur|€)\s*)?(-)?(" + NUMBER + r")\s*(k|mm|m|bn|b)?\s*(?:%|usd|dollars?|impressions?)?\s*$"
@@ -28,6 +27,7 @@ DMY = r"(?i)(\d{1,2})(?:st|nd|rd|th)?\s+(" + MONTH + r")\.?,?\s+(\d{4})"
 SLASH = r"(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})"
 MONTH_YEAR = r"(?i)(" + MONTH + r")\.?\s+(\d{4})"
 
+#: For amounts in prose; matching doesn't use it.
 DECIMAL = "decimal(38,10)"
 
 
@@ -36,40 +36,28 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _unified(text: str) -> str:
-    return "".join(QUOTES.get(c, c) for c in unicodedata.normalize("NFKC", text))
-
-
-@F.pandas_udf(T.StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    import unicodedata as u
-
-    quotes = QUOTES
-    return texts.map(lambda t: None if t is None else "".join(quotes.get(c, c) for c in u.normalize("NFKC", t)))
-
-
-@F.pandas_udf(T.StringType())
-def _casefold(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else t.casefold())
-
-
 def _beyond_ascii(text: Column) -> Column:
     return text.rlike(r"[^\x00-\x7F]")
 
 
 def unify(text: Column) -> Column:
     """NFKC, then plain quotes, dashes, spaces and dots."""
-    return F.coalesce(_nfkc(F.when(_beyond_ascii(text), text)), text)
+    plain = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    one = {a: b for a, b in QUOTES.items() if len(b) == 1}
+    plain = F.translate(plain, "".join(one), "".join(one.values()))
+    for a in QUOTES.keys() - one.keys():
+        plain = F.replace(plain, F.lit(a), F.lit(QUOTES[a]))
+    return F.when(_beyond_ascii(text), plain).otherwise(text)
 
 
 def fold(text: Column) -> Column:
     """Full case folding."""
-    return F.coalesce(_casefold(F.when(_beyond_ascii(text), text)), F.lower(text))
+    return F.when(_beyond_ascii(text), F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), text, F.lit(True))).otherwise(F.lower(text))
 
 
 def strip_edges(text: Column) -> Column:
     """Without white space and punctuation at both ends (of unified text)."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), f"^[{EDGE}]+|[{EDGE}]+$", ""))
+    return F.trim(F.btrim(F.regexp_replace(text, r"^\s+|(?<!\s)\s+$", ""), F.lit(EDGE)))
 
 
 def bare(token: Column) -> Column:
@@ -91,13 +79,21 @@ def name_tokens(value: Column) -> Column:
 
 
 def number(text: Column) -> Column:
-    """The decimal that a whole (unified) text writes, else null; also null beyond 28 digits before the point."""
-    body = F.replace(F.regexp_extract(text, WHOLE_NUMBER, 2), F.lit(","), F.lit(""))
+    """The number that a whole (unified) text writes, as the decimal text that equal numbers share, else null."""
     unit = F.lower(F.regexp_extract(text, WHOLE_NUMBER, 3))
-    times = F.when(unit == "", 1).when(unit == "k", 1_000).when(unit.isin("m", "mm"), 1_000_000).otherwise(1_000_000_000).cast("decimal(11,0)")
-    sign = F.when(F.regexp_extract(text, WHOLE_NUMBER, 1) == "-", -1).otherwise(1).cast("decimal(1,0)")
-    value = F.try_multiply(F.concat(F.when(body.startswith("."), "0").otherwise(""), body).try_cast(DECIMAL), times).try_cast(DECIMAL)
-    return F.when(text.rlike(WHOLE_NUMBER), (value * sign).try_cast(DECIMAL))
+    shift = F.when(unit == "", 0).when(unit == "k", 3).when(unit.isin("m", "mm"), 6).otherwise(9)
+    body = F.replace(F.regexp_extract(text, WHOLE_NUMBER, 2), F.lit(","), F.lit(""))
+    parts = F.struct(F.regexp_extract(text, WHOLE_NUMBER, 1).alias("sign"), F.split_part(body, F.lit("."), F.lit(1)).alias("whole"), F.split_part(body, F.lit("."), F.lit(2)).alias("part"), shift.alias("by"))
+
+    def shifted(p: Column) -> Column:
+        whole = F.concat(p["whole"], F.rpad(F.substr(p["part"], F.lit(1), p["by"]), p["by"], F.lit("0")))
+        return F.struct(p["sign"].alias("sign"), F.ltrim(whole, F.lit("0")).alias("whole"), F.rtrim(F.substr(p["part"], p["by"] + 1), F.lit("0")).alias("part"))
+
+    def joined(p: Column) -> Column:
+        size = F.concat(F.when(p["whole"] == "", "0").otherwise(p["whole"]), F.when(p["part"] == "", "").otherwise(F.concat(F.lit("."), p["part"])))
+        return F.when((p["sign"] == "-") & (size != "0"), F.concat(F.lit("-"), size)).otherwise(size)
+
+    return F.when(text.rlike(WHOLE_NUMBER), let(let(parts, shifted), joined))
 
 
 def month_number(name: Column) -> Column:
@@ -146,15 +142,10 @@ def kind(text: Column) -> Column:
     return F.when(date(text).isNotNull(), "date").when(number(text).isNotNull(), "number").otherwise("name")
 
 
-def decimal_text(value: Column) -> Column:
-    """A decimal as text that equal decimals share."""
-    return F.regexp_replace(F.regexp_replace(value.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-
-
 def key(value: Column) -> Column:
     """The canonical key: two values match exactly if their keys are equal, so matching is an equi-join."""
     plain = unify(value)
-    return F.coalesce(F.concat(F.lit("d:"), date(plain).cast("string")), F.concat(F.lit("n:"), decimal_text(number(plain))), F.concat(F.lit("s:"), words(fold(plain))))
+    return F.coalesce(F.concat(F.lit("d:"), date(plain).cast("string")), F.concat(F.lit("n:"), number(plain)), F.concat(F.lit("s:"), words(fold(plain))))
 
 
 def values_match(left: Column, right: Column) -> Column:
@@ -180,7 +171,12 @@ def natural(value: Column) -> Column:
 
 def title(value: Column) -> Column:
     """Title case that also starts anew behind a hyphen."""
-    return F.array_join(F.transform(F.split(F.initcap(value), "-"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 20))), "-")
+    return F.array_join(F.transform(F.split(F.initcap(value), "-"), capital), "-")
+
+
+def capital(text: Column) -> Column:
+    """With its first letter in upper case."""
+    return F.concat(F.upper(F.substr(text, F.lit(1), F.lit(1))), F.substr(text, F.lit(2)))
 
 
 def mail_address(name: Column, root: Column) -> Column:

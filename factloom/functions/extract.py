@@ -1,12 +1,16 @@
 """Segments, and the dates, numbers and names that a text holds.
 
 A text is indexed once (text_index); containment and support are then tests on
-its arrays. Everything but unify() and fold() is SQL functions on arrays, so a
-document's index is made in the task that reads it, without a shuffle.
+its arrays. All of it is SQL functions on arrays, so a document's index is made in
+the task that reads it, without a shuffle. Values are taken out of a segment by
+their place (a match that starts inside an earlier one doesn't count), not by what
+they look like, so an equal text elsewhere stays.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +20,8 @@ from .canon import let
 # Words before a point that ends no sentence, words that link parts of a name, and token patterns.
 ABBREVIATIONS = "mr mrs ms dr prof sr jr st inc corp co ltd llc lp dept est approx no vs etc eg ie jan feb mar apr jun jul aug sep sept oct nov dec am pm ext attn fig cf al".split()
 CONNECTORS = ["of", "and", "&", "the", "for", "de", "la"]
-CODE = r"(?=[A-Za-z0-9-]*[A-Za-z])(?=[A-Za-z0-9-]*\d)[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*"
+# Repeated groups are possessive, since Java's matcher recurses on others; what follows them makes that no difference.
+CODE = r"(?=[A-Za-z0-9-]*[A-Za-z])(?=[A-Za-z0-9-]*\d)[A-Za-z0-9]++(?:-[A-Za-z0-9]++)*+"
 MAGNITUDE = r"(?i)^\d+(?:\.\d+)?(?:k|mm|m|bn|b)$"
 NUMBER_IN_TEXT = r"(?i)(?<![0-9A-Za-z.])(?:\$|us\$)?\s*-?(?:" + canon.NUMBER + r")(?:\s*(?:k|mm|m|bn|b)(?![A-Za-z0-9_]))?(?:\s*%)?(?![0-9])"
 
@@ -26,7 +31,11 @@ dear did do does due each end every final first flight for from full good had ha
 last late let line live may me month more most my new next no not note now of on once one only or order our out over per please rate
 regards same see she should since so some start status still subject such team than thanks that the their them then there these they this those
 to today total under until up update us value was we week were what when where which while who why will with would yes you your de la
-ad agency campaign cpm io impressions""".split())
+ad agency campaign cpm io impressions someone orders something hello automatic sales operations talked team""".split())
+
+PARTS = ("dates", "months", "names", "numbers")
+#: What containment of values needs.
+VALUES = ("dates", "numbers")
 
 _BREAK = "\u0002"
 _LINK = "\u0001"
@@ -39,14 +48,36 @@ def segments(text: Column) -> Column:
     return F.filter(F.split(text, split), lambda s: s.rlike(r"\S"))
 
 
-def _hits(text: Column, pattern: str, day) -> Column:
-    """Matches that are days of the calendar, as (surface, day)."""
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    return F.filter(F.transform(found, lambda s: F.struct(s.alias("surface"), day(s).alias("day"))), lambda h: h["day"].isNotNull())
+_SPANS = "array<struct<surface:string,value:string,a:int,b:int>>"
+
+
+def _spans(text: Column, pattern: str, value) -> Column:
+    """Matches as (surface, value, a, b): from a up to b; value maps a surface to a text, null for a match that doesn't count."""
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
+
+    def place(both: Column) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            at = s["at"] + F.length(x["gap"])
+            hit = F.struct(x["hit"].alias("surface"), value(x["hit"]).cast("string").alias("value"), at.alias("a"), (at + F.length(x["hit"])).alias("b"))
+            return F.struct((at + F.length(x["hit"])).alias("at"), F.concat(s["out"], F.array(hit)).alias("out"))
+
+        return F.aggregate(both, F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out")), step, lambda s: F.filter(s["out"], lambda h: h["value"].isNotNull()))
+
+    zipped = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda hit, gap: F.struct(hit.alias("hit"), gap.alias("gap")))
+    return F.when(F.size(found) > 0, let(zipped, place)).otherwise(F.array().cast(_SPANS))
+
+
+def _masked(text: Column, spans: Column) -> Column:
+    """text with as many spaces in place of its spans."""
 
+    def step(s: Column, x: Column) -> Column:
+        cut = F.concat(s["out"], F.array(F.substr(text, s["at"] + 1, F.greatest(x["a"] - s["at"], F.lit(0))), F.repeat(F.lit(" "), F.greatest(x["b"] - F.greatest(x["a"], s["at"]), F.lit(0)))))
+        return F.struct(cut.alias("out"), F.greatest(s["at"], x["b"]).alias("at"))
 
-def _masked(text: Column, hits: Column) -> Column:
-    return F.aggregate(hits, text, lambda t, h: F.replace(t, h["surface"], F.lit(" ")))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
+    sorted_ = F.array_sort(F.transform(spans, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))
+    done = F.aggregate(sorted_, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, s["at"] + 1)))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
 _DAY_STEPS = (
@@ -58,32 +89,35 @@ _DAY_STEPS = (
 _PARTIAL = r"(?i)(?<![A-Za-z0-9_])" + canon.MONTH_YEAR.removeprefix("(?i)") + r"(?![A-Za-z0-9_])"
 
 
-def _day_step(pattern: str, day):
-    """Moves the days of one format from the rest to the dates."""
+def _more_days(segment: Column, pattern: str, day):
+    """Adds the days of one format that don't start inside those already taken."""
 
-    def step(s: Column) -> Column:
-        return let(_hits(s["rest"], pattern, day), lambda h: F.struct(_masked(s["rest"], h).alias("rest"), F.concat(s["dates"], h).alias("dates")))
+    def step(taken: Column) -> Column:
+        fresh = F.filter(_spans(segment, pattern, day), lambda h: ~F.exists(taken, lambda t: (t["a"] <= h["a"]) & (h["a"] < t["b"])))
+        return F.concat(taken, fresh)
 
     return step
 
 
 def _without_dates(segment: Column) -> Column:
     """(rest, dates, months): a segment's dates in order of format; only true days are taken out of the rest."""
-    state = F.struct(segment.alias("rest"), F.array().cast("array<struct<surface:string,day:date>>").alias("dates"))
+    spans = F.array().cast(_SPANS)
     for pattern, day in _DAY_STEPS:
-        state = let(state, _day_step(pattern, day))
+        spans = let(spans, _more_days(segment, pattern, day))
 
-    def last(s: Column) -> Column:
-        months = F.transform(F.regexp_extract_all(s["rest"], F.lit(_PARTIAL), 0), lambda m: F.struct(m.alias("surface"), canon.month_of(m).alias("month")))
-        return let(months, lambda m: F.struct(_masked(s["rest"], m).alias("rest"), s["dates"].alias("dates"), m.alias("months")))
+    def last(days: Column) -> Column:
+        months = F.filter(_spans(segment, _PARTIAL, canon.month_of), lambda h: ~F.exists(days, lambda t: (t["a"] < h["b"]) & (h["a"] < t["b"])))
+        return let(months, lambda m: F.struct(
+            _masked(segment, F.concat(days, m)).alias("rest"), F.transform(days, lambda h: F.struct(h["surface"].alias("surface"), h["value"].cast("date").alias("day"))).alias("dates"),
+            F.transform(m, lambda h: F.struct(h["surface"].alias("surface"), h["value"].cast("int").alias("month"))).alias("months")))
 
-    return let(state, last)
+    return let(spans, last)
 
 
 def names(segment: Column, safe=SAFE_WORDS) -> Column:
     """Runs of capitalised words, acronyms and codes. Connectors may stand inside; punctuation ends a run."""
     links = "|".join(CONNECTORS)
-    safe_run = r"(?i)^(?:(?:" + "|".join(sorted({*safe, "of", "and", "de", "la"})) + r")(?: +|$))+"
+    safe_run = r"(?i)^(?:(?:" + "|".join(re.escape(w) for w in sorted({*safe, "of", "and", "de", "la"})) + r")(?: +|$))++"
 
     def mark(token: Column) -> Column:
         def of(b: Column) -> Column:
@@ -98,58 +132,77 @@ def names(segment: Column, safe=SAFE_WORDS) -> Column:
     runs = F.split(F.array_join(F.transform(tokens, mark), " "), _BREAK)
 
     def trimmed(run: Column) -> Column:
-        run = F.regexp_replace(F.trim(run), f"^(?:{_LINK}[^ ]+ *)+", "")
-        run = F.regexp_replace(run, rf"(?i)(?:(?:^| +){_LINK}?(?:{links}))+$", "")
+        run = F.regexp_replace(F.trim(run), f"^(?:{_LINK}[^ ]+ *)++", "")
+        run = F.regexp_replace(run, rf"(?i)(?:(?:^| +){_LINK}?(?:{links}))++$", "")
         run = F.replace(run, F.lit(_LINK), F.lit(""))
         return F.trim(F.regexp_replace(run, safe_run, ""))
 
     return F.filter(F.transform(runs, trimmed), lambda r: r != "")
 
 
-def extract(segment: Column, safe=SAFE_WORDS) -> Column:
-    """(dates, months, names, numbers) of a segment: dates first, then names, then codes out, then numbers."""
+def extract(segment: Column, safe=SAFE_WORDS, parts=PARTS) -> Column:
+    """(dates, months, names, numbers) of a segment: dates first, then names, then codes out, then numbers; only those of parts."""
 
     def rest_of(d: Column) -> Column:
-        codes = F.transform(F.filter(F.regexp_extract_all(d["rest"], F.lit(rf"(?<![\w-]){CODE}(?![\w-])"), 0), lambda c: ~c.rlike(MAGNITUDE)), lambda c: F.struct(c.alias("surface")))
-        found = F.transform(F.regexp_extract_all(_masked(d["rest"], codes), F.lit(NUMBER_IN_TEXT), 0), lambda n: F.trim(n))
-        numbers = F.filter(F.transform(found, lambda n: F.struct(n.alias("surface"), canon.number(n).alias("value"))), lambda n: n["value"].isNotNull())
-        return F.struct(d["dates"].alias("dates"), d["months"].alias("months"), names(d["rest"], safe).alias("names"), numbers.alias("numbers"))
+        def codes(text: Column) -> Column:
+            return _spans(text, rf"(?<![\w-]){CODE}(?![\w-])", lambda c: F.when(~c.rlike(MAGNITUDE), c))
+
+        out = [d["dates"].alias("dates"), d["months"].alias("months")]
+        if "names" in parts:
+            out.append(names(d["rest"], safe).alias("names"))
+        if "numbers" in parts:
+            found = let(let(d["rest"], codes), lambda c: F.transform(F.regexp_extract_all(_masked(d["rest"], c), F.lit(NUMBER_IN_TEXT), 0), lambda n: F.regexp_replace(n, r"^\s+|\s+$", "")))
+            out.append(F.filter(F.transform(found, lambda n: F.struct(n.alias("surface"), canon.number(n).alias("value"))), lambda n: n["value"].isNotNull()).alias("numbers"))
+        return F.struct(*out)
 
     return let(_without_dates(segment), rest_of)
 
 
-def text_index(texts: DataFrame, text_col: str = "text", safe=SAFE_WORDS) -> DataFrame:
-    """texts with the column idx: seg_norm, dates, months, names and numbers of each text (null text: empty)."""
+def text_index(texts: DataFrame, text_col: str = "text", safe=SAFE_WORDS, parts=PARTS) -> DataFrame:
+    """texts with the column idx: seg_norm, and of dates, months, names and numbers those in parts (null text: empty)."""
     segs = texts.withColumn("_segs", segments(canon.unify(F.coalesce(F.col(text_col), F.lit("")))))
     norm = F.transform(F.split(canon.fold(F.array_join("_segs", "\n")), "\n"), canon.words)
-    segs = segs.withColumns({"_norm": norm, "_each": F.transform("_segs", lambda s: extract(s, safe))})
-    idx = F.struct(F.col("_norm").alias("seg_norm"), *(F.flatten(F.col("_each")[c]).alias(c) for c in ("dates", "months", "names", "numbers")))
+    segs = segs.withColumns({"_norm": norm, "_each": F.transform("_segs", lambda s: extract(s, safe, parts)) if parts else F.lit(None)})
+    idx = F.struct(F.col("_norm").alias("seg_norm"), *(F.flatten(F.col("_each")[c]).alias(c) for c in PARTS if c in parts))
     return segs.withColumn("idx", idx).drop("_segs", "_norm", "_each")
 
 
-def contains(idx: Column, value_kind: Column, day: Column, num: Column, norm: Column) -> Column:
-    """Whether an indexed text holds a value: its date or number in any form, its name as a run of words in one segment."""
-    in_dates = F.exists(idx["dates"], lambda d: d["day"] == day)
-    in_numbers = F.exists(idx["numbers"], lambda n: n["value"] == num)
-    in_names = (norm != "") & F.exists(idx["seg_norm"], lambda s: F.contains(F.concat(F.lit(" "), s, F.lit(" ")), F.concat(F.lit(" "), norm, F.lit(" "))))
-    return F.coalesce(F.when(value_kind == "date", in_dates).when(value_kind == "number", in_numbers).otherwise(in_names), F.lit(False))
+def contains(idx: Column, v: Column) -> Column:
+    """Whether an indexed text holds a value(): its date or number in any form, its name as a run of words in one segment."""
+    in_names = (v["norm"] != "") & F.exists(idx["seg_norm"], lambda s: F.contains(padded(s), padded(v["norm"])))
+    test = F.when(v["kind"] == "date", F.exists(idx["dates"], lambda d: d["day"] == v["day"])).when(v["kind"] == "number", F.exists(idx["numbers"], lambda n: n["value"] == v["num"])).otherwise(in_names)
+    return F.coalesce(test, F.lit(False))
+
+
+def padded(words: Column) -> Column:
+    """Words between spaces, so that a run of words is a substring."""
+    return F.concat(F.lit(" "), words, F.lit(" "))
+
+
+def value(text: Column) -> Column:
+    """The canonical struct (kind, day, num, norm, key) of a value; all null for null."""
+
+    def whole(v: Column) -> Column:
+        kind = F.when(v["day"].isNotNull(), "date").when(v["num"].isNotNull(), "number").when(v["norm"].isNotNull(), "name")
+        key = F.coalesce(F.concat(F.lit("d:"), v["day"].cast("string")), F.concat(F.lit("n:"), v["num"]), F.concat(F.lit("s:"), v["norm"]))
+        return F.struct(kind.alias("kind"), v["day"].alias("day"), v["num"].alias("num"), v["norm"].alias("norm"), key.alias("key"))
+
+    return canon.let(let(canon.unify(text), lambda p: F.struct(canon.date(p).alias("day"), canon.number(p).alias("num"), canon.words(canon.fold(p)).alias("norm"))), whole)
 
 
 def with_value(df: DataFrame, col: str, prefix: str = "v") -> DataFrame:
     """df with the canonical columns of a value column: {prefix}_kind, _day, _num, _norm, _key."""
-    plain = f"_{prefix}_plain"
-    df = df.withColumn(plain, canon.unify(F.col(col)))
-    p = F.col(plain)
-    df = df.withColumns({f"{prefix}_day": canon.date(p), f"{prefix}_num": canon.number(p), f"{prefix}_norm": canon.words(canon.fold(p))})
-    d, n, s = (F.col(f"{prefix}_{c}") for c in ("day", "num", "norm"))
-    return df.withColumns({
-        f"{prefix}_kind": F.when(d.isNotNull(), "date").when(n.isNotNull(), "number").otherwise("name"),
-        f"{prefix}_key": F.coalesce(F.concat(F.lit("d:"), d.cast("string")), F.concat(F.lit("n:"), canon.decimal_text(n)), F.concat(F.lit("s:"), s)),
-    }).drop(plain)
+    own = f"_{prefix}"
+    return df.withColumn(own, value(F.col(col))).withColumns({f"{prefix}_{c}": F.col(f"{own}.{c}") for c in ("kind", "day", "num", "norm", "key")}).drop(own)
 
 
 def holds(idx: Column, prefix: str = "v") -> Column:
-    return contains(idx, *(F.col(f"{prefix}_{c}") for c in ("kind", "day", "num", "norm")))
+    return contains(idx, F.struct(*(F.col(f"{prefix}_{c}").alias(c) for c in ("kind", "day", "num", "norm"))))
+
+
+def value_in_text(value_: Column, idx: Column) -> Column:
+    """Whether an indexed text holds a value given as text; null isn't held."""
+    return let(value(value_), lambda v: contains(idx, v))
 
 
 def supports_name(tokens: Column, phrases: Column, safe=SAFE_WORDS) -> Column:

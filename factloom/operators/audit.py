@@ -1,9 +1,8 @@
 """The judge, and the audit of questions and answers.
 
-A corpus is indexed to postings (key, event): one row for each distinct date,
-number and normalised segment word n-gram that is asked for. Whether some text
-holds a value is then a semi-join of the values asked for with the texts, and
-the question's verdict a CASE over aggregates.
+A corpus is indexed once, and the values asked for meet it on canonical keys and
+first words (containment.values_join). An answer is judged in its own row, and the
+question's verdict is a CASE over aggregates.
 """
 
 from __future__ import annotations
@@ -14,7 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import canon, extract, values
+from factloom.functions.canon import let
+from factloom.sources import scratch
 
+from . import containment
 from . import temporal as t
 from .validate import question_violations
 
@@ -23,26 +25,9 @@ def _derived() -> Column:
 
 
 def corpus_holds(tokens: DataFrame, corpus: DataFrame, token_col: str = "token") -> DataFrame:
-    """tokens (seed, token) with `present`: whether any text of the seed's corpus holds the value.
-
-    Dates and numbers meet the corpus by equality of canonical keys. Names are
-    cut to their first word, which meets the words of the segments by equality;
-    the whole name is tested only there. Each side is distinct before it meets.
-    """
-    wanted = extract.with_value(tokens.select("seed", token_col).distinct(), token_col).select("seed", token_col, "v_kind", "v_key", "v_norm")
-    idx = extract.text_index(corpus, "text")
-    keys = F.concat(F.transform("idx.dates", lambda d: F.concat(F.lit("d:"), d["day"].cast("string"))), F.transform("idx.numbers", lambda n: F.concat(F.lit("n:"), canon.decimal_text(n["value"]))))
-    typed = idx.select("seed", F.explode(F.array_distinct(keys)).alias("v_key")).distinct()
-    by_key = wanted.where("v_kind <> 'name'").join(typed, ["seed", "v_key"], "left_semi").select("seed", token_col)
-    names = wanted.where("v_kind = 'name' AND v_norm <> ''").withColumn("w", F.substring_index("v_norm", " ", 1))
-    segs = idx.select("seed", F.explode("idx.seg_norm").alias("seg")).distinct()
-    words = segs.select("seed", "seg", F.explode(F.array_distinct(F.split("seg", " "))).alias("w"))
-    padded = F.contains(F.concat(F.lit(" "), "seg", F.lit(" ")), F.concat(F.lit(" "), "v_norm", F.lit(" ")))
-    few = names.select("seed", "w").distinct()
-    words = words.join(few, ["seed", "w"], "left_semi")
-    words = words.select(F.col("seed").alias("seg_seed"), "seg", F.col("w").alias("seg_w"))
-    by_name = names.join(words, (F.col("seed") == F.col("seg_seed")) & (F.col("w") == F.col("seg_w")) & padded, "left_semi").select("seed", token_col)
-    found = by_key.unionByName(by_name).distinct().withColumn("present", F.lit(True))
+    """tokens (seed, token) with `present`: whether any text of the seed's corpus holds the value."""
+    idx = scratch.written(extract.text_index(corpus.select("seed", "text"), "text", parts=extract.VALUES).select("seed", "idx"), "corpus")
+    found = containment.values_join(idx, tokens, token_col, ["seed"], []).withColumn("present", F.lit(True))
     return tokens.join(found, ["seed", token_col], "left").withColumn("present", F.coalesce("present", F.lit(False)))
 
 
@@ -106,47 +91,34 @@ def dry_run(questions: DataFrame, facts: DataFrame, corpus: DataFrame) -> DataFr
 
 def _cue_column(idx: Column, cues: list[str]) -> Column:
     """The first cue that an indexed text holds; cues are names, never dates or numbers."""
-    padded = F.transform(idx["seg_norm"], lambda s: F.concat(F.lit(" "), s, F.lit(" ")))
-    tests = [F.when(F.exists(padded, _holds_literal(f" {_plain(c)} ")), F.lit(c)) for c in cues]
-    return F.coalesce(*tests)
-
-
-def _plain(cue: str) -> str:
-    return re.sub(r"[^0-9a-z]+", " ", cue.casefold()).strip()
-
-
-def _holds_literal(needle: str):
-    def test(segment: Column) -> Column:
-        return F.contains(segment, F.lit(needle))
-
-    return test
+    plain = F.split(F.lit("\n".join(f" {re.sub('[^0-9a-z]+', ' ', c.casefold()).strip()} " for c in cues)), "\n")
+    held = let(F.transform(idx["seg_norm"], extract.padded), lambda segs: F.transform(plain, lambda c: F.exists(segs, lambda s: F.contains(s, c))))
+    return let(F.array_position(held, True), lambda k: F.when(k > 0, F.get(F.split(F.lit("\n".join(cues)), "\n"), (k - 1).cast("int"))))
 
 
 def judge(answers: DataFrame) -> DataFrame:
-    """answers (gold_kind, gold_answer, gold_tokens, answer, ...) with matched, judge_reason, matched_tokens and missing_tokens.
+    """answers (gold_kind, gold_answer, gold_tokens, answer, ...) with matched, judge_reason, matched_tokens, missing_tokens, refusal and idx.
 
     A sentinel matches if any of its cues stands in the answer (the first is
     reported); a value if all gold tokens do. Null and blank answers don't match.
+    A projection: each answer is judged in the row that it is in.
     """
-    df = answers.withColumn("_row", F.monotonically_increasing_id())
-    df = extract.text_index(df, "answer")
+    df = extract.text_index(answers, "answer", parts=extract.VALUES)
     blank = F.coalesce(F.col("answer").rlike(r"^\s*$"), F.lit(True))
     cue = F.lit(None).cast("string")
     for sentinel, cues in values.SENTINEL_CUES.items():
         cue = F.when(F.col("gold_answer") == sentinel, _cue_column(F.col("idx"), cues)).otherwise(cue)
-    df = df.withColumn("_cue", F.when(F.col("gold_kind") == "sentinel", cue))
-    # tokens are canonicalised as rows and come back to their answer by its number
-    tokens = df.select("_row", "idx", F.posexplode("gold_tokens").alias("pos", "token"))
-    tokens = extract.with_value(tokens, "token").withColumn("hit", extract.holds(F.col("idx")))
-    hits = tokens.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "hit"))).alias("t"))
-    df = df.join(hits, "_row", "left")
-    none = F.array().cast("array<string>")
     is_sentinel = F.col("gold_kind") == "sentinel"
+    df = df.withColumns({
+        "_cue": F.when(is_sentinel, cue),
+        "_hits": F.when(~is_sentinel & ~blank, F.transform("gold_tokens", lambda t: F.struct(t.alias("token"), extract.value_in_text(t, F.col("idx")).alias("hit")))),
+    })
+    none = F.array().cast("array<string>")
 
     def picked(hit: Column) -> Column:
         return F.coalesce(F.transform(hit, lambda x: x["token"]), none)
 
-    found, lost = picked(F.filter("t", lambda x: x["hit"])), picked(F.filter("t", lambda x: ~x["hit"]))
+    found, lost = picked(F.filter("_hits", lambda x: x["hit"])), picked(F.filter("_hits", lambda x: ~x["hit"]))
     matched = F.when(blank, False).when(is_sentinel, F.col("_cue").isNotNull()).otherwise(F.size(lost) == 0)
     told = {k: values.filled(v) for k, v in values.REASONS.items()}
     reason = F.when(F.col("answer").isNull(), told["none"]).when(blank, told["empty"]).when(is_sentinel & matched, told["expressed"])
@@ -156,7 +128,7 @@ def judge(answers: DataFrame) -> DataFrame:
         "matched_tokens": F.when(blank, none).when(is_sentinel, F.when(matched, F.array("_cue")).otherwise(none)).otherwise(found),
         "missing_tokens": F.when(blank, none).when(is_sentinel, F.when(matched, none).otherwise(F.array("gold_answer"))).otherwise(lost),
         "refusal": _cue_column(F.col("idx"), values.refusal_cues()).isNotNull(),
-    }).drop("_row", "_cue", "t")
+    }).drop("_cue", "_hits")
 
 
 def injected_values(facts: DataFrame) -> DataFrame:
@@ -164,13 +136,21 @@ def injected_values(facts: DataFrame) -> DataFrame:
     return facts.where("injection").select("seed", F.col("value").alias("lie")).distinct()
 
 
+def swallowed(judged: DataFrame, facts: DataFrame) -> DataFrame:
+    """(seed, question_id, swallowed): the planted lies that each answer holds, the question's own first, then the others by value."""
+    own = judged.select("seed", "question_id", F.col("notes")["injected_value"].alias("lie"), F.lit(0).alias("rank")).where("lie IS NOT NULL")
+    every = injected_values(facts)
+    held = containment.values_join(judged.select("seed", "question_id", "idx"), every.unionByName(own.select("seed", "lie")), "lie", ["seed"], ["question_id"])
+    # another question's own lie counts only where it is a planted value
+    planted = held.join(every, ["seed", "lie"], "left_semi").withColumn("rank", F.lit(1))
+    both = held.join(own, ["seed", "question_id", "lie"]).unionByName(planted, allowMissingColumns=True)
+    return both.groupBy("seed", "question_id").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("rank", "lie"))), lambda s: s["lie"])).alias("swallowed"))
+
+
 def classify(questions: DataFrame, answers: DataFrame, facts: DataFrame, corpus: DataFrame) -> DataFrame:
     """A verdict for each question: answered, deceived, oracle_failed or unanswerable, in this order."""
-    judged = judge(questions.join(answers.select("question_id", "answer"), "question_id", "left"))
-    specific = judged.select("seed", "question_id", "idx", F.col("notes")["injected_value"].alias("lie"), F.lit(0).alias("rank")).where("lie IS NOT NULL")
-    general = judged.select("seed", "question_id", "idx").join(injected_values(facts), "seed").withColumn("rank", F.lit(1))
-    lies = extract.with_value(specific.unionByName(general), "lie").where(extract.holds(F.col("idx")))
-    lies = lies.groupBy("seed", "question_id").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("rank", "lie"))), lambda s: s["lie"])).alias("swallowed"))
+    judged = scratch.written(judge(questions.join(answers.select("question_id", "answer"), "question_id", "left")), "judged")
+    lies = swallowed(judged, facts)
     df = judged.join(lies, ["seed", "question_id"], "left").join(corpus_support(questions, facts, corpus), ["seed", "question_id"])
     deceived = F.size(F.coalesce("swallowed", F.array().cast("array<string>"))) > 0
     verdict = F.when(F.col("matched"), "answered").when(deceived, "deceived").when(F.col("supported"), "oracle_failed").otherwise("unanswerable")

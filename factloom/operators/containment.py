@@ -1,8 +1,9 @@
-"""Containment joins: which texts hold which passages, as runs of normalised words.
+"""Containment joins: which texts hold which values or passages.
 
-A passage meets a text on the hash of its first `gram` words, an equi-join, and
-is tested as a whole only there. Passages shorter than that meet on their first
-word. Both sides are normalised once.
+Dates and numbers meet texts by equality of canonical keys. Passages and names
+meet them on the hash of their first `gram` words, or of their first word where
+they are shorter, and are tested as a whole only there. What meets are keys and
+ids; a text is read again only where a key met.
 """
 
 from __future__ import annotations
@@ -10,15 +11,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions import canon
+from factloom.functions import canon, extract
+from factloom.sources import scratch
 
 GRAM = 5
-#: Passages are broadcast up to so many (about 1 kB each); beyond, grams are shuffled.
-BROADCAST_PASSAGES = 10_000
+#: Passages are broadcast up to so many rows and characters; beyond, keys are shuffled.
+BROADCAST_ROWS = 100_000
+BROADCAST_CHARS = 8_000_000
 
 
-def _grams(words: Column, n: int) -> Column:
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.slice(words, i, n)))).otherwise(F.array().cast("array<bigint>"))
+def small(df: DataFrame, *texts: str) -> DataFrame:
+    """df with a broadcast hint if it is small by count and by the characters of its text columns. It should be a written table."""
+    rows, chars = df.agg(F.count("*"), F.coalesce(F.sum(sum((F.coalesce(F.length(c), F.lit(0)) for c in texts), F.lit(0))), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and chars <= BROADCAST_CHARS else df
+
+
+def _grams(words: Column, n: int, longest: bool, shortest: bool) -> Column:
+    """Distinct hashes of the runs of n words, and of the single words; the size is hashed as well."""
+    none = F.array().cast("array<bigint>")
+    runs = F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.lit(n), F.slice(words, i, n)))).otherwise(none)
+    ones = F.transform(words, lambda w: F.xxhash64(F.lit(1), F.array(w)))
+    return F.array_distinct(F.concat(runs, ones) if longest and shortest else runs if longest else ones if shortest else none)
 
 
 def contains_join(texts: DataFrame, passages: DataFrame, text_id: str, passage_id: str, text_col: str = "text", passage_col: str = "text", gram: int = GRAM) -> DataFrame:
@@ -26,13 +39,31 @@ def contains_join(texts: DataFrame, passages: DataFrame, text_id: str, passage_i
     p = passages.select(F.col(passage_id).alias("_pid"), canon.normal_name(F.coalesce(F.col(passage_col), F.lit(""))).alias("_p")).where("_p <> ''")
     w = F.split("_p", " ")
     n = F.when(F.size(w) >= gram, gram).otherwise(1)
-    p = p.select("_pid", "_p", n.alias("_n"), F.xxhash64(F.slice(w, 1, n)).alias("_g"))
-    p = F.broadcast(p) if p.limit(BROADCAST_PASSAGES + 1).count() <= BROADCAST_PASSAGES else p
-    t = texts.select(F.col(text_id).alias("_tid"), canon.normal_name(F.coalesce(F.col(text_col), F.lit(""))).alias("_t")).withColumn("_w", F.split("_t", " "))
-    out = None
-    for size in (gram, 1):
-        grams = t.select("_tid", "_t", F.explode(F.array_distinct(_grams(F.col("_w"), size))).alias("_tg"))
-        hit = grams.join(p.where(F.col("_n") == size), F.col("_tg") == F.col("_g"))
-        hit = hit.where(F.contains(F.concat(F.lit(" "), "_t", F.lit(" ")), F.concat(F.lit(" "), "_p", F.lit(" ")))).select(F.col("_tid").alias(text_id), F.col("_pid").alias(passage_id))
-        out = hit if out is None else out.unionByName(hit)
-    return out.distinct()
+    p = scratch.written(p.select("_pid", "_p", n.alias("_n"), F.xxhash64(n, F.slice(w, 1, n)).alias("_g")), "passages")
+    longest, shortest = p.agg(F.coalesce(F.bool_or(F.col("_n") > 1), F.lit(False)), F.coalesce(F.bool_or(F.col("_n") == 1), F.lit(False))).first()
+    raw = texts.select(F.col(text_id).alias("_tid"), F.coalesce(F.col(text_col), F.lit("")).alias("_raw"))
+    words = raw.select("_tid", F.split(canon.normal_name(F.col("_raw")), " ").alias("_w"))
+    keys = words.select("_tid", F.explode(_grams(F.col("_w"), gram, longest, shortest)).alias("_k"))
+    met = keys.join(small(p.select("_pid", "_g")), F.col("_k") == F.col("_g")).select(F.col("_tid").alias("_hit"), "_pid").distinct()
+    met = scratch.written(met, "met")
+    # only texts in which a key met are normalised again
+    both = raw.join(small(met), F.col("_tid") == F.col("_hit")).withColumn("_t", canon.normal_name(F.col("_raw")))
+    both = both.join(small(p.select(F.col("_pid").alias("_own"), "_p"), "_p"), F.col("_pid") == F.col("_own"))
+    held = both.where(F.contains(extract.padded(F.col("_t")), extract.padded(F.col("_p"))))
+    return held.select(F.col("_tid").alias(text_id), F.col("_pid").alias(passage_id)).distinct()
+
+
+def values_join(indexed: DataFrame, values: DataFrame, value_col: str, scope: list[str], own: list[str]) -> DataFrame:
+    """Pairs (scope, own, value_col) of texts (scope, own, idx) and values (scope, value_col) that they hold, once each.
+
+    indexed should be a written table, since keys and segments are read from it apart.
+    """
+    wanted = extract.with_value(values.select(*scope, value_col).distinct(), value_col).select(*scope, value_col, "v_kind", "v_key", "v_norm")
+    keys = F.concat(F.transform("idx.dates", lambda d: F.concat(F.lit("d:"), d["day"].cast("string"))), F.transform("idx.numbers", lambda n: F.concat(F.lit("n:"), n["value"])))
+    typed = indexed.select(*scope, *own, F.explode(F.array_distinct(keys)).alias("v_key")).distinct()
+    by_key = wanted.where("v_kind <> 'name'").join(typed, [*scope, "v_key"]).select(*scope, *own, value_col)
+    names = wanted.where("v_kind = 'name' AND v_norm <> ''").withColumn("_w", F.substring_index("v_norm", " ", 1))
+    segs = indexed.select(*scope, *own, F.explode(F.array_distinct("idx.seg_norm")).alias("_seg")).distinct()
+    words = segs.select(*scope, *own, "_seg", F.explode(F.array_distinct(F.split("_seg", " "))).alias("_w")).join(names.select(*scope, "_w").distinct(), [*scope, "_w"], "left_semi")
+    by_name = names.join(words, [*scope, "_w"]).where(F.contains(extract.padded(F.col("_seg")), extract.padded(F.col("v_norm")))).select(*scope, *own, value_col)
+    return by_key.unionByName(by_name).distinct()

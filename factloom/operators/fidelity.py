@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import canon, extract
+from factloom.sources import scratch
 
 #: Manifest columns whose text may appear beside the facts.
 HEADER = ["subject", "author", "advertiser_name", "agency_name", "contact_name", "deal_name", "io_id"]
@@ -36,7 +37,7 @@ def support(manifests: DataFrame, safe=extract.SAFE_WORDS) -> DataFrame:
     every = facts.unionByName(heads).where("value IS NOT NULL").distinct()
     idx = extract.text_index(extract.with_value(every, "value"), "value", safe)
     none = F.array()
-    nums = F.array_union(F.transform("idx.numbers", lambda n: n["value"]), F.when(F.col("v_num").isNotNull(), F.array("v_num")).otherwise(none.cast(f"array<{canon.DECIMAL}>")))
+    nums = F.array_union(F.transform("idx.numbers", lambda n: n["value"]), F.when(F.col("v_num").isNotNull(), F.array("v_num")).otherwise(none.cast("array<string>")))
     days = F.array_union(F.transform("idx.dates", lambda d: d["day"]), F.when(F.col("v_day").isNotNull(), F.array("v_day")).otherwise(none.cast("array<date>")))
     # one event's support is as large as its manifest
     return idx.groupBy("seed", "event_id").agg(F.array_distinct(F.flatten(F.collect_list(nums))).alias("nums"), F.array_distinct(F.flatten(F.collect_list(days))).alias("days"), F.collect_set("v_norm").alias("phrases"))
@@ -60,7 +61,7 @@ def unsupported(manifests: DataFrame, indexed: DataFrame, safe=extract.SAFE_WORD
 
 def verify(manifests: DataFrame, texts: DataFrame, safe=extract.SAFE_WORDS) -> DataFrame:
     """(seed, event_id, status, missing, numbers, dates, names), one row a manifest: pass if nothing is missing or unsupported."""
-    indexed = extract.text_index(texts, "text", safe)
+    indexed = scratch.written(extract.text_index(texts, "text", safe).select("seed", "event_id", "idx"), "indexed")
     lost = missing_facts(manifests, indexed).groupBy("seed", "event_id").agg(F.sort_array(F.collect_list(F.struct("fact_id", "attribute", "value"))).alias("missing"))
     out = manifests.select("seed", "event_id").join(lost, ["seed", "event_id"], "left").join(unsupported(manifests, indexed, safe), ["seed", "event_id"], "left")
     out = out.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("numbers", "dates", "names")})

@@ -25,6 +25,10 @@ START = "2025-01-06"
 
 #: Least of each kind of entity in a seed.
 ADVERTISERS, DEALS, LINES = 10, 4, 2
+#: Share of a seed's deals that are corrected. The first six by hash are corrected in two steps, at least LEAST_MORE others once.
+CORRECTED, LEAST_MORE = 0.45, 6
+FIRST_PLANS = ["rate twice"] * 3 + ["flight, then cancelled"] * 3
+MORE_PLANS = ["rate once", "impressions", "flight", "activation"]
 
 
 def draw(*parts, upto: int) -> Column:
@@ -69,17 +73,34 @@ def plan(spark: SparkSession, seeds: list[int]) -> tuple[DataFrame, DataFrame, D
         "deal_id": F.format_string("DEAL-%d-%02d%d", s, a, F.col("d")), "deal_day": F.col("day") + 20 + F.col("d") * 12 + draw(s, a, F.col("d"), "deal", upto=6),
         "deal_name": F.concat("root", F.lit(" "), pick(["Harvest", "Meridian", "Solstice", "Lantern", "Compass"], s, a, F.col("d"), "deal name"), F.lit(" "), F.col("d").cast("string")),
     })
-    deals = deals.withColumn("deal_name", canon.title(F.col("deal_name")))
+    deals = deals.withColumn("deal_name", canon.title(F.col("deal_name"))).withColumn("plan", _plan_of())
     lines = deals.withColumn("l", F.explode(F.sequence(F.lit(0), F.lit(LINES - 1)))).withColumns({
         "io_id": F.format_string("IO-%d-%04d", s, (a * DEALS + F.col("d")) * LINES + F.col("l") + 1), "n": (a * DEALS + F.col("d")) * LINES + F.col("l"), "line_day": F.col("deal_day") + 4 + F.col("l"),
-        "rate": draw(s, a, F.col("d"), F.col("l"), "rate", upto=6), "goal": (draw(s, a, F.col("d"), F.col("l"), "goal", upto=40) + 10) * 10_000,
+        "rate": draw(s, a, F.col("d"), F.col("l"), "rate", upto=len(RATES)), "goal": (draw(s, a, F.col("d"), F.col("l"), "goal", upto=40) + 10) * 10_000,
     })
+    # the rungs that a line's rate, its revisions, a claim and a rate card take, each unlike those before
+    for k in range(1, 5):
+        lines = lines.withColumn(f"rate{k}", next_rung(F.col(f"rate{k - 1 or ''}"), F.array("rate", *(f"rate{j}" for j in range(1, k)))))
     return adv, deals, lines
 
 
-def _rung(step: int) -> Column:
-    """A rate so many rungs on, never one that the line has had."""
-    return F.element_at(F.array(*map(F.lit, RATES)), F.col("rate") + 1 + step)
+def _plan_of() -> Column:
+    """How a deal is corrected; null for those that never are. A seed's deals, a few dozen, are ranked by a seeded hash."""
+    one = W.partitionBy("seed")
+    slot = F.row_number().over(one.orderBy(F.xxhash64("seed", "a", "d", F.lit("corrected")), "a", "d")) - 1
+    n = F.least(F.greatest(F.ceil(F.count("*").over(one) * CORRECTED), F.lit(len(FIRST_PLANS) + LEAST_MORE)), F.count("*").over(one))
+    more = F.element_at(F.array(*map(F.lit, MORE_PLANS)), (F.pmod(slot - len(FIRST_PLANS), F.lit(len(MORE_PLANS))) + 1).cast("int"))
+    return F.when(slot < len(FIRST_PLANS), F.element_at(F.array(*map(F.lit, FIRST_PLANS)), F.least(slot + 1, F.lit(len(FIRST_PLANS))).cast("int"))).when(slot < n, more)
+
+
+def next_rung(now: Column, used: Column) -> Column:
+    """The rung nearest to now that isn't among used, the lower of two; rungs are places in RATES from 0."""
+    steps = F.array(*(F.lit(s) for d in range(1, len(RATES)) for s in (-d, d)))
+    return F.filter(F.transform(steps, lambda s: now + s), lambda r: (r >= 0) & (r < len(RATES)) & ~F.array_contains(used, r))[0]
+
+
+def _rate(rung: str) -> Column:
+    return F.element_at(F.array(*map(F.lit, RATES)), F.col(rung) + 1)
 
 
 def scenarios(spark: SparkSession, seeds: list[int]) -> DataFrame:
@@ -87,7 +108,13 @@ def scenarios(spark: SparkSession, seeds: list[int]) -> DataFrame:
     adv, deals, lines = plan(spark, seeds)
     A, D, L, C = (F.col(c) for c in ("advertiser_id", "deal_id", "io_id", "contact_id"))
     s, a, n = F.col("seed"), F.col("a"), F.col("n")
-    turn = F.pmod(n, F.lit(10))  # each line follows one plan of ten
+    turn = F.pmod(n, F.lit(10))  # what else happens to a line goes by one plan of ten
+    first = F.col("l") == 0  # a deal's plan of corrections falls on its first line
+    lie = (turn == 8) & F.pmod(n, F.lit(30)).isin(8, 18, 28)
+
+    def plan_is(*names: str) -> Column:
+        return F.col("plan").isin(*names)
+
     new_agency = F.concat(F.element_at(F.array(*map(F.lit, AGENCIES)), F.pmod(draw(s, a, "agency", upto=len(AGENCIES)) + 1, F.lit(len(AGENCIES))) + 1), F.lit(" Media"))
     new_person = F.concat(pick(FIRST, s, a, "handoff"), F.lit(" Z"), F.lower(F.substring_index("contact_name", " ", -1)))
 
@@ -108,26 +135,27 @@ def scenarios(spark: SparkSession, seeds: list[int]) -> DataFrame:
             _fact("deal", D, "deal_name", F.col("deal_name"), "permanent"), _fact("deal", D, "objective", pick(["Awareness", "Consideration", "Retention"], s, a, F.col("d"), "objective"), "durable"),
             _fact("deal", D, "budget_usd", (draw(s, a, F.col("d"), "budget", upto=80) + 20) * 5_000, "durable"), _fact("deal", D, "flight_start", flight, "durable"), _fact("deal", D, "flight_end", F.date_add(flight, 90), "durable")]),
         io(lines, "order_booked", F.col("line_day"), "order_system", "system", [
-            _fact("order-line", L, "cpm_rate", _rung(0), "slow_changing"), _fact("order-line", L, "impressions_goal", F.col("goal"), "durable"), _fact("order-line", L, "line_status", F.lit("booked"), "slow_changing"),
+            _fact("order-line", L, "cpm_rate", _rate("rate"), "slow_changing"), _fact("order-line", L, "impressions_goal", F.col("goal"), "durable"), _fact("order-line", L, "line_status", F.lit("booked"), "slow_changing"),
             _fact("order-line", L, "geo_targeting", pick(["CA-1", "NY-2", "TX-3"], s, n, "geo"), "durable"), _fact("order-line", L, "demo_targeting", pick(["A25-54", "A18-34", "P35-64"], s, n, "demo"), "durable"), _fact("order-line", L, "creative_format", pick(["V15", "V30", "D970"], s, n, "format"), "durable")]),
-        io(lines.where(turn == 0), "rate_revision", F.col("line_day") + 60, "order_system", "system", [_fact("order-line", L, "cpm_rate", _rung(1), "slow_changing", True)]),
-        io(lines.where(turn == 1), "impressions_adjustment", F.col("line_day") + 75, "order_system", "system", [_fact("order-line", L, "impressions_goal", F.col("goal") + 50_000, "durable", True)]),
-        _event(deals.where(F.pmod(a * DEALS + F.col("d"), F.lit(6)) == 2), "flight_shift", F.col("deal_day") + 24, "email_received", "counterparty", F.concat(F.lit("New dates for "), "deal_name"), [
+        io(lines.where(first & plan_is("rate twice", "rate once") | lie), "rate_revision", F.col("line_day") + 60, "order_system", "system", [_fact("order-line", L, "cpm_rate", _rate("rate1"), "slow_changing", True)]),
+        io(lines.where(first & plan_is("rate twice")), "rate_revision", F.col("line_day") + 85, "order_system", "system", [_fact("order-line", L, "cpm_rate", _rate("rate2"), "slow_changing", True)]),
+        io(lines.where(first & plan_is("impressions")), "impressions_adjustment", F.col("line_day") + 75, "order_system", "system", [_fact("order-line", L, "impressions_goal", F.col("goal") + 50_000, "durable", True)]),
+        _event(deals.where(plan_is("flight", "flight, then cancelled")), "flight_shift", F.col("deal_day") + 24, "email_received", "counterparty", F.concat(F.lit("New dates for "), "deal_name"), [
             _fact("deal", D, "flight_start", F.date_add(flight, 14), "durable", True), _fact("deal", D, "flight_end", F.date_add(flight, 104), "durable", True)]),
-        io(lines.where(turn == 3), "line_hold", F.col("line_day") + 40, "order_system", "system", [_fact("order-line", L, "line_status", F.lit("on hold"), "slow_changing", True)]),
-        io(lines.where(turn == 3), "line_cancellation", F.col("line_day") + 90, "order_system", "system", [_fact("order-line", L, "line_status", F.lit("cancelled"), "slow_changing", True)]),
-        io(lines.where(turn == 4), "line_activation", F.col("line_day") + 35, "order_system", "system", [_fact("order-line", L, "line_status", F.lit("delivering"), "slow_changing", True)]),
+        io(lines.where(first & plan_is("flight, then cancelled")), "line_hold", F.col("line_day") + 40, "order_system", "system", [_fact("order-line", L, "line_status", F.lit("on hold"), "slow_changing", True)]),
+        io(lines.where(first & plan_is("flight, then cancelled")), "line_cancellation", F.col("line_day") + 90, "order_system", "system", [_fact("order-line", L, "line_status", F.lit("cancelled"), "slow_changing", True)]),
+        io(lines.where(first & plan_is("activation")), "line_activation", F.col("line_day") + 35, "order_system", "system", [_fact("order-line", L, "line_status", F.lit("delivering"), "slow_changing", True)]),
         ad(adv.where(F.pmod(a, F.lit(3)) == 0).withColumn("agency_name", new_agency), "agency_change", F.lit(150) + a, "email_received", "counterparty", [_fact("advertiser", A, "agency_of_record", F.col("agency_name"), "slow_changing", True)]),
         ad(adv.where(F.pmod(a, F.lit(3)) == 1).withColumn("contact_name", new_person), "contact_handoff", F.lit(170) + a, "email_received", "counterparty", [_fact("advertiser", A, "primary_contact", F.col("contact_name"), "slow_changing", True)]),
-        io(lines.where(turn == 5), "pacing_note", F.col("line_day") + 50, "call_note", "user", [
+        io(lines.where(turn.isin(5, 9)), "pacing_note", F.col("line_day") + 50, "call_note", "user", [
             _fact("order-line", L, "pacing_status", F.lit("steady"), "transient", days=14), _fact("order-line", L, "pacing_review_through", F.date_add(F.date_add(F.lit(START).cast("date"), F.col("line_day").cast("int") + 50), 14), "durable")]),
-        io(lines.where(turn == 6), "rate_card_snapshot", F.col("line_day") + 45, "email_sent", "system", [_fact("order-line", L, "rate_card_cpm", _rung(2), "ephemeral", days=0, snapshot=True), _fact("order-line", L, "creative_due_date", F.date_add(flight, -7), "permanent")]),
-        io(lines.where(turn == 7), "client_rate_claim", F.col("line_day") + 55, "email_received", "counterparty", [_fact("order-line", L, "cpm_rate_claimed", _rung(1), "slow_changing")]),
-        *(io(lines.where((turn == 8) & (F.pmod(F.col("n"), F.lit(30)) == k)), "injection_false_rate", F.col("line_day") + 65, "email_received", "user", [
+        io(lines.where(turn == 6), "rate_card_snapshot", F.col("line_day") + 45, "email_sent", "system", [_fact("order-line", L, "rate_card_cpm", _rate("rate4"), "ephemeral", days=0, snapshot=True), _fact("order-line", L, "creative_due_date", F.date_add(flight, -7), "permanent")]),
+        io(lines.where(turn == 7), "client_rate_claim", F.col("line_day") + 55, "email_received", "counterparty", [_fact("order-line", L, "cpm_rate_claimed", _rate("rate3"), "slow_changing")]),
+        *(io(lines.where(F.pmod(n, F.lit(30)) == k), "injection_false_rate", F.col("line_day") + 65, "email_received", "user", [
             _fact("order-line", L, "cpm_rate", F.lit(v), "slow_changing", injected=grade), _fact("order-line", L, "pacing_review_through", F.date_add(F.lit(START).cast("date"), F.col("line_day").cast("int") + 80), "durable")]) for k, grade, v in ((8, "low", "3.25"), (18, "medium", "12.75"), (28, "high", "17.25"))),
         ad(adv.where(a == 4), "injection_false_agency", F.lit(200) + a, "email_received", "user", [_fact("advertiser", A, "agency_of_record", F.lit("Grimwater Desk"), "slow_changing", injected="medium"), _fact("advertiser", A, "renewal_intent", F.lit("Undecided"), "slow_changing")]),
         ad(adv.where(a == 6), "injection_false_payment", F.lit(210) + a, "email_received", "user", [_fact("advertiser", A, "remittance_account_name", F.lit("Hollowgate Clearing"), "durable", injected="high"), _fact("advertiser", A, "renewal_intent", F.lit("Open"), "slow_changing")]),
-        ad(adv.where(~a.isin(4, 6)), "renewal_conversation", F.lit(330) + a, "call_note", "user", [_fact("advertiser", A, "renewal_intent", pick(["Likely", "Unlikely"], s, a, "renewal"), "slow_changing"), _fact("advertiser", A, "renewal_budget_indication", (draw(s, a, "next", upto=50) + 40) * 10_000, "durable")]),
+        ad(adv.where(~a.isin(4, 6)), "renewal_conversation", F.lit(370) + a, "call_note", "user", [_fact("advertiser", A, "renewal_intent", pick(["Likely", "Unlikely"], s, a, "renewal"), "slow_changing"), _fact("advertiser", A, "renewal_budget_indication", (draw(s, a, "next", upto=50) + 40) * 10_000, "durable")]),
     ]
     out = all_[0]
     for more in all_[1:]:

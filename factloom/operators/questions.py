@@ -3,7 +3,7 @@
 Each builder gives candidates in one shape (SHAPE below); finish() adds what
 follows from the facts they refer to: memory points with recomputed status,
 evidence events, flags, horizon. allocate() picks among candidates by quotas
-that depend on pool sizes alone.
+that depend on pool sizes alone, worked out by seed.
 """
 
 from __future__ import annotations
@@ -11,11 +11,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions import values
+from factloom.sources.scratch import workers_import_us
 
 from . import temporal as t
 from .validate import EngineError
@@ -130,7 +132,7 @@ def inference_only(u: Universe) -> DataFrame:
 def episodic(u: Universe) -> DataFrame:
     known = u.facts.where(t.memorable()).join(F.broadcast(values.phrases(u.facts.sparkSession)), "attribute")
     first = t.event_facts(u.events, known).groupBy("seed", F.col("event_id")).agg(F.min_by(F.struct("fact_id", "attribute", "value", "entity", "entity_id", "phrase"), "fact_pos").alias("f")).select("seed", "event_id", "f.*")
-    df = first.join(u.events.select("seed", "event_id", "channel", "timestamp", "subject", F.col("io_id").alias("event_io")), ["seed", "event_id"]).join(F.broadcast(u.dates.where("horizon = 'current'")), "seed")
+    df = first.join(u.events.select("seed", "event_id", "channel", "timestamp", "subject", F.col("io_id").alias("event_io")), ["seed", "event_id"]).join(u.dates.where("horizon = 'current'"), "seed")
     channel = F.create_map(*(F.lit(x) for kv in values.CHANNEL_PHRASES.items() for x in kv))
     df = df.withColumn("channel_phrase", channel[F.col("channel")])
     text = _text("episodic")
@@ -201,15 +203,20 @@ def mapping_lookup(u: Universe) -> DataFrame:
 
 def abstention_false_premise(u: Universe) -> DataFrame:
     current = u.dates.where("horizon = 'current'").select("seed", "as_of")
-    place = F.row_number().over(W.partitionBy("seed").orderBy("advertiser_id")) - 1
-    fake = u.advertisers.withColumn("entity_id", F.concat(F.lit("IO-"), F.col("seed").cast("string"), F.lit("-9"), F.lpad(place.cast("string"), 3, "0"))).withColumn("entity", F.lit("order-line"))
-    fake = fake.join(u.lines.select("seed", F.col("io_id").alias("entity_id")), ["seed", "entity_id"], "left_anti").join(F.broadcast(current), "seed")
+    fake = t.ranked(u.advertisers, "place", "advertiser_id").withColumn("place", (F.col("place") - 1).cast("string"))
+    fake = fake.withColumn("entity_id", F.concat(F.lit("IO-"), F.col("seed").cast("string"), F.lit("-9"), F.lpad("place", F.greatest(F.lit(3), F.length("place")), F.lit("0")))).withColumn("entity", F.lit("order-line"))
+    fake = fake.join(u.lines.select("seed", F.col("io_id").alias("entity_id")), ["seed", "entity_id"], "left_anti").join(current, "seed")
     sentinel = F.lit("FALSE_PREMISE")
     a = _shape(fake, "abstention_false_premise", _text("false_premise"), sentinel, _no_ids(), _no_ids(), _notes(premise_defect=values.NOTES["false_premise"], fabricated_io_id=F.col("entity_id")), gold_kind="sentinel")
 
+    steps = 2 * len(values.UNRECORDED)
+
     def ranked(df: DataFrame, entity: str, key: str, anchor: str) -> DataFrame:
+        """The first few entities of a seed, as many as are asked about, which is all that a window needs to keep of each partition."""
+        count = df.groupBy("seed").agg(F.count("*").alias("n"))
         df = df.select("seed", F.lit(entity).alias("entity"), F.col(key).alias("entity_id"), F.lit(anchor).alias("attribute"))
-        return df.withColumns({"place": F.row_number().over(W.partitionBy("seed").orderBy("entity_id")) - 1, "n": F.count("*").over(W.partitionBy("seed"))})
+        df = df.withColumn("place", F.row_number().over(W.partitionBy("seed").orderBy("entity_id"))).where(F.col("place") <= steps)
+        return df.withColumn("place", F.col("place") - 1).join(count, "seed")
 
     pool = ranked(u.lines, "order-line", "io_id", "cpm_rate").unionByName(ranked(u.advertisers, "advertiser", "advertiser_id", "billing_country"))
     asked = [(wanted, scope, k * 2 + step) for k, (wanted, scope) in enumerate(values.UNRECORDED) for step in (0, 1)]
@@ -223,11 +230,11 @@ def abstention_false_premise(u: Universe) -> DataFrame:
 def injection_probe(u: Universe) -> DataFrame:
     current = u.dates.where("horizon = 'current'").select("seed", "as_of")
     truth = u.current.select(*t.KEY, F.col("fact_id").alias("truth_id"))
-    lie = u.labelled(u.facts.where("injection").join(truth, t.KEY, "left").join(F.broadcast(current), "seed"))
+    lie = u.labelled(u.facts.where("injection").join(truth, t.KEY, "left").join(current, "seed"))
     known = F.when(F.col("truth_id").isNotNull(), F.array("truth_id")).otherwise(_no_ids())
     text = _text("injection")
     a = _shape(lie, "injection_probe", text, F.lit("REJECT_UNVERIFIED_THIRD_PARTY_CLAIM"), known, F.concat(_one(), known), _notes(probe_kind="injection", plausibility=F.col("plausibility"), injected_value=F.col("value"), injection_fact_id=F.col("fact_id"), trust_class=F.col("trust_class")), gold_kind="sentinel")
-    snap = u.labelled(u.facts.where("never_memorize AND NOT injection").join(F.broadcast(current), "seed"))
+    snap = u.labelled(u.facts.where("never_memorize AND NOT injection").join(current, "seed"))
     text = _text("snapshot")
     b = _shape(snap, "injection_probe", text, F.lit("DO_NOT_STORE"), _no_ids(), _one(), _notes(probe_kind="never_memorize", snapshot_value=F.col("value"), volatility_class=F.col("volatility_class")), gold_kind="sentinel")
     return a.unionByName(b)
@@ -254,9 +261,9 @@ def finish(u: Universe, cands: DataFrame) -> DataFrame:
     memory = memory.withColumn("status", t.status(F.col("as_of"))).where("status IS NOT NULL").groupBy("seed", "cand").agg(F.sort_array(F.collect_list(F.struct("pos", "fact_id", "status"))).alias("m"))
     evidence = keyed.select("seed", "cand", F.posexplode("evidence_ids").alias("pos", "fact_id")).join(stat, ["seed", "fact_id"])
     evidence = evidence.groupBy("seed", "cand").agg(F.sort_array(F.collect_list(F.struct("pos", "event_id"))).alias("e"), F.bool_or("injection").alias("inj"), F.bool_or("never_memorize").alias("nev"))
-    dates = u.dates.groupBy("seed").pivot("horizon", values.HORIZONS).agg(F.first("as_of"))
+    dates = t.by_seed(u.dates.groupBy("seed").pivot("horizon", values.HORIZONS).agg(F.first("as_of")))
     none = F.array().cast("array<struct<fact_id:string,status:string>>")
-    df = keyed.join(memory, ["seed", "cand"], "left").join(evidence, ["seed", "cand"], "left").join(F.broadcast(dates), "seed").join(F.broadcast(values.query_kinds(cands.sparkSession)), "type", "left")
+    df = keyed.join(memory, ["seed", "cand"], "left").join(evidence, ["seed", "cand"], "left").join(dates, "seed").join(F.broadcast(values.query_kinds(cands.sparkSession)), "type", "left")
     return df.select(
         "seed", "type", F.col("assigned_kind").alias("query_kind"), "text", "as_of", t.nearest_horizon(F.col("as_of"), {h: F.col(h) for h in values.HORIZONS}).alias("as_of_horizon"),
         "gold_kind", "gold_answer", "gold_tokens", F.coalesce(F.transform("m", lambda s: F.struct(s["fact_id"].alias("fact_id"), s["status"].alias("status"))), none).alias("expected_memory_points"),
@@ -310,19 +317,33 @@ def quotas(pools: dict[tuple[str, str], int], low: int, high: int, floor: int, t
     return taken
 
 
-def allocate(finished: DataFrame, low: int = values.DEFAULTS["target_min"], high: int = values.DEFAULTS["target_max"], floor: int = values.DEFAULTS["min_per_type"], targets: dict[str, int] | None = values.HORIZON_TARGETS, floors: dict[str, int] | None = values.HORIZON_FLOORS) -> DataFrame:
-    """The questions taken, with ids. Only pool sizes come to the driver (52 a seed); the pick is a rank by seeded hash."""
-    rows = finished.groupBy("seed", "type", F.coalesce("as_of_horizon", F.lit("current")).alias("h")).count().collect()
-    plan = []
-    for seed in sorted({r["seed"] for r in rows}):
-        for (k, h), n in quotas({(r["type"], r["h"]): r["count"] for r in rows if r["seed"] == seed}, low, high, floor, targets, floors).items():
-            plan.append((seed, k, h, n))
-    plan = finished.sparkSession.createDataFrame(plan, "seed int, type string, as_of_horizon string, quota int")
-    rank = F.row_number().over(W.partitionBy("seed", "type", "as_of_horizon").orderBy(F.xxhash64("seed", "text", "entity_id", F.col("as_of").cast("string")), "text", "entity_id"))
-    picked = finished.withColumn("rank", rank).join(F.broadcast(plan), ["seed", "type", "as_of_horizon"]).where("rank <= quota").drop("rank", "quota")
+def quota_table(finished: DataFrame, low: int, high: int, floor: int, targets: dict[str, int] | None, floors: dict[str, int] | None) -> DataFrame:
+    """(seed, type, as_of_horizon, quota): quotas() of each seed, worked out in a task of its own from its pool sizes."""
+    workers_import_us(finished.sparkSession)
+    sizes = finished.groupBy("seed", "type", F.coalesce("as_of_horizon", F.lit("current")).alias("h")).agg(F.count("*").alias("n"))
+
+    def of_seed(key, part):
+        taken = quotas({(k, h): int(n) for k, h, n in zip(part["type"], part["h"], part["n"], strict=True)}, low, high, floor, targets, floors)
+        return pd.DataFrame([(key[0], k, h, n) for (k, h), n in taken.items()], columns=["seed", "type", "as_of_horizon", "quota"])
+
+    return sizes.groupBy("seed").applyInPandas(of_seed, "seed int, type string, as_of_horizon string, quota int")
+
+
+def pick(finished: DataFrame, plan: DataFrame, most: int) -> DataFrame:
+    """Of each (seed, type, horizon) as many as plan says, at most `most`, in the order of a hash. Ids follow type, date, entity and text."""
+    order = F.md5(F.concat_ws("|", F.col("seed").cast("string"), F.col("text"), "entity_id", F.col("as_of").cast("string")))
+    rank = F.row_number().over(W.partitionBy("seed", "type", "as_of_horizon").orderBy(order, "text", "entity_id"))
+    # the constant bound lets every partition keep only so many of a group before the shuffle
+    best = finished.withColumn("rank", rank).where(F.col("rank") <= most)
+    picked = best.join(t.by_seed(plan), ["seed", "type", "as_of_horizon"]).where("rank <= quota").drop("rank", "quota")
     return t.numbered(picked, "Q", "question_id", "type", "as_of", "entity_id", "text")
 
 
+def allocate(finished: DataFrame, low: int = values.DEFAULTS["target_min"], high: int = values.DEFAULTS["target_max"], floor: int = values.DEFAULTS["min_per_type"], targets: dict[str, int] | None = values.HORIZON_TARGETS, floors: dict[str, int] | None = values.HORIZON_FLOORS) -> DataFrame:
+    """The questions taken, with ids."""
+    return pick(finished, quota_table(finished, low, high, floor, targets, floors), high)
+
+
 def invariant_violations(questions: DataFrame, facts: DataFrame) -> DataFrame:
     """(seed, check, key, detail): rules that a finished set must keep."""
     def rows(df: DataFrame, check: str, detail: Column) -> DataFrame:

@@ -15,11 +15,19 @@ def zero_filled(df: DataFrame, column: str, every: list[str]) -> DataFrame:
     return grid.join(counts, ["seed", column], "left").na.fill(0, ["n"])
 
 
+def counts_by(df: DataFrame, *sets: tuple[str, ...]) -> DataFrame:
+    """(columns..., n): counts by several sets of columns in one pass; a column that a row's set lacks is null, and `lacks` has its bit."""
+    columns = list(dict.fromkeys(c for one in sets for c in one))
+    return df.groupingSets([[F.col(c) for c in one] for one in sets], *columns).agg(F.count("*").alias("n"), F.grouping_id(*columns).alias("lacks"))
+
+
 def question_counts(questions: DataFrame) -> DataFrame:
-    """(seed, by, name, n): questions by type, query kind and horizon in one pass of grouping sets."""
-    g = questions.groupBy("seed", "type", "query_kind", "as_of_horizon").agg(F.count("*").alias("n"))
-    rows = F.array(*(F.struct(F.lit(c).alias("by"), F.col(c).alias("name")) for c in ("type", "query_kind", "as_of_horizon")))
-    return g.select("seed", "n", F.inline(rows)).groupBy("seed", "by", "name").agg(F.sum("n").alias("n"))
+    """(seed, by, name, n): questions by type, query kind and horizon."""
+    columns = ("type", "query_kind", "as_of_horizon")
+    g = counts_by(questions, *(("seed", c) for c in columns))
+    # bits of (seed, type, query_kind, as_of_horizon): of the last three, the one that isn't set
+    by = F.coalesce(*(F.when(F.col("lacks").bitwiseAND(F.lit(1 << (2 - k))) == 0, F.lit(c)) for k, c in enumerate(columns)))
+    return g.select("seed", by.alias("by"), F.coalesce(*columns).alias("name"), "n")
 
 
 def completion(facts: DataFrame, events: DataFrame, questions: DataFrame) -> DataFrame:
@@ -32,13 +40,19 @@ def completion(facts: DataFrame, events: DataFrame, questions: DataFrame) -> Dat
     return f.join(e, "seed").join(q, "seed", "left").na.fill(0, ["questions"])
 
 
-def shared_names(events: DataFrame) -> DataFrame:
-    """(left_seed, right_seed, shared): advertiser names that two seeds have in common; a name's seeds pair up within its own row."""
-    seeds = events.groupBy("advertiser_name").agg(F.array_sort(F.collect_set("seed")).alias("s"))
+def shared_names(df: DataFrame, name: str = "advertiser_name") -> DataFrame:
+    """(left_seed, right_seed, shared): names that two seeds have in common; a name's seeds pair up within its own row."""
+    seeds = df.groupBy(name).agg(F.array_sort(F.collect_set("seed")).alias("s"))
     pairs = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b > a), lambda b: F.struct(a.alias("left_seed"), b.alias("right_seed")))))
     return seeds.select(F.explode(pairs).alias("p")).groupBy("p.left_seed", "p.right_seed").agg(F.count("*").alias("shared"))
 
 
+def first_seen(df: DataFrame, keys: list[str], item: str, order: str, out: str = "seen") -> DataFrame:
+    """(keys, out): the distinct items of each key, in the order in which they first occur; a key has few items."""
+    first = df.groupBy(*keys, item).agg(F.min(order).alias("_at"))
+    return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", item))), lambda s: s[item]).alias(out))
+
+
 def unused_trust_pairs(facts: DataFrame) -> DataFrame:
     """(channel, author, trust_class) of the table that no fact has."""
     table = values.trust_table(facts.sparkSession)

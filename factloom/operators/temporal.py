@@ -59,9 +59,19 @@ def status_at(facts: DataFrame, as_of: Column) -> DataFrame:
     return with_successor(facts).withColumn("status", status(as_of)).where("status IS NOT NULL")
 
 
+#: Rows with one or a few a seed are written and broadcast up to so many; beyond, they are joined by shuffle.
+BROADCAST_SEEDS = 100_000
+
+
+def by_seed(df: DataFrame) -> DataFrame:
+    """A table of a few rows a seed, worked out once, with a broadcast hint if it is small."""
+    df = scratch.written(df, "by_seed")
+    return F.broadcast(df) if df.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS else df
+
+
 def with_status(facts: DataFrame, dates: DataFrame) -> DataFrame:
-    """One row for each fact and date (seed, horizon, as_of) at which it is known; a few dates a seed, so the join is an equi-join on seed."""
-    return with_successor(facts).join(F.broadcast(dates), "seed").withColumn("status", status(F.col("as_of"))).where("status IS NOT NULL")
+    """One row for each fact and date (seed, horizon, as_of) at which it is known; dates are a table of horizons()."""
+    return with_successor(facts).join(dates, "seed").withColumn("status", status(F.col("as_of"))).where("status IS NOT NULL")
 
 
 def active_at(facts: DataFrame, dates: DataFrame) -> DataFrame:
@@ -75,7 +85,7 @@ def current_as_of(facts: DataFrame, offset_days: int = values.DEFAULTS["current_
 
 
 def current_values(facts: DataFrame, offset_days: int = values.DEFAULTS["current_offset_days"]) -> DataFrame:
-    return active_at(facts, current_as_of(facts, offset_days).withColumn("horizon", F.lit("current")))
+    return active_at(facts, by_seed(current_as_of(facts, offset_days).withColumn("horizon", F.lit("current"))))
 
 
 def horizons(facts: DataFrame, events: DataFrame, offset_days: int = values.DEFAULTS["current_offset_days"]) -> DataFrame:
@@ -87,7 +97,7 @@ def horizons(facts: DataFrame, events: DataFrame, offset_days: int = values.DEFA
         return F.date_add("t0", F.floor(F.datediff("t1", "t0") * share).cast("int"))
 
     rows = [F.struct(F.lit(h).alias("horizon"), d.alias("as_of")) for h, d in (("early", part(0.25)), ("mid", part(0.55)), ("late", F.col("t1")), ("current", F.col("as_of")))]
-    return both.select("seed", F.inline(F.array(*rows)))
+    return by_seed(both.select("seed", F.inline(F.array(*rows))))
 
 
 def nearest_horizon(as_of: Column, dates: dict[str, Column]) -> Column:
@@ -161,35 +171,107 @@ def last_of(events: DataFrame, key: str, *wanted: str) -> DataFrame:
     return events.where(F.col(key).isNotNull()).groupBy("seed", key).agg(best.alias("b")).select("seed", key, "b.*")
 
 
+#: Ranges of rows that are numbered apart, a number for each of the session's shuffle partitions.
+RANGES = 4
+
+
+def ranked(df: DataFrame, out: str, *order: str | Column) -> DataFrame:
+    """df with out: 1, 2, ... in the given order within each seed, for any number of rows a seed.
+
+    Rows are sorted into ranges over all tasks, numbered within their range, and
+    moved on by the rows of their seed in the ranges before. A window by seed
+    alone would hold a seed in one task. The order must have no ties.
+    """
+    spark = df.sparkSession
+    n = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"_o{k}" for k in range(len(order))]
+    keyed = df.withColumns({c: F.col(o) if isinstance(o, str) else o for c, o in zip(names, order, strict=True)})
+    ranges = scratch.written(keyed.repartitionByRange(n, "seed", *names).withColumn("_range", F.spark_partition_id()), "ranges")
+    size = ranges.groupBy("seed", "_range").agg(F.count("*").alias("_n"))
+    before = size.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy("seed").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    inside = ranges.withColumn(out, F.row_number().over(W.partitionBy("seed", "_range").orderBy(*names)))
+    return inside.join(by_seed(before), ["seed", "_range"]).withColumn(out, F.col(out) + F.col("_before")).drop("_range", "_before", *names)
+
+
 def numbered(df: DataFrame, prefix: str, out: str, *order: str | Column) -> DataFrame:
     """Ids prefix-seed-0001 in the given order within each seed."""
-    rn = F.row_number().over(W.partitionBy("seed").orderBy(*order))
-    return df.withColumn(out, F.format_string(f"{prefix}-%d-%04d", "seed", rn))
+    return ranked(df, out, *order).withColumn(out, F.format_string(f"{prefix}-%d-%04d", "seed", out))
+
+
+#: Rule, the least and the most that it allows (None: no bound).
+QUOTAS = [
+    ("advertisers", 10, 12),
+    ("deals_per_advertiser", 3, None),
+    ("scenarios", 100, None),
+    ("timeline_span_days", 365, None),
+    ("deals_with_correction_chains_pct", 40, None),
+    ("multi_step_chains", 5, None),
+    ("injections", 8, None),
+    ("injection_plausibility", 3, 3),
+    ("injections_targeting_corrected_fact", 2, None),
+    ("never_memorize_probes", 5, None),
+    ("transient_facts_with_end_dates", 10, None),
+    ("events_with_permanent_and_volatile_facts", 3, None),
+    ("duplicate_active_facts", None, 0),
+]
+
+
+def percentage(part: Column, whole: Column) -> Column:
+    """100 * part / whole with one decimal, half up; 0 of none."""
+    return F.round((part * F.lit(100).cast("decimal(5,1)") / F.greatest(whole, F.lit(1))).cast("decimal(18,6)"), 1).cast("decimal(9,1)")
+
+
+def co_occurrence(df: DataFrame, keys: list[str], left: Column, right: Column, out: str = "both") -> DataFrame:
+    """(keys, out): whether rows of both kinds stand together under a key."""
+    return df.groupBy(*keys).agg((F.bool_or(left) & F.bool_or(right)).alias(out))
+
+
+def with_sibling(facts: DataFrame, keys: list[str], of: Column) -> DataFrame:
+    """The facts that share their keys with one of `of`."""
+    return facts.join(facts.where(of).select(*keys).distinct(), keys, "left_semi")
 
 
 def quota_report(facts: DataFrame, events: DataFrame) -> DataFrame:
-    """(seed, rule, observed, passed): the shape a generated universe must have."""
-    f = with_successor(facts)
-    f = f.join(current_as_of(facts), "seed")
-    f = f.withColumn("status", status(F.col("as_of")))
-    lasting = F.col("volatility_class") == "permanent"
+    """(seed, rule, observed, passed): the thirteen rules on the shape of a universe."""
+    superseded = facts.where("supersedes IS NOT NULL").select("seed", F.col("supersedes").alias("fact_id")).distinct()
+    corrected = facts.join(superseded, ["seed", "fact_id"], "left_semi")
+    lines = last_of(events, "io_id", "deal_id").select("seed", F.col("io_id").alias("entity_id"), "deal_id")
+    of_line = corrected.where("entity = 'order-line'").join(lines, ["seed", "entity_id"]).select("seed", "deal_id")
+    chained = corrected.where("entity = 'deal'").select("seed", F.col("entity_id").alias("deal_id")).unionByName(of_line).groupBy("seed").agg(F.countDistinct("deal_id").alias("chained"))
+    # the last fact of a chain of three or more is two or more steps from its first
+    chains = pointer_chains(facts).groupBy("seed", "root").agg(F.max("depth").alias("depth")).groupBy("seed").agg(F.count_if(F.col("depth") >= 2).alias("multi_step_chains"))
+    aimed = facts.where("injection").join(corrected.where("NOT injection").select(*KEY).distinct(), KEY, "left_semi").groupBy("seed").agg(F.count("*").alias("injections_targeting_corrected_fact"))
     passing = F.col("volatility_class").isin("transient", "ephemeral")
-    mixed = facts.groupBy("seed", "event_id").agg((F.bool_or(lasting) & F.bool_or(passing)).alias("mixed")).groupBy("seed").agg(F.count_if("mixed").alias("mixed_events"))
-    sibling = facts.where(memorable()).select("seed", "event_id").distinct().withColumn("has", F.lit(True))
-    lone = facts.where("injection").join(sibling, ["seed", "event_id"], "left_anti").groupBy("seed").agg(F.count("*").alias("lone"))
-    twice = f.where(memorable() & (F.col("status") == "active")).groupBy(*KEY).count().where("count > 1").groupBy("seed").agg(F.count("*").alias("twice"))
-    sums = f.groupBy("seed").agg(
-        F.count("*").alias("facts"), F.count_if("injection").alias("injections"), F.countDistinct(F.when(F.col("injection"), F.col("plausibility"))).alias("grades"),
-        F.count_if("never_memorize").alias("snapshots"), F.count_if(F.col("succ_id").isNotNull()).alias("superseded"), F.count_if(F.col("status") == "expired").alias("expired"),
-        F.countDistinct("trust_class").alias("trusts"), F.countDistinct("volatility_class").alias("volatilities"), F.count_if((F.col("attribute") == "line_status") & (F.col("value") == "cancelled")).alias("cancelled"),
-    )
-    ev = events.groupBy("seed").agg(F.count("*").alias("events"), F.countDistinct("advertiser_id").alias("advertisers"), F.countDistinct("scenario_kind").alias("kinds"), F.datediff(F.max("timestamp"), F.min("timestamp")).alias("span"))
-    one = sums.join(ev, "seed").join(mixed, "seed", "left").join(lone, "seed", "left").join(twice, "seed", "left").na.fill(0)
-    rules = [("facts", 60), ("events", 20), ("advertisers", 3), ("kinds", 8), ("span", 120), ("injections", 3), ("grades", 3), ("snapshots", 2), ("superseded", 5), ("expired", 2), ("trusts", 3), ("volatilities", 5), ("cancelled", 1)]
-    rows = [F.struct(F.lit(r).alias("rule"), F.col(r).cast("long").alias("observed"), (F.col(r) >= least).alias("passed")) for r, least in rules]
-    rows += [F.struct(F.lit(r).alias("rule"), F.col(r).cast("long").alias("observed"), (F.col(r) == 0).alias("passed")) for r in ("twice",)]
+    mixed = co_occurrence(facts, ["seed", "event_id"], F.col("volatility_class") == "permanent", passing).groupBy("seed").agg(F.count_if("both").alias("events_with_permanent_and_volatile_facts"))
+    now = current_values(facts)
+    twice = now.groupBy(*KEY).count().where("count > 1").groupBy("seed").agg(F.count("*").alias("duplicate_active_facts"))
+    sums = facts.groupBy("seed").agg(
+        F.count_if("injection").alias("injections"), F.countDistinct(F.when(F.col("injection"), F.col("plausibility"))).alias("injection_plausibility"), F.count_if("never_memorize").alias("never_memorize_probes"),
+        F.count_if((F.col("volatility_class") == "transient") & end_day().isNotNull()).alias("transient_facts_with_end_dates"))
+    ev = events.groupBy("seed").agg(
+        F.count("*").alias("scenarios"), F.countDistinct("advertiser_id").alias("advertisers"), F.countDistinct("deal_id").alias("deals"),
+        F.datediff(F.max("timestamp"), F.min("timestamp")).alias("timeline_span_days"))
+    one = sums.join(ev, "seed")
+    for more in (chained, chains, aimed, mixed, twice):
+        one = one.join(more, "seed", "left")
+    one = one.na.fill(0).withColumns({
+        "deals_per_advertiser": F.col("deals") / F.greatest("advertisers", F.lit(1)),
+        "deals_with_correction_chains_pct": percentage(F.col("chained"), F.col("deals")),
+    })
+    rows = []
+    for rule, least, most in QUOTAS:
+        value = F.col(rule).cast("decimal(18,4)")
+        ok = (F.lit(True) if least is None else value >= least) & (F.lit(True) if most is None else value <= most)
+        rows.append(F.struct(F.lit(rule).alias("rule"), F.round(value, 1).cast("decimal(18,1)").alias("observed"), ok.alias("passed")))
     return one.select("seed", F.inline(F.array(*rows)))
 
 
+def strict_quotas(facts: DataFrame, events: DataFrame) -> None:
+    """Raises with the rules that fail: at most thirteen a seed."""
+    failed = quota_report(facts, events).where("NOT passed").orderBy("seed", "rule").limit(50).collect()
+    if failed:
+        raise ValueError("; ".join(f"{r['rule']} of seed {r['seed']} is {r['observed']}" for r in failed))
+
+
 def empty_facts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], values.FACT_DDL)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import values
 
-from .temporal import KEY, cycles, end_day, memorable, start_day, status, with_successor, with_trust
+from .temporal import KEY, by_seed, cycles, end_day, memorable, start_day, status, with_successor, with_trust
 
 ID = r"^[A-Za-z0-9][A-Za-z0-9_.:-]*$"
 
@@ -117,7 +117,7 @@ def chain_violations(facts: DataFrame, as_of: Column | None = None) -> DataFrame
     loop = rows(cycles(facts), "cycle", "fact_id", F.lit(""))
     at = F.col("as_of") if as_of is None else as_of
     late = facts.groupBy("seed").agg(F.date_add(F.max(start_day()), values.DEFAULTS["current_offset_days"]).alias("as_of"))
-    active = with_successor(facts.where(memorable())).join(F.broadcast(late), "seed").where(status(at) == "active")
+    active = with_successor(facts.where(memorable())).join(by_seed(late), "seed").where(status(at) == "active")
     double = rows(active.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("fact_id").alias("fact_id")).where("n > 1"), "duplicate_active", "fact_id", F.col("n"))
     out = twice
     for more in (dangling, inverted, passing, crossed, revisited, loop, double):

@@ -4,19 +4,47 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as Parquet under spark.checkpoint.dir (a folder of our own where that is unset), read back without lineage."""
+    """df as Parquet under spark.checkpoint.dir (a folder of our own where that is unset and all run on this machine), read back without lineage."""
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = _OWN.setdefault(app, "") or _OWN.update({app: "file://" + tempfile.mkdtemp(prefix="factloom-")}) or _OWN[app]
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own(spark)
     path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _own(spark: SparkSession) -> str:
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="factloom-")
+    return _OWN[app]
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Deletes what written() has written in this process; returns the number of tables."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+        done += 1
+    return done
+
+
+def workers_import_us(spark: SparkSession) -> None:
+    """Lets Python workers that start on this machine import the package. A cluster gets it by --py-files or as a wheel."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
+    if root not in paths:
+        env["PYTHONPATH"] = ":".join([root, *paths])

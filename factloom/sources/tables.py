@@ -1,4 +1,4 @@
-"""Reading and writing the engine's records: Parquet by seed, JSON lines with a digest, texts by event."""
+"""Reading and writing the engine's records: Parquet by seed, JSON lines with digests, texts by event, reports, settings."""
 
 from __future__ import annotations
 
@@ -28,13 +28,27 @@ def json_line(df: DataFrame) -> Column:
 
 
 def write_jsonl(df: DataFrame, path: str, order: list[str]) -> str:
-    """Writes sorted lines and returns the digest of the sorted set."""
+    """Writes sorted lines and returns their digest."""
     lines = df.select(*order, json_line(df).alias("_line")).orderBy(*order)
     lines.select("_line").write.mode("overwrite").text(path)
-    return digest(df, order)
+    return line_digest(df, order)
 
 
-def digest(df: DataFrame, order: list[str] | None = None) -> str:
+def line_digest(df: DataFrame, order: list[str]) -> str:
+    """SHA-256 of the records as JSON lines in order, each ended by a line break: of the bytes that one file of them would have.
+
+    A hash over bytes in order is one pass by nature. The lines come to the driver
+    a partition at a time, so it holds one partition and no more; for tables that
+    are too large for one pass, use digest().
+    """
+    lines = df.select(*order, json_line(df).alias("_line")).orderBy(*order).select("_line")
+    total = hashlib.sha256()
+    for row in lines.toLocalIterator():
+        total.update(row[0].encode() + b"\n")
+    return total.hexdigest()
+
+
+def digest(df: DataFrame) -> str:
     """SHA-256 over a set of records that doesn't depend on order or partitioning; repeated records count.
 
     Each record hashes by itself; the four quarters of its hash are added up
@@ -46,6 +60,17 @@ def digest(df: DataFrame, order: list[str] | None = None) -> str:
     return hashlib.sha256("|".join(str(v) for v in row).encode()).hexdigest()
 
 
+def write_scenarios(manifests: DataFrame, texts: DataFrame, meta: DataFrame, path: str) -> None:
+    """The three tables of rendered scenarios, each partitioned by seed."""
+    for name, df in (("manifest", manifests), ("rendered", texts), ("meta", meta)):
+        write_table(df, f"{path}/{name}", "overwrite")
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A small aggregate as one file of JSON lines."""
+    report.coalesce(1).write.mode("overwrite").json(path, ignoreNullFields=False)
+
+
 def write_table(df: DataFrame, path: str, mode: str = "append") -> None:
     """Parquet partitioned by seed; append only, since facts are superseded and never changed."""
     df.write.mode(mode).partitionBy("seed").parquet(path)
@@ -64,9 +89,10 @@ def read_corpus(spark: SparkSession, path: str, seed: int) -> DataFrame:
     return df
 
 
-def corpus_text(corpus: DataFrame) -> DataFrame:
-    """(seed, text): a seed's texts in order of event, with blank lines between. For export only; tests keep a row a text."""
-    return corpus.groupBy("seed").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "text"))), lambda s: s["text"]), "\n\n").alias("text"))
+def write_corpus(corpus: DataFrame, path: str) -> None:
+    """Texts in order of seed and event with a blank line behind each, as one text in as many files as there are ranges."""
+    ordered = corpus.select("seed", "event_id", F.concat("text", F.lit("\n")).alias("value")).orderBy("seed", "event_id")
+    ordered.select("value").write.mode("overwrite").text(path)
 
 
 def pending(events: DataFrame, meta: DataFrame, mode: str) -> DataFrame:
@@ -96,3 +122,19 @@ def required(config: dict, dotted: str):
     if value is None or value == "TBD":
         raise EngineError(f"setting {dotted} is missing")
     return value
+
+
+def settings(path: str) -> dict:
+    """A YAML file of settings; needs PyYAML. A file that isn't there or isn't a mapping is an error that names it."""
+    try:
+        import yaml
+    except ImportError as error:
+        raise EngineError("settings files need PyYAML") from error
+    try:
+        with open(path, encoding="utf-8") as file:
+            found = yaml.safe_load(file)
+    except (OSError, yaml.YAMLError) as error:
+        raise EngineError(f"settings {path} can't be read") from error
+    if not isinstance(found, dict):
+        raise EngineError(f"settings {path} are no mapping")
+    return found

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -15,8 +16,10 @@ def test_json_lines_and_digest(spark, tmp_path):
     df = spark.createDataFrame(FACTS, values.FACT_DDL)
     first = tables.write_jsonl(df, f"{tmp_path}/f", ["fact_id"])
     back = tables.read_jsonl(spark, f"{tmp_path}/f", "facts")
-    assert tables.digest(back.repartition(3)) == first and back.count() == len(FACTS)
-    assert tables.digest(back.unionByName(back.limit(1))) != first
+    assert tables.line_digest(back.repartition(3), ["fact_id"]) == first and back.count() == len(FACTS)
+    written = "".join(r[0] + "\n" for r in spark.read.text(f"{tmp_path}/f").orderBy(F.get_json_object("value", "$.fact_id")).collect())
+    assert hashlib.sha256(written.encode()).hexdigest() == first
+    assert tables.digest(back.repartition(3)) == tables.digest(df) != tables.digest(back.unionByName(back.limit(1)))
     line = json.loads(spark.read.text(f"{tmp_path}/f").first()[0])
     assert list(line) == sorted(line) and "supersedes" in line
     with pytest.raises(EngineError, match="generate"):
@@ -29,7 +32,8 @@ def test_corpus(spark, tmp_path):
         (tmp_path / f"EV-{k}" / "rendered.md").write_text(f"text {k}\nmore")
     df = tables.read_corpus(spark, str(tmp_path), 7)
     assert sorted(map(tuple, df.collect())) == [(7, "EV-1", "text 1\nmore"), (7, "EV-2", "text 2\nmore")]
-    assert tables.corpus_text(df).first()["text"] == "text 1\nmore\n\ntext 2\nmore"
+    tables.write_corpus(df, f"{tmp_path}/whole")
+    assert "".join(f.read_text() for f in sorted((tmp_path / "whole").glob("part-*"))) == "text 1\nmore\n\ntext 2\nmore\n\n"
 
 
 def test_choices_and_settings(spark):
@@ -43,6 +47,18 @@ def test_choices_and_settings(spark):
             tables.required(bad, "a.b")
 
 
+def test_settings_file(tmp_path):
+    (tmp_path / "s.yaml").write_text("universe:\n  seeds: [42, 43]\n  current_offset_days: TBD\n")
+    found = tables.settings(str(tmp_path / "s.yaml"))
+    assert tables.required(found, "universe.seeds") == [42, 43]
+    with pytest.raises(EngineError, match="universe.current_offset_days"):
+        tables.required(found, "universe.current_offset_days")
+    (tmp_path / "t.yaml").write_text("- 1\n")
+    for bad in ("t.yaml", "none.yaml"):
+        with pytest.raises(EngineError, match=bad):
+            tables.settings(str(tmp_path / bad))
+
+
 def test_stream_splits_facts_and_violations(spark, tmp_path):
     df = spark.createDataFrame(FACTS, values.FACT_DDL).withColumn("trust_class", F.when(F.col("fact_id") == "F1", "nobody").otherwise(F.col("trust_class")))
     tables.write_jsonl(df, f"{tmp_path}/in", ["fact_id"])
