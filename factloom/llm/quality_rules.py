@@ -53,13 +53,15 @@ STATS = {
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the columns n_words .. n_distinct_words; the text column is read once."""
     text, words = "_own_text", "_own_words"
-    w = F.col(words)
+    w, h = F.col(words), F.col("_own_hashed")
     n = F.size(w)
     span = REPEAT_WORDS
-    windows = F.when(n >= span, F.transform(F.sequence(F.lit(1), n - span + 1), lambda i: F.xxhash64(F.slice(w, i, span)))).otherwise(F.array().cast("array<bigint>"))
+    # each word is hashed once, and a window hashes the hashes of its words
+    windows = F.transform(F.slice(h, 1, F.greatest(n - span + 1, F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get(h, i + k) for k in range(1, span))))
     lines = F.filter(F.split(F.col(text), "\n"), lambda x: x.rlike(WORD))
     out = docs.withColumn(text, text_or_empty(text_col))
     out = out.withColumns({words: F.regexp_extract_all(F.col(text), F.lit(WORD), 0), "_own_lines": lines})
+    out = out.withColumn("_own_hashed", F.transform(w, lambda x: F.xxhash64(x)))
     out = out.withColumns({
         "n_words": n.cast("long"),
         "word_chars": F.length(F.array_join(w, "")).cast("long"),
@@ -69,10 +71,10 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_upper": F.length(F.regexp_replace(F.col(text), r"[^\p{Lu}]+", "")).cast("long"),
         "n_exclaim": F.length(F.regexp_replace(F.col(text), "[^!]+", "")).cast("long"),
         "n_chars": F.length(text).cast("long"),
-        "n_distinct_words": F.size(F.array_distinct(w)).cast("long"),
+        "n_distinct_words": F.size(F.array_distinct(h)).cast("long"),
         "_own_windows": windows,
     })
-    return _with_repeats(out, "_own_windows", span).drop(text, words, "_own_lines", "_own_windows")
+    return _with_repeats(out, "_own_windows", span).drop(text, words, "_own_lines", "_own_hashed", "_own_windows")
 
 
 def _with_repeats(df: DataFrame, windows: str, span: int) -> DataFrame:
@@ -133,7 +135,7 @@ def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
     names = list(STATS)
     used = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_upper", "n_exclaim", "n_chars", "n_distinct_words", "n_repeat_words"]
     rows = stats.where(~base_failed()).join(label, F.col(id_col) == F.col("label_id")).select(*used, (F.col("label") == 0).cast("int").alias("low"), (F.pmod(F.xxhash64("label_id", F.lit(11)), F.lit(3)) == 0).alias("apart"))
-    rows = materialize(rows.coalesce(8), "labelled")
+    rows = materialize(rows, "labelled")
     edges = rows.agg(*(F.expr(f"approx_percentile({STATS[s]}, array({', '.join(str(k / BINS) for k in range(1, BINS))}), 2000)").alias(s) for s in names)).first()
     bounds = {s: sorted({float(v) for v in edges[s]} | {0.0}) if edges[s] else [] for s in names}
     rules: list[list[Condition]] = []
