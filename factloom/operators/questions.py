@@ -109,23 +109,36 @@ def single_fact(u: Universe) -> DataFrame:
     return _shape(df, "single_fact", text, F.col("value"), _one(), _one(), _notes(attribute=F.col("attribute")))
 
 
+def argmax(df: DataFrame, keys: list[str], item: str, value: Column, least: int = 1, out: str = "gold", *more: Column) -> DataFrame:
+    """(keys, out, n): the item of the largest value of each key with at least `least` rows; of equal ones the larger item."""
+    return df.groupBy(*keys).agg(F.max_by(item, F.struct(value, F.col(item))).alias(out), F.count("*").alias("n"), *more).where(F.col("n") >= least)
+
+
+def count_where(df: DataFrame, keys: list[str], test: Column, out: str = "gold", *more: Column) -> DataFrame:
+    """(keys, out): how many rows of each key pass the test, zero included."""
+    return df.groupBy(*keys).agg(F.count_if(test).alias(out), *more)
+
+
+def total(df: DataFrame, keys: list[str], value: Column, least: int = 1, rows: Column | None = None, out: str = "total", *more: Column) -> DataFrame:
+    """(keys, out, n): the sum of each key with at least `least` rows; rows: how many each row stands for."""
+    return df.groupBy(*keys).agg(F.sum(value).alias(out), (F.count("*") if rows is None else F.sum(rows)).alias("n"), *more).where(F.col("n") >= least)
+
+
 def inference_only(u: Universe) -> DataFrame:
     owner = u.lines.select("seed", F.col("io_id").alias("entity_id"), "advertiser_id")
     per_line = u.current.join(owner, ["seed", "entity_id"])
     by_deal = u.current.where("attribute = 'budget_usd'").join(u.deals.select("seed", F.col("deal_id").alias("entity_id"), "advertiser_id"), ["seed", "entity_id"])
 
-    def grouped(df: DataFrame, *aggs: Column) -> DataFrame:
-        g = df.groupBy("seed", "advertiser_id", "as_of").agg(F.transform(F.sort_array(F.collect_list(F.struct("entity_id", "fact_id"))), lambda s: s["fact_id"]).alias("ids"), F.count("*").alias("n"), *aggs)
-        return g.join(u.advertisers, ["seed", "advertiser_id"]).withColumns({"entity": F.lit("advertiser"), "entity_id": F.col("advertiser_id")})
-
-    rate = F.col("value").try_cast("decimal(18,4)")
-    top = grouped(per_line.where("attribute = 'cpm_rate'"), F.max_by("entity_id", F.struct(rate, "entity_id")).alias("gold")).where("n >= 2")
-    ids = F.col("ids")
-    best = _shape(top, "inference_only", _text("inference_rate"), F.col("gold"), ids, ids, _notes(derivation=values.NOTES["rate"]))
-    live = grouped(per_line.where("attribute = 'line_status'"), F.count_if(F.col("value") != "cancelled").cast("string").alias("gold"))
-    count = _shape(live, "inference_only", _text("inference_count"), F.col("gold"), ids, ids, _notes(derivation=values.NOTES["count"]))
-    total = grouped(by_deal, F.sum(F.col("value").try_cast("bigint")).cast("string").alias("gold")).where("n >= 2")
-    budget = _shape(total, "inference_only", _text("inference_budget"), F.col("gold"), ids, ids, _notes(derivation=values.NOTES["budget"]))
+    keys = ["seed", "advertiser_id", "as_of"]
+    own = F.transform(F.sort_array(F.collect_list(F.struct("entity_id", "fact_id"))), lambda s: s["fact_id"]).alias("ids")
+
+    def asked(g: DataFrame, name: str) -> DataFrame:
+        g = g.join(u.advertisers, ["seed", "advertiser_id"]).withColumns({"entity": F.lit("advertiser"), "entity_id": F.col("advertiser_id")})
+        return _shape(g, "inference_only", _text(f"inference_{name}"), F.col("gold").cast("string"), F.col("ids"), F.col("ids"), _notes(derivation=values.NOTES[name]))
+
+    best = asked(argmax(per_line.where("attribute = 'cpm_rate'"), keys, "entity_id", F.col("value").try_cast("decimal(18,4)"), 2, "gold", own), "rate")
+    count = asked(count_where(per_line.where("attribute = 'line_status'"), keys, F.col("value") != "cancelled", "gold", own), "count")
+    budget = asked(total(by_deal, keys, F.col("value").try_cast("bigint"), 2, None, "gold", own), "budget")
     return best.unionByName(count).unionByName(budget)
 
 

@@ -117,6 +117,18 @@ def history(facts: DataFrame) -> DataFrame:
     })
 
 
+def active_by_window(facts: DataFrame, as_of: Column) -> DataFrame:
+    """Facts in force at a day, without a join: the last one of each key that has started. Right only where every fact revises the one before it."""
+    following = F.lead(start_day()).over(W.partitionBy(*KEY).orderBy(start_day(), "fact_id"))
+    known = facts.withColumn("next_start", following).where(start_day() <= as_of)
+    return known.where(F.col("next_start").isNull() | (F.col("next_start") > as_of))
+
+
+def latest(df: DataFrame, keys: list[str], value: str, order: list[str], out: str, changes: str) -> DataFrame:
+    """(keys, out, changes): the value of the last row of each key by order, and how many rows it has."""
+    return df.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(out), F.count("*").alias(changes))
+
+
 def close_intervals(facts: DataFrame) -> DataFrame:
     """Ends each superseded fact no later than the day before its successor starts."""
     end = F.least(end_day(), F.date_sub("succ_start", 1))

@@ -16,21 +16,22 @@ class EngineError(ValueError):
     """Raised by strict()."""
 
 
-def _bad(check: str, when: Column, detail: Column | str) -> Column:
+def _bad(check: str, when: Column, detail: Column | str) -> tuple[str, Column]:
     detail = F.lit(detail) if isinstance(detail, str) else detail
-    return F.when(F.coalesce(when, F.lit(True)), F.struct(F.lit(check).alias("check"), detail.cast("string").alias("detail")))
+    return check, F.when(F.coalesce(when, F.lit(True)), F.struct(F.lit(check).alias("check"), detail.cast("string").alias("detail")))
 
 
-def _violations(df: DataFrame, key: str, rules: list[Column]) -> DataFrame:
+def _violations(df: DataFrame, key: str, rules: dict[str, Column], only: list[str] | None) -> DataFrame:
+    rules = [r for name, r in rules.items() if only is None or name in only]
     found = F.filter(F.array(*rules), lambda r: r.isNotNull())
     return df.select("seed", F.col(key).alias("key"), F.inline(found)).select("seed", "check", "key", "detail")
 
 
-def _one_of(name: str, allowed: list[str]) -> Column:
+def _one_of(name: str, allowed: list[str]) -> tuple[str, Column]:
     return _bad(f"{name}_choice", ~F.col(name).isin(allowed), F.col(name))
 
 
-def _identifier(name: str) -> Column:
+def _identifier(name: str) -> tuple[str, Column]:
     return _bad(f"{name}_id", ~F.col(name).rlike(ID), F.col(name))
 
 
@@ -46,8 +47,8 @@ def fields(df: DataFrame, ddl: str) -> list[str]:
     return [f"missing {c}" for c in sorted(want - have)] + [f"extra {c}" for c in sorted(have - want)]
 
 
-def fact_violations(facts: DataFrame) -> DataFrame:
-    """Rules of single facts."""
+def fact_violations(facts: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """Rules of single facts; only: the names of those to test."""
     f = with_trust(facts)
     snapshot = F.coalesce(F.col("never_memorize"), F.lit(False))
     injected = F.coalesce(F.col("injection"), F.lit(False))
@@ -64,10 +65,10 @@ def fact_violations(facts: DataFrame) -> DataFrame:
         _bad("snapshot_volatility", snapshot & ~F.col("volatility_class").eqNullSafe(F.lit("ephemeral")), F.col("volatility_class")),
         _bad("snapshot_interval", snapshot & ~start_day().eqNullSafe(end_day()), F.to_json("validity_interval")),
     ]
-    return _violations(f, "fact_id", rules)
+    return _violations(f, "fact_id", dict(rules), only)
 
 
-def event_violations(events: DataFrame) -> DataFrame:
+def event_violations(events: DataFrame, only: list[str] | None = None) -> DataFrame:
     ids = F.col("fact_ids")
     rules = [
         _identifier("event_id"), _identifier("advertiser_id"), _one_of("channel", values.CHANNELS), _one_of("author", values.AUTHORS),
@@ -76,10 +77,10 @@ def event_violations(events: DataFrame) -> DataFrame:
         _bad("fact_ids", ids.isNull() | (F.size(ids) == 0) | F.exists(ids, lambda i: F.coalesce(~i.rlike(ID), F.lit(True))), F.to_json("fact_ids")),
         *(_bad(f"{c}_blank", F.col(c).isNotNull() & _blank(c), "") for c in ("agency_name", "contact_name", "deal_id", "io_id")),
     ]
-    return _violations(events, "event_id", rules)
+    return _violations(events, "event_id", dict(rules), only)
 
 
-def question_violations(questions: DataFrame) -> DataFrame:
+def question_violations(questions: DataFrame, only: list[str] | None = None) -> DataFrame:
     q = questions.join(F.broadcast(values.query_kinds(questions.sparkSession)), "type", "left")
     sentinel = F.col("gold_kind") == "sentinel"
     tokens, points = F.col("gold_tokens"), F.col("expected_memory_points")
@@ -96,7 +97,7 @@ def question_violations(questions: DataFrame) -> DataFrame:
         _bad("io_id_id", F.col("io_id").isNotNull() & ~F.col("io_id").rlike(ID), F.col("io_id")),
         _bad("flags", F.col("touches_injection").isNull() | F.col("touches_never_memorize").isNull(), ""), _bad("notes", F.col("notes").isNull(), ""),
     ]
-    return _violations(q, "question_id", rules)
+    return _violations(q, "question_id", dict(rules), only)
 
 
 def chain_violations(facts: DataFrame, as_of: Column | None = None) -> DataFrame:

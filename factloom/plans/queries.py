@@ -8,30 +8,17 @@ tenth of them snapshots that nobody may keep.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions import canon, extract, values
-from factloom.operators import audit, containment, fidelity, generate, questions, render, validate
+from factloom.operators import audit, containment, questions, reports, validate
 from factloom.operators import temporal as t
+from factloom.plans import commerce, texts  # noqa: F401 (they register their queries)
+from factloom.plans.registry import QUERIES, SQL, query  # noqa: F401
 from factloom.sources import scratch, tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,12 +28,6 @@ def _iso(day: str) -> Column:
     return F.col(day).cast("string").alias(day)
 
 
-def _universe(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """Facts and events of one seed, written once so that what follows doesn't generate them again."""
-    f, e = generate.generate(spark, [42])
-    return scratch.written(f, "facts"), scratch.written(e, "events")
-
-
 def facts_of_events(events: DataFrame) -> DataFrame:
     day = F.to_date("ts")
     last = events.withColumn("d", day).groupBy("user_id", "event_type", "d").agg(F.max_by(F.struct("event_id", "value"), F.struct("ts", "event_id")).alias("e"))
@@ -65,7 +46,8 @@ def facts_of_events(events: DataFrame) -> DataFrame:
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts_of_events(_t(spark, sf_dir, "events"))
+    """Written once, so that what reads them twice doesn't scan the events twice."""
+    return scratch.written(facts_of_events(_t(spark, sf_dir, "events")), "facts")
 
 
 def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,13 +113,6 @@ def chain_first_last(spark, sf_dir):
     return t.history(_facts(spark, sf_dir)).where("pos = length - 1").select("entity_id", "attribute", "length", "first_value", "last_value")
 
 
-@query(f"""WITH {FACTS}, h AS (SELECT *, lead(start_day) OVER (PARTITION BY entity_id, attribute ORDER BY start_day, fact_id) AS next_start FROM f WHERE NOT injection AND NOT never_memorize)
-SELECT entity_id, attribute, value AS gold, CAST(next_start - 1 AS VARCHAR) AS as_of FROM h WHERE next_start - 1 >= start_day""")
-def knowledge_update_past(spark, sf_dir):
-    h = t.history(_facts(spark, sf_dir)).where("next_start IS NOT NULL").withColumn("as_of", F.date_sub("next_start", 1))
-    return h.where(F.col("as_of") >= t.start_day()).select("entity_id", "attribute", F.col("value").alias("gold"), _iso("as_of"))
-
-
 @query(f"""WITH {FACTS} SELECT entity_id, attribute, count(*) AS n FROM f WHERE attribute <> 'signup' AND NOT injection GROUP BY ALL HAVING count(*) > 1""")
 def duplicate_active(spark, sf_dir):
     loose = _facts(spark, sf_dir).withColumn("supersedes", F.lit(None).cast("string"))
@@ -152,7 +127,7 @@ def interval_violations(spark, sf_dir):
         F.lit(1).alias("seed"), F.concat(F.lit("L"), F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")))).alias("fact_id"), F.lit("deal").alias("entity"), F.lit("D1").alias("entity_id"), F.lit("V1").alias("event_id"),
         F.lit("flight").alias("attribute"), F.lit("x").alias("value"), F.struct(F.to_date("o_orderdate").alias("start"), F.to_date("l_shipdate").alias("end")).alias("validity_interval"), F.lit("durable").alias("volatility_class"),
         F.lit("call_note").alias("channel"), F.lit("user").alias("author"), F.lit("first_party_note").alias("trust_class"), F.lit(None).cast("string").alias("supersedes"), F.lit(None).cast("string").alias("plausibility"), F.lit(False).alias("injection"), F.lit(False).alias("never_memorize"))
-    return validate.fact_violations(f).where("check = 'interval'").groupBy("key").agg(F.count("*").alias("n"))
+    return validate.fact_violations(f, ["interval"]).groupBy("key").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {FACTS} SELECT arg_min(fact_id, start_day) AS key, CAST(count(*) - 1 AS VARCHAR) AS detail FROM f WHERE attribute IN ('purchase', 'view', 'click') GROUP BY entity_id, attribute HAVING count(*) > 2""")
@@ -175,57 +150,48 @@ def trust_derivation(spark, sf_dir):
 
 @query("SELECT o_custkey, arg_max(o_orderkey, struct_pack(p := o_totalprice, k := o_orderkey)) AS top_order FROM orders GROUP BY o_custkey HAVING count(*) >= 2")
 def infer_argmax(spark, sf_dir):
-    g = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("top_order"), F.count("*").alias("n"))
-    return g.where("n >= 2").select("o_custkey", "top_order")
+    return questions.argmax(_t(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey", F.col("o_totalprice"), 2, "top_order").select("o_custkey", "top_order")
 
 
 @query("SELECT o_custkey, count(*) FILTER (o_orderstatus <> 'F') AS live FROM orders GROUP BY o_custkey")
 def infer_count_live(spark, sf_dir):
-    return _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") != "F").alias("live"))
+    return questions.count_where(_t(spark, sf_dir, "orders"), ["o_custkey"], F.col("o_orderstatus") != "F", "live")
 
 
 @query("SELECT c_nationkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS VARCHAR) AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'F' GROUP BY c_nationkey HAVING count(*) >= 2")
 def infer_sum_budget(spark, sf_dir):
     # orders are summed by customer before they meet their nation
-    own = _t(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").groupBy("o_custkey").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("s"), F.count("*").alias("n"))
-    g = own.join(_t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    return g.where("n >= 2").select("c_nationkey", F.col("s").cast("decimal(38,2)").cast("string").alias("total"))
+    own = questions.total(_t(spark, sf_dir, "orders").where("o_orderstatus <> 'F'"), ["o_custkey"], F.col("o_totalprice").cast("decimal(18,2)"), 1)
+    both = own.join(_t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    g = questions.total(both, ["c_nationkey"], F.col("total"), 2, F.col("n"))
+    return g.select("c_nationkey", F.col("total").cast("decimal(38,2)").cast("string").alias("total"))
 
 
 @query("""SELECT l_orderkey, arg_max(l_linestatus, struct_pack(d := l_shipdate, n := l_linenumber, p := l_partkey, s := l_suppkey, l := l_linestatus)) AS state, count(*) AS changes
 FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_orderkey""")
 def order_state_asof(spark, sf_dir):
     li = _t(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
-    return li.groupBy("l_orderkey").agg(F.max_by("l_linestatus", F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus")).alias("state"), F.count("*").alias("changes"))
+    return t.latest(li, ["l_orderkey"], "l_linestatus", ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus"], "state", "changes")
 
 
 @query("SELECT c_nationkey, arg_max(o_custkey, struct_pack(d := o_orderdate, k := o_orderkey)) AS last_customer FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey")
 def mapping_last_wins(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max(F.struct("o_orderdate", "o_orderkey")).alias("last"))
-    both = o.join(_t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    return both.groupBy("c_nationkey").agg(F.max_by("o_custkey", "last").alias("last_customer"))
+    own = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    events = _t(spark, sf_dir, "orders").join(own, F.col("o_custkey") == F.col("c_custkey"))
+    events = events.select(F.lit(1).alias("seed"), "c_nationkey", "o_custkey", F.col("o_orderdate").alias("timestamp"), F.col("o_orderkey").alias("event_id"))
+    return t.last_of(events, "c_nationkey", "o_custkey").select("c_nationkey", F.col("o_custkey").alias("last_customer"))
 
 
 @query(f"WITH {FACTS} SELECT fact_id FROM f WHERE injection AND EXISTS (SELECT 1 FROM f g WHERE g.entity_id = f.entity_id AND g.start_day = f.start_day AND NOT g.injection AND NOT g.never_memorize)")
 def injection_siblings(spark, sf_dir):
     f = _facts(spark, sf_dir).withColumn("day", t.start_day())
-    return f.where("injection").join(f.where(t.memorable()).select("seed", "entity_id", "day").distinct(), ["seed", "entity_id", "day"], "left_semi").select("fact_id")
-
-
-@query(f"""WITH {FACTS}, claim AS (SELECT entity_id, arg_max(value, start_day) AS claimed FROM f WHERE attribute = 'error' GROUP BY entity_id)
-SELECT entity_id, value AS governs, claimed FROM st JOIN claim USING (entity_id) WHERE attribute = 'purchase' AND horizon = 'current' AND status = 'active'""")
-def conflict_resolution(spark, sf_dir):
-    f = _facts(spark, sf_dir)
-    claim = f.where("attribute = 'error'").groupBy("entity_id").agg(F.max_by("value", F.struct(t.start_day(), "fact_id")).alias("claimed"))
-    return t.current_values(f).where("attribute = 'purchase'").join(claim, "entity_id").select("entity_id", F.col("value").alias("governs"), "claimed")
+    return t.with_sibling(f, ["seed", "entity_id", "day"], t.memorable()).where("injection").select("fact_id")
 
 
 @query(f"""WITH {FACTS}, h AS (SELECT *, lead(start_day) OVER (PARTITION BY entity_id, attribute ORDER BY start_day) AS nxt FROM f)
 SELECT entity_id, attribute, value FROM h WHERE start_day <= DATE '2024-01-15' AND (nxt IS NULL OR nxt > DATE '2024-01-15')""")
 def asof_window_form(spark, sf_dir):
-    day = F.lit("2024-01-15").cast("date")
-    nxt = F.lead(t.start_day()).over(W.partitionBy(*t.KEY).orderBy(t.start_day()))
-    return _facts(spark, sf_dir).withColumn("nxt", nxt).where((t.start_day() <= day) & (F.col("nxt").isNull() | (F.col("nxt") > day))).select("entity_id", "attribute", "value")
+    return t.active_by_window(_facts(spark, sf_dir), F.lit("2024-01-15").cast("date")).select("entity_id", "attribute", "value")
 
 
 @query(f"""WITH {FACTS}, h AS (SELECT fact_id, start_day, (SELECT max(as_of) FROM dates WHERE horizon = 'current') AS cur, (SELECT max(as_of) FROM dates WHERE horizon = 'early') AS e,
@@ -235,7 +201,7 @@ SELECT fact_id, CASE WHEN start_day >= cur THEN 'current' WHEN abs(e - start_day
 def nearest_horizon(spark, sf_dir):
     f = _facts(spark, sf_dir)
     dates = t.horizons(f, _days(spark, sf_dir)).groupBy("seed").pivot("horizon", values.HORIZONS).agg(F.first("as_of"))
-    return f.join(F.broadcast(dates), "seed").select("fact_id", t.nearest_horizon(t.start_day(), {h: F.col(h) for h in values.HORIZONS}).alias("horizon"))
+    return f.join(t.by_seed(dates), "seed").select("fact_id", t.nearest_horizon(t.start_day(), {h: F.col(h) for h in values.HORIZONS}).alias("horizon"))
 
 
 @query(f"""WITH {FACTS} SELECT s.fact_id, CAST(s.start_day AS VARCHAR) AS start_day, CAST(least(s.end_day, s.succ_start - 1) AS VARCHAR) AS end_day FROM s""")
@@ -303,25 +269,21 @@ def recall_missing(spark, sf_dir):
     return planted.join(_held(spark, sf_dir), ["doc_id", "item_id"], "left_anti").select("item_id", "doc_id")
 
 
-@query()
-def unsupported_numbers(spark, sf_dir):
-    """Numbers of documents that no benchmark passage has; a test holds the extraction against brute force."""
-    own = extract.text_index(_t(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode("idx.numbers").alias("n")).select("doc_id", "n.surface", "n.value")
-    known = extract.text_index(_t(spark, sf_dir, "benchmark").select("item_id", "text")).select(F.explode("idx.numbers").alias("n")).select(F.col("n.value").alias("value")).distinct()
-    return own.join(known, "value", "left_anti").select("doc_id", "surface").distinct()
-
-
 @query(f"""WITH pairs AS (
-  SELECT u.conv_id, u.turn, list_filter(string_split(trim(regexp_replace(replace(lower(u.text), 'ß', 'ss'), '[^0-9a-z]+', ' ', 'g')), ' '), lambda x: x <> '')[1:2] AS tokens, a.text
+  SELECT u.conv_id, u.turn, list_filter(string_split(trim(regexp_replace(replace(lower(u.text), 'ß', 'ss'), '[^0-9a-z]+', ' ', 'g')), ' '), lambda x: x <> '') AS every, a.text
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
- n AS (SELECT conv_id, turn, tokens, list_transform({_SEGMENTS}, lambda x: ' ' || trim(regexp_replace(replace(lower(x), 'ß', 'ss'), '[^0-9a-z]+', ' ', 'g')) || ' ') AS segs FROM pairs)
-SELECT conv_id, turn, len(tokens) > 0 AND len(list_filter(tokens, lambda w: len(list_filter(segs, lambda s: contains(s, ' ' || w || ' '))) = 0)) = 0 AS matched FROM n""")
+ n AS (SELECT conv_id, turn, list_distinct(every) AS tokens, list_transform({_SEGMENTS}, lambda x: ' ' || trim(regexp_replace(replace(lower(x), 'ß', 'ss'), '[^0-9a-z]+', ' ', 'g')) || ' ') AS segs FROM pairs),
+ c AS (SELECT conv_id, turn, len(tokens) AS tokens, len(list_filter(tokens, lambda w: len(list_filter(segs, lambda s: contains(s, ' ' || w || ' '))) = 0)) AS missing FROM n)
+SELECT conv_id, turn, tokens > 0 AND missing = 0 AS matched, CAST(tokens - missing AS BIGINT) AS n_matched, CAST(missing AS BIGINT) AS n_missing FROM c""")
 def judge_tokens(spark, sf_dir):
+    """Each reply judged by all distinct words of the turn before it, digits left as names."""
     c = _t(spark, sf_dir, "conversations")
-    ask = c.where("role = 'user'").select("conv_id", "turn", F.slice(F.filter(F.split(canon.normal_name(F.col("text")), " "), lambda w: w != ""), 1, 2).alias("gold_tokens"))
+    words = F.array_distinct(F.filter(F.split("norm", " "), lambda w: w != ""))
+    ask = c.where("role = 'user'").select("conv_id", "turn", canon.normal_name(F.col("text")).alias("norm")).select("conv_id", "turn", words.alias("gold_tokens"))
     reply = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     both = ask.join(reply, ["conv_id", "turn"]).withColumns({"gold_kind": F.lit("value"), "gold_answer": F.array_join("gold_tokens", " ")})
-    return audit.judge(both).select("conv_id", "turn", (F.col("matched") & (F.size("gold_tokens") > 0)).alias("matched"))
+    judged = audit.judge(both)
+    return judged.select("conv_id", "turn", (F.col("matched") & (F.size("gold_tokens") > 0)).alias("matched"), F.size("matched_tokens").cast("long").alias("n_matched"), F.size("missing_tokens").cast("long").alias("n_missing"))
 
 
 @query(f"""WITH {FACTS}, g AS (SELECT attribute, horizon, count(*) AS n FROM st WHERE status = 'active' GROUP BY GROUPING SETS ((attribute), (horizon), (attribute, horizon)))
@@ -329,29 +291,25 @@ SELECT coalesce(attribute, 'all') AS attribute, coalesce(horizon, 'all') AS hori
 def counts_by_grouping(spark, sf_dir):
     f = _facts(spark, sf_dir)
     active = t.with_status(f, t.horizons(f, _days(spark, sf_dir))).where("status = 'active'")
-    active.createOrReplaceTempView("_active_facts")
-    g = spark.sql("SELECT attribute, horizon, count(*) AS n FROM _active_facts GROUP BY GROUPING SETS ((attribute), (horizon), (attribute, horizon))")
+    g = reports.counts_by(active, ("attribute",), ("horizon",), ("attribute", "horizon"))
     return g.select(F.coalesce("attribute", F.lit("all")).alias("attribute"), F.coalesce("horizon", F.lit("all")).alias("horizon"), "n")
 
 
 @query(f"WITH {FACTS} SELECT attribute, CAST(round(CAST(100.0 * count(*) FILTER (supersedes IS NOT NULL) / greatest(count(*), 1) AS DECIMAL(18,6)), 1) AS DECIMAL(9,1)) AS revised_pct FROM f GROUP BY attribute")
 def percent_revised(spark, sf_dir):
-    part = (F.count_if(F.col("supersedes").isNotNull()) * F.lit(100).cast("decimal(5,1)") / F.greatest(F.count("*"), F.lit(1))).cast("decimal(18,6)")
-    return _facts(spark, sf_dir).groupBy("attribute").agg(F.round(part, 1).cast("decimal(9,1)").alias("revised_pct"))
+    return _facts(spark, sf_dir).groupBy("attribute").agg(t.percentage(F.count_if(F.col("supersedes").isNotNull()), F.count("*")).alias("revised_pct"))
 
 
 @query(f"WITH {FACTS} SELECT entity_id, CAST(start_day AS VARCHAR) AS day, bool_or(attribute = 'signup') AND bool_or(attribute = 'purchase') AS both FROM f GROUP BY ALL")
 def co_occurrence(spark, sf_dir):
-    return _facts(spark, sf_dir).groupBy("entity_id", t.start_day().cast("string").alias("day")).agg((F.bool_or(F.col("attribute") == "signup") & F.bool_or(F.col("attribute") == "purchase")).alias("both"))
+    f = _facts(spark, sf_dir).withColumn("day", t.start_day().cast("string"))
+    return t.co_occurrence(f, ["entity_id", "day"], F.col("attribute") == "signup", F.col("attribute") == "purchase")
 
 
 @query("""WITH p AS (SELECT DISTINCT p_size % 3 AS seed, p_name FROM part)
 SELECT l.seed AS left_seed, r.seed AS right_seed, count(*) AS shared FROM p l JOIN p r ON l.p_name = r.p_name AND l.seed < r.seed GROUP BY ALL""")
 def cross_seed_overlap(spark, sf_dir):
-    # one row a name first, then the pairs of its seeds (at most three), so a common name is no join of all with all
-    seeds = _t(spark, sf_dir, "part").groupBy("p_name").agg(F.array_sort(F.collect_set(F.col("p_size") % 3)).alias("s"))
-    pairs = seeds.select(F.explode(F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b > a), lambda b: F.struct(a.alias("left_seed"), b.alias("right_seed")))))).alias("p"))
-    return pairs.groupBy("p.left_seed", "p.right_seed").agg(F.count("*").alias("shared"))
+    return reports.shared_names(_t(spark, sf_dir, "part").select((F.col("p_size") % 3).alias("seed"), "p_name"), "p_name")
 
 
 @query("""SELECT n_nationkey, sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') AS digest FROM nation""")
@@ -362,8 +320,8 @@ def stable_digest(spark, sf_dir):
 
 @query("""SELECT o_custkey, string_agg(o_orderpriority, '>' ORDER BY first_key) AS seen FROM (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS first_key FROM orders GROUP BY ALL) GROUP BY o_custkey""")
 def ordered_distinct(spark, sf_dir):
-    first = _t(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("k"))
-    return first.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "o_orderpriority"))), lambda s: s["o_orderpriority"]), ">").alias("seen"))
+    seen = reports.first_seen(_t(spark, sf_dir, "orders"), ["o_custkey"], "o_orderpriority", "o_orderkey")
+    return seen.select("o_custkey", F.array_join("seen", ">").alias("seen"))
 
 
 @query("SELECT 'Q-1-' || lpad(CAST(row_number() OVER (ORDER BY s_nationkey, s_name) AS VARCHAR), 4, '0') AS question_id, s_suppkey FROM supplier")
@@ -379,31 +337,15 @@ def pending_resume(spark, sf_dir):
     return tables.pending(events, done, "template").select(F.col("event_id").alias("c_custkey"))
 
 
-@query()
-def allocation_quota(spark, sf_dir):
-    """Facts as candidates by type and horizon, picked by quotas from pool sizes; the rank is a hash, which SQL elsewhere doesn't have."""
-    f = _facts(spark, sf_dir)
-    active = t.with_status(f, t.horizons(f, _days(spark, sf_dir))).where("status = 'active'")
-    pool = active.select("seed", F.col("attribute").alias("type"), F.col("horizon").alias("as_of_horizon"), F.concat("fact_id", F.lit(" "), "horizon").alias("text"), "as_of", "entity_id")
-    return questions.allocate(pool, 100, 140, 8, {"current": 60, "early": 20, "mid": 20, "late": 20}, None).select("question_id", "type", "as_of_horizon", "text")
-
-
-@query()
-def generated_quotas(spark, sf_dir):
-    """The shape of one generated universe, rule by rule."""
-    return t.quota_report(*_universe(spark)).select("seed", "rule", "observed", "passed")
-
-
-@query()
-def generated_fidelity(spark, sf_dir):
-    """Generated texts against their manifests: all pass, nothing missing, nothing unsupported."""
-    f, e = _universe(spark)
-    m = render.manifests(e, f)
-    return fidelity.summary(fidelity.verify(m, render.render(m).select("seed", "event_id", "text")))
+@query("""SELECT sha256(string_agg('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' || chr(10), '' ORDER BY n_nationkey)) AS digest FROM nation""")
+def jsonl_digest(spark, sf_dir):
+    return spark.createDataFrame([(tables.line_digest(_t(spark, sf_dir, "nation"), ["n_nationkey"]),)], "digest string")
 
 
-@query()
-def generated_candidates(spark, sf_dir):
-    """Question candidates of one generated universe by type."""
-    f, e = _universe(spark)
-    return questions.candidates(questions.Universe(f, e)).groupBy("type").agg(F.count("*").alias("n"))
+@query("SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'customers', count(DISTINCT o_custkey) FROM orders UNION ALL SELECT 'states', count(DISTINCT o_orderstatus) FROM orders UNION ALL SELECT 'days', max(CAST(o_orderdate AS DATE)) - min(CAST(o_orderdate AS DATE)) FROM orders")
+def completion_counts(spark, sf_dir):
+    """Facts, entities and span of one seed, with orders as events."""
+    o = _t(spark, sf_dir, "orders").select(F.lit(1).alias("seed"), F.col("o_custkey").alias("advertiser_id"), F.col("o_orderstatus").alias("deal_id"), F.lit("x").alias("io_id"), F.to_date("o_orderdate").alias("timestamp"))
+    r = reports.completion(o, o, o)
+    names = {"orders": "events", "customers": "advertisers", "states": "deals", "days": "span_days"}
+    return r.select(F.inline(F.array(*(F.struct(F.lit(k).alias("name"), F.col(c).cast("long").alias("n")) for k, c in names.items()))))
