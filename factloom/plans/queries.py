@@ -238,9 +238,10 @@ for _ in range(2):
 _SEGMENTS = f"list_filter(string_split(regexp_replace({_GUARDED}, '([.!?;])[ \\t\\r\\f\\v]+([\"''(\\[]?[A-Z0-9])', '\\1' || chr(10) || '\\2', 'g'), chr(10)), lambda x: regexp_matches(x, '[^\\s\\x1e]'))"
 
 
-@query(f"SELECT doc_id, len({_SEGMENTS}) AS segments FROM documents")
+@query(f"""SELECT doc_id, len({_SEGMENTS}) AS segments, md5(array_to_string(list_transform({_SEGMENTS}, lambda x: trim(regexp_replace(x, '[\\s\\x1e]+', ' ', 'g'))), '|')) AS digest FROM documents""")
 def segment_sentences(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", F.size(extract.segments(canon.unify(F.coalesce("text", F.lit(""))))).cast("long").alias("segments"))
+    segs = extract.segments(canon.unify(F.coalesce("text", F.lit(""))))
+    return _t(spark, sf_dir, "documents").select("doc_id", segs.alias("s")).select("doc_id", F.size("s").cast("long").alias("segments"), F.md5(F.array_join(F.transform("s", lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), "|")).alias("digest"))
 
 
 _NORM = "' ' || trim(regexp_replace(replace(lower({}), 'ß', 'ss'), '[^0-9a-z]+', ' ', 'g')) || ' '"

@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions import extract, values
+from factloom.functions import canon, extract, values
 from factloom.operators import audit, fidelity, render, validate
-from factloom.plans.commerce import ORACLE, universe
+from factloom.plans.commerce import ORACLE, facts, universe
 from factloom.plans.registry import query
-from factloom.sources import scratch
+from factloom.sources import scratch, tables
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -185,6 +185,61 @@ def question_rules(spark, sf_dir):
     return validate.question_violations(q).select("key", "check")
 
 
+_CHAIN_RULES = {1: "supersedes_unknown:b duplicate_active:a", 2: "interval_inverted:b", 3: "transient_superseded:b", 4: "crosses_keys:b", 5: "value_revisited:a", 6: "cycle:a cycle:b interval_inverted:a", 7: "duplicate_active:a", 8: "superseded_twice:a duplicate_active:b"}
+
+
+@query(f"""WITH r(m, rule, part) AS (VALUES {", ".join(f"({m}, '{c.split(':')[0]}', '{c.split(':')[1]}')" for m, cs in _CHAIN_RULES.items() for c in cs.split())}) SELECT 'F' || o_orderkey || part AS key, rule AS "check" FROM orders JOIN r ON o_orderkey % 10 = m""")
+def chain_rules(spark, sf_dir):
+    """Every rule across facts: an order's budget and its revision, each rule broken by a tenth of the orders."""
+    o = _t(spark, sf_dir, "orders").select((F.col("o_orderkey") % 10).alias("m"), F.col("o_orderkey").cast("string").alias("k"), F.to_date("o_orderdate").alias("d"), F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("part")).where("part <> 'c' OR m = 8")
+    m, own, null = F.col("m"), F.concat(F.lit("F"), "k"), F.lit(None).cast("string")
+    first = F.col("part") == "a"
+    start = F.when(first, F.col("d")).when(m == 2, F.col("d")).when(F.col("part") == "c", F.date_add("d", 20)).otherwise(F.date_add("d", 10))
+    before = F.when(first, F.when(m == 6, F.concat(own, F.lit("b")))).when(m == 1, F.concat(F.lit("X"), "k")).when(m == 7, null).otherwise(F.concat(own, F.lit("a")))
+    f = o.select(
+        F.lit(1).alias("seed"), F.concat(own, "part").alias("fact_id"), F.lit("deal").alias("entity"), F.concat(F.lit("D"), "k").alias("entity_id"), F.lit("V1").alias("event_id"), F.when((m == 4) & ~first, "objective").otherwise("budget_usd").alias("attribute"),
+        F.when(m == 5, "1").otherwise(F.col("part")).alias("value"), F.struct(start.alias("start"), F.lit(None).cast("date").alias("end")).alias("validity_interval"), F.when((m == 3) & first, "transient").otherwise("durable").alias("volatility_class"), F.lit("call_note").alias("channel"), F.lit("user").alias("author"),
+        F.lit("first_party_note").alias("trust_class"), before.alias("supersedes"), null.alias("plausibility"), F.lit(False).alias("injection"), F.lit(False).alias("never_memorize"))
+    return validate.chain_violations(scratch.written(f, "facts")).select("key", "check")
+
+
+# ---- scalar functions, sources
+@query("""SELECT o_orderkey AS k, 'a b ' || o_orderkey AS stripped, 'Northwind' AS bare, 'io 7 ' || o_orderkey AS tokens, '$' || format('{:,}', n) AS money, format('{:,}', n * 10) AS grouped, strftime(o_orderdate, '%B %-d, %Y') AS long_date,
+ CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%B %-d, %Y') ELSE 'on ' || strftime(o_orderdate, '%Y-%m-%d') END AS shown, 'Back-To-School Line ' || o_orderkey AS title, 'ann.b' || o_orderkey || '@root.example' AS mail, 'Über ' || o_orderkey AS capital,
+ CASE o_orderkey % 3 WHEN 0 THEN 'date' WHEN 1 THEN 'number' ELSE 'name' END AS kind, CAST(strftime(o_orderdate, '%Y%m') AS INT) AS month, o_orderkey % 2 = 0 AS same FROM (SELECT *, CAST(floor(o_totalprice) AS BIGINT) AS n FROM orders)""")
+def scalar_forms(spark, sf_dir):
+    """Canonical and prose forms of values made from orders."""
+    k, n, d = F.col("o_orderkey").cast("string"), F.floor("o_totalprice").cast("long"), F.to_date("o_orderdate")
+    iso, long = d.cast("string"), F.date_format(d, "MMMM d, yyyy")
+    m = F.col("o_orderkey") % 3
+    value = F.when(m == 0, long).when(m == 1, F.concat(n.cast("string"), F.lit(" usd"))).otherwise(F.concat(F.lit("IO-"), k))
+    other = F.when(F.col("o_orderkey") % 2 == 0, long).otherwise(F.date_format(F.date_add(d, 1), "MM/dd/yyyy"))
+    forms = {
+        "stripped": canon.strip_edges(F.concat(F.lit('  ("a b '), k, F.lit('"),; '))), "bare": canon.bare(F.lit("(Northwind's),")), "tokens": _joined(canon.name_tokens(F.concat(F.lit(" IO-7/"), k, F.lit("."))), " "),
+        "money": canon.money(n), "grouped": canon.grouped(n * 10), "long_date": canon.long_date(d), "shown": canon.natural(F.when(F.col("o_orderkey") % 2 == 0, iso).otherwise(F.concat(F.lit("on "), iso))),
+        "title": canon.title(F.concat(F.lit("back-to-school line "), k)), "mail": canon.mail_address(F.concat(F.lit("Ann B"), k), F.lit("root")), "capital": canon.capital(F.concat(F.lit("über "), k)),
+        "kind": canon.kind(value), "month": canon.month_of(F.date_format(d, "MMM yyyy")), "same": canon.values_match(iso, other),
+    }
+    return _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), *(v.alias(name) for name, v in forms.items()))
+
+
+@query(f"WITH {ORACLE} SELECT fact_id, value, CAST(start_day AS STRING) AS start_day, CAST(end_day AS STRING) AS end_day, supersedes, injection FROM f")
+def jsonl_round_trip(spark, sf_dir):
+    """Facts written as sorted JSON lines and read again with their fixed schema."""
+    f = facts(spark, sf_dir).drop("fact_pos")
+    path = scratch.place(spark, "lines")
+    f.select(tables.json_line(f).alias("value")).write.text(path)
+    back = tables.read_jsonl(spark, path, "facts")
+    return back.select("fact_id", "value", F.col("validity_interval.start").cast("string").alias("start_day"), F.col("validity_interval.end").cast("string").alias("end_day"), "supersedes", "injection")
+
+
+@query("""SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey) AS rank FROM orders WHERE o_orderstatus IN ('F', 'O')) WHERE rank <= 7""")
+def chosen_rows(spark, sf_dir):
+    """The first seven ids of each seed among rows of two types: the limit is the operator."""
+    o = _t(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).cast("int").alias("seed"), "o_orderkey", F.col("o_orderstatus").alias("type"))
+    return tables.chosen(o, "o_orderkey", types=["F", "O"], limit=7).select("o_orderkey")
+
+
 # ---- audit and verdicts
 _K = "CAST(c_custkey AS STRING)"
 _ASKED = """WITH c AS (SELECT c_custkey AS k, c_custkey % 50 AS m, c_name AS name FROM customer),

@@ -15,13 +15,18 @@ _WRITTEN: list[str] = []
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as Parquet under spark.checkpoint.dir (a folder of our own where that is unset and all run on this machine), read back without lineage."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own(spark)
-    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = place(spark, label)
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def place(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder, which drop_written() removes."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own(spark)
+    _WRITTEN.append(f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
 def _own(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import values
 from factloom.operators.validate import EngineError
-from factloom.sources import tables
+from factloom.sources import scratch, tables
 from factloom.streaming import ingest
 
 from .test_temporal import FACTS
@@ -66,3 +66,14 @@ def test_stream_splits_facts_and_violations(spark, tmp_path):
     q.awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/facts").count() == len(FACTS) - 1
     assert [(r["key"], r["check"]) for r in spark.read.parquet(f"{tmp_path}/bad").collect()] == [("F1", "trust")]
+
+
+def test_shared_folder_is_required_off_one_machine():
+    class Context:
+        master, applicationId = "spark://somewhere:7077", "app"
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch._own(Session())

@@ -25,10 +25,77 @@ def test_generated_records_are_valid(world):
     assert validate.fact_violations(world["facts"]).isEmpty()
     assert validate.event_violations(world["events"]).isEmpty()
     assert validate.chain_violations(world["facts"]).isEmpty()
-    assert t.quota_report(world["facts"], world["events"]).where("NOT passed").isEmpty()
+    assert t.quota_report(world["facts"], world["events"]).where("passed").count() == len(t.QUOTAS)
     assert world["texts"].where("size(unknown) > 0").isEmpty()
 
 
+def test_quota_mutants(spark, world):
+    """For each rule a universe that breaks it and that the report must name."""
+    f, e = world["facts"], world["events"]
+    none = F.lit(None).cast("string")
+    start = F.col("validity_interval.start")
+    apart = F.struct(start.alias("start"), F.lit(None).cast("date").alias("end"))
+    mutants = {
+        "advertisers": (f, e.withColumn("advertiser_id", F.lit("ADV-1"))),
+        "deals_per_advertiser": (f, e.withColumn("deal_id", F.when(F.col("deal_id").isNotNull(), F.substring("deal_id", 1, 9)))),
+        "scenarios": (f, e.limit(99)),
+        "timeline_span_days": (f, e.where("timestamp < '2025-06-01'")),
+        "deals_with_correction_chains_pct": (f.withColumn("supersedes", F.when(F.col("entity") == "advertiser", F.col("supersedes"))), e),
+        "multi_step_chains": (f.withColumn("supersedes", F.when(F.col("value") != "cancelled", F.col("supersedes"))).where("attribute <> 'cpm_rate'"), e),
+        "injections": (f.where("NOT injection OR attribute <> 'cpm_rate'"), e),
+        "injection_plausibility": (f.withColumn("plausibility", F.when(F.col("injection"), "low")), e),
+        "injections_targeting_corrected_fact": (f.withColumn("attribute", F.when(F.col("injection"), "other").otherwise(F.col("attribute"))), e),
+        "never_memorize_probes": (f.withColumn("never_memorize", F.lit(False)), e),
+        "transient_facts_with_end_dates": (f.withColumn("validity_interval", apart), e),
+        "events_with_permanent_and_volatile_facts": (f.where("volatility_class <> 'permanent'"), e),
+        "duplicate_active_facts": (f.withColumn("supersedes", none).withColumn("validity_interval", apart), e),
+    }
+    assert set(mutants) == {rule for rule, *_ in t.QUOTAS}
+    # a seed for each mutant, so that one report has them all
+    facts, events = None, None
+    for k, (x, y) in enumerate(mutants.values()):
+        x, y = (df.withColumn("seed", F.lit(100 + k)) for df in (x, y))
+        facts, events = (x, y) if facts is None else (facts.unionByName(x), events.unionByName(y))
+    facts, events = scratch.written(facts, "mutants"), scratch.written(events, "mutants")
+    failed = {}
+    for r in t.quota_report(facts, events).where("NOT passed").collect():
+        failed.setdefault(r["seed"] - 100, set()).add(r["rule"])
+    assert [rule for k, rule in enumerate(mutants) if rule not in failed.get(k, ())] == []
+    with pytest.raises(ValueError, match="scenarios of seed 102"):
+        t.strict_quotas(facts, events)
+
+
+def test_plans_and_rates(world):
+    """Corrected deals of six kinds, and rates that no line ever has twice."""
+    e = world["events"]
+    kinds = {r["scenario_kind"] for r in e.select("scenario_kind").distinct().collect()}
+    assert {"rate_revision", "impressions_adjustment", "flight_shift", "line_hold", "line_cancellation", "line_activation"} <= kinds
+    rates = world["facts"].where("attribute IN ('cpm_rate', 'cpm_rate_claimed', 'rate_card_cpm') AND NOT injection")
+    assert rates.groupBy("entity_id", "value").count().where("count > 1").isEmpty()
+    assert rates.where("attribute = 'cpm_rate'").groupBy("entity_id").count().where("count = 3").count() == 3
+
+
+def test_rungs(spark):
+    rows = spark.createDataFrame([(0, [0]), (3, [3]), (3, [3, 2]), (3, [3, 2, 4]), (7, [7, 6]), (0, list(range(8)))], "now int, used array<int>")
+    assert [r[0] for r in rows.select(generate.next_rung(F.col("now"), F.col("used"))).collect()] == [1, 2, 4, 1, 5, None]
+
+
+def test_rendering_rules(spark, world):
+    m = world["manifests"]
+    lie = m.where("scenario_kind = 'injection_false_rate'").limit(1)
+    text = render.render(lie).first()["text"]
+    assert "Someone wrote to us that the rate was $" in text and "\nHello," in text
+    note = render.render(m.where("channel = 'call_note'").limit(1)).first()["text"]
+    assert "\nFrom a call.\n" in note and "Regards, sales operations" in note
+    kick = m.where("scenario_kind = 'deal_kickoff'").limit(1)
+    row = kick.first()
+    assert render.render(kick).first()["text"].count(row["deal_name"]) == 2  # in the subject and the identity sentence
+    odd = kick.withColumn("facts", F.transform("facts", lambda f: f.withField("attribute", F.lit("shoe_size"))))
+    assert render.render(odd).first()["unknown"]
+    with pytest.raises(Exception, match="no clause for"):
+        render.render(odd, strict=True).collect()
+
+
 def test_same_seed_same_universe(spark, world):
     again = scratch.written(generate.generate(spark, [42])[0], "again")
     assert tables.digest(again) == tables.digest(world["facts"])
