@@ -128,17 +128,16 @@ def test_water_filling_like_rounds():
     assert len(mixture.water_fill(many, {k: 1.0 + k % 5 for k in many}, 1.5 * sum(many.values()), 2.0)) == len(many)
 
 
-def test_sample_like_sorted_draws(spark):
-    """Which documents are taken once more, from the draws alone: large ones up to their share, small ones up to the nearest sum."""
-    docs = table(spark, SF, "documents")
-    slim = mixture._slim(docs, "doc_id", "text", "source", mixture.SEED).collect()
+def sampled(slim):
+    """How often each row (id, source, size, draw) is taken, from the draws alone: large documents up to their share of what whole
+    epochs leave, small ones up to the sum nearest to what is then missing."""
     by = defaultdict(list)
-    for r in slim:
-        by[r["source"]].append((r["draw"], r["size"], r["id"]))
+    for k, r in enumerate(slim):
+        by[r["source"]].append((r["draw"], r["size"], k))
     order = sorted(by, key=lambda s: (s is None, s or ""))
     sizes = {s: sum(n for _, n, _ in by[s]) for s in order}
     target = filled(sizes, {s: mixture.WEIGHTS[k % 3] for k, s in enumerate(order)}, 1.5 * sum(sizes.values()), 2.0)
-    want = {}
+    times = {}
     for s, rows in by.items():
         whole = int(target[s] // sizes[s]) if sizes[s] else 0
         missing = target[s] - whole * sizes[s]
@@ -163,9 +162,15 @@ def test_sample_like_sorted_draws(spark):
                 break
             run += n
             once.add(i)
-        want.update({i: whole + (i in once) for _, _, i in rows})
+        times.update({i: whole + (i in once) for _, _, i in rows})
+    return [times[k] for k in range(len(slim))]
+
+
+def test_sample_like_sorted_draws(spark):
+    docs = table(spark, SF, "documents")
+    slim = mixture._slim(docs, "doc_id", "text", "source", mixture.SEED).collect()
     got = {r["doc_id"]: r["times"] for r in mixture.mix(docs).collect()}
-    assert got == want
+    assert got == {r["id"]: n for r, n in zip(slim, sampled(slim), strict=True)}
 
 
 # ---- op8
