@@ -95,20 +95,19 @@ def _spark_sql(spark: SparkSession, sf_dir: str, select: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts as FACT_DDL has them, and fact_pos; written once."""
-    rows = _spark_sql(spark, sf_dir, FACT_ROWS)
+    """Facts as FACT_DDL has them, and fact_pos; made and written once an application."""
     names = [c.strip().split()[0] for c in values.FACT_DDL.replace("start:date,end:date", "").split(",")]
-    return scratch.written(rows.withColumn("validity_interval", F.struct(F.col("start_day").alias("start"), F.col("end_day").alias("end"))).select(*names, "fact_pos"), "facts")
+    interval = F.struct(F.col("start_day").alias("start"), F.col("end_day").alias("end"))
+    return scratch.kept(spark, ("commerce-facts", sf_dir), lambda: _spark_sql(spark, sf_dir, FACT_ROWS).withColumn("validity_interval", interval).select(*names, "fact_pos"))
 
 
-def events(spark: SparkSession, sf_dir: str, facts_: DataFrame) -> DataFrame:
-    ids = facts_.groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("fact_pos", "fact_id"))), lambda x: x["fact_id"]).alias("fact_ids"))
-    return scratch.written(_spark_sql(spark, sf_dir, EVENT_ROWS).join(ids, "event_id"), "events")
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = facts(spark, sf_dir).groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("fact_pos", "fact_id"))), lambda x: x["fact_id"]).alias("fact_ids"))
+    return scratch.kept(spark, ("commerce-events", sf_dir), lambda: _spark_sql(spark, sf_dir, EVENT_ROWS).join(ids, "event_id"))
 
 
 def universe(spark: SparkSession, sf_dir: str) -> questions.Universe:
-    f = facts(spark, sf_dir)
-    return questions.Universe(f.drop("fact_pos"), events(spark, sf_dir, f))
+    return questions.Universe(facts(spark, sf_dir).drop("fact_pos"), events(spark, sf_dir))
 
 
 #: The same in DuckDB, with status, history, chains and labels as SQL of their own.

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 _WRITTEN: list[str] = []
+_KEPT: dict[tuple[str, ...], DataFrame] = {}
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -27,6 +29,14 @@ def place(spark: SparkSession, label: str) -> str:
     return _WRITTEN[-1]
 
 
+def kept(spark: SparkSession, key: tuple[str, ...], make: Callable[[], DataFrame]) -> DataFrame:
+    """make(), written once for each key and application: for tables that many queries derive alike from the same input."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _KEPT:
+        _KEPT[key] = written(make(), key[1])
+    return _KEPT[key]
+
+
 def _own(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
@@ -40,6 +50,7 @@ def drop_written(spark: SparkSession) -> int:
     """Deletes what written() has written in this process; returns the number of tables."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     done = 0
+    _KEPT.clear()
     while _WRITTEN:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         path.getFileSystem(conf).delete(path, True)
