@@ -46,7 +46,7 @@ def forbidden_tokens(questions: DataFrame) -> DataFrame:
 def corpus_support(questions: DataFrame, facts: DataFrame, corpus: DataFrame) -> DataFrame:
     """(seed, question_id, supported, absent, wrongly_present), one row a question."""
     need = required_tokens(questions, facts).withColumn("must", F.lit(True)).unionByName(forbidden_tokens(questions).withColumn("must", F.lit(False)))
-    held = corpus_holds(need, corpus)
+    held = corpus_holds(scratch.written(need, "need"), corpus)
     bad = held.groupBy("seed", "question_id").agg(F.sort_array(F.collect_set(F.when(F.col("must") & ~F.col("present"), F.col("token")))).alias("absent"), F.sort_array(F.collect_set(F.when(~F.col("must") & F.col("present"), F.col("token")))).alias("wrongly_present"))
     none = F.array().cast("array<string>")
     out = questions.select("seed", "question_id").join(bad, ["seed", "question_id"], "left").withColumns({c: F.coalesce(c, none) for c in ("absent", "wrongly_present")})
@@ -79,7 +79,7 @@ def dry_run(questions: DataFrame, facts: DataFrame, corpus: DataFrame) -> DataFr
     listed = ok.select("seed", "question_id", F.inline("expected_memory_points")).select("seed", "question_id", "fact_id")
     unlisted = finding(seen.where(F.col("known").isNotNull() & t.memorable()).join(listed, ["seed", "question_id", "fact_id"], "left_anti"), "memory_point_missing", F.col("fact_id"))
 
-    support = corpus_support(ok, facts, corpus)
+    support = scratch.written(corpus_support(ok, facts, corpus), "support")
     absent = finding(support.where("size(absent) > 0"), "corpus_presence", F.to_json("absent"))
     present = finding(support.where("size(wrongly_present) > 0"), "corpus_absence", F.to_json("wrongly_present"))
     naming = finding(ok.where("io_id IS NOT NULL AND instr(text, io_id) = 0"), "io_naming", F.col("io_id"))
@@ -140,7 +140,7 @@ def swallowed(judged: DataFrame, facts: DataFrame) -> DataFrame:
     """(seed, question_id, swallowed): the planted lies that each answer holds, the question's own first, then the others by value."""
     own = judged.select("seed", "question_id", F.col("notes")["injected_value"].alias("lie"), F.lit(0).alias("rank")).where("lie IS NOT NULL")
     every = injected_values(facts)
-    held = containment.values_join(judged.select("seed", "question_id", "idx"), every.unionByName(own.select("seed", "lie")), "lie", ["seed"], ["question_id"])
+    held = scratch.written(containment.values_join(judged.select("seed", "question_id", "idx"), every.unionByName(own.select("seed", "lie")), "lie", ["seed"], ["question_id"]), "held")
     # another question's own lie counts only where it is a planted value
     planted = held.join(every, ["seed", "lie"], "left_semi").withColumn("rank", F.lit(1))
     both = held.join(own, ["seed", "question_id", "lie"]).unionByName(planted, allowMissingColumns=True)
@@ -150,7 +150,7 @@ def swallowed(judged: DataFrame, facts: DataFrame) -> DataFrame:
 def classify(questions: DataFrame, answers: DataFrame, facts: DataFrame, corpus: DataFrame) -> DataFrame:
     """A verdict for each question: answered, deceived, oracle_failed or unanswerable, in this order."""
     judged = scratch.written(judge(questions.join(answers.select("question_id", "answer"), "question_id", "left")), "judged")
-    lies = swallowed(judged, facts)
+    lies = scratch.written(swallowed(judged, facts), "lies")
     df = judged.join(lies, ["seed", "question_id"], "left").join(corpus_support(questions, facts, corpus), ["seed", "question_id"])
     deceived = F.size(F.coalesce("swallowed", F.array().cast("array<string>"))) > 0
     verdict = F.when(F.col("matched"), "answered").when(deceived, "deceived").when(F.col("supported"), "oracle_failed").otherwise("unanswerable")

@@ -58,7 +58,7 @@ def values_join(indexed: DataFrame, values: DataFrame, value_col: str, scope: li
 
     indexed should be a written table, since keys and segments are read from it apart.
     """
-    wanted = extract.with_value(values.select(*scope, value_col).distinct(), value_col).select(*scope, value_col, "v_kind", "v_key", "v_norm")
+    wanted = scratch.written(extract.with_value(values.select(*scope, value_col).distinct(), value_col).select(*scope, value_col, "v_kind", "v_key", "v_norm"), "wanted")
     keys = F.concat(F.transform("idx.dates", lambda d: F.concat(F.lit("d:"), d["day"].cast("string"))), F.transform("idx.numbers", lambda n: F.concat(F.lit("n:"), n["value"])))
     typed = indexed.select(*scope, *own, F.explode(F.array_distinct(keys)).alias("v_key")).distinct()
     by_key = wanted.where("v_kind <> 'name'").join(typed, [*scope, "v_key"]).select(*scope, *own, value_col)

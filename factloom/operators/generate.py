@@ -94,9 +94,9 @@ def _plan_of() -> Column:
 
 
 def next_rung(now: Column, used: Column) -> Column:
-    """The rung nearest to now that isn't among used, the lower of two; rungs are places in RATES from 0."""
+    """The rung nearest to now that isn't among used, the lower of two, null if all are; rungs are places in RATES from 0."""
     steps = F.array(*(F.lit(s) for d in range(1, len(RATES)) for s in (-d, d)))
-    return F.filter(F.transform(steps, lambda s: now + s), lambda r: (r >= 0) & (r < len(RATES)) & ~F.array_contains(used, r))[0]
+    return F.get(F.filter(F.transform(steps, lambda s: now + s), lambda r: (r >= 0) & (r < len(RATES)) & ~F.array_contains(used, r)), F.lit(0))
 
 
 def _rate(rung: str) -> Column:
