@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,3 +86,11 @@ def free_name(taken: list[str], want: str) -> str:
     while want.lower() in low:
         want = "_" + want
     return want
+
+
+def tree_reduced(states: DataFrame, merge: Callable[[bytes, bytes], bytes], depth: int = 2) -> bytes | None:
+    """One state out of a column of states, one a partition, merged by pairs in tasks and in few levels; None if there is no partition."""
+    parts = states.rdd
+    if not parts.getNumPartitions():
+        return None
+    return parts.map(lambda row: bytes(row[0])).treeReduce(merge, depth)

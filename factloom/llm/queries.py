@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, html_text, mixture, pii, quality_rules, simhash, toxicity, url_filter
+from . import bpe, chat, exact_dedup, html_text, mixture, pii, quality_rules, resample, simhash, toxicity, url_filter, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": html_text.op1,
@@ -19,10 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality_rules.op8,
     "op9_byte_bpe": bpe.op9,
     "op10_simhash": simhash.op10,
+    "op11_whitening": whitening.op11,
+    "op13_importance_resampling": resample.op13,
 }
 
 SQL: dict[str, str] = {
     "op2_chat_format": chat.OP2_SQL,
     "op4_url_filter": url_filter.OP4_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op13_importance_resampling": resample.OP13_SQL,
 }
