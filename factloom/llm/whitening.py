@@ -131,7 +131,7 @@ class Whitening:
 def whole_vectors(rows: DataFrame, vector_col: str = "embedding", scale: int = SCALE) -> Column:
     """The column as whole numbers, null where it is left out."""
     v = F.col(vector_col).cast("array<double>")
-    sound = F.size(v).__gt__(0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    sound = (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     top = float(LARGEST)
     x = F.transform(v, lambda c: F.greatest(F.lit(-top), F.least(F.lit(top), F.floor(F.least(F.greatest(c * scale, F.lit(-top)), F.lit(top))).cast("double"))).cast("long"))
     return F.when(sound, x)
