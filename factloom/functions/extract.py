@@ -10,6 +10,7 @@ they look like, so an equal text elsewhere stays.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ CONNECTORS = ["of", "and", "&", "the", "for", "de", "la"]
 # Repeated groups are possessive, since Java's matcher recurses on others; what follows them makes that no difference.
 CODE = r"(?=[A-Za-z0-9-]*[A-Za-z])(?=[A-Za-z0-9-]*\d)[A-Za-z0-9]++(?:-[A-Za-z0-9]++)*+"
 MAGNITUDE = r"(?i)^\d+(?:\.\d+)?(?:k|mm|m|bn|b)$"
-NUMBER_IN_TEXT = r"(?i)(?<![0-9A-Za-z.])(?:\$|us\$)?\s*-?(?:" + canon.NUMBER + r")(?:\s*(?:k|mm|m|bn|b)(?![A-Za-z0-9_]))?(?:\s*%)?(?![0-9])"
+NUMBER_IN_TEXT = r"(?i)(?<![0-9A-Za-z.])(?:(?:\$|us\$)\s*+)?-?(?:" + canon.NUMBER + r")(?:\s*(?:k|mm|m|bn|b)(?![A-Za-z0-9_]))?(?:\s*%)?(?![0-9])"
 
 #: Words that never make a name alone. A setting, not semantics: pass your own list where this short one is too small.
 SAFE_WORDS = tuple("""a about after all also an and any are as ask at be before best both but by call can confirm could current date day
@@ -39,6 +40,7 @@ VALUES = ("dates", "numbers")
 
 _BREAK = "\u0002"
 _LINK = "\u0001"
+_EDGE = "\u0004"
 
 
 def segments(text: Column) -> Column:
@@ -49,35 +51,77 @@ def segments(text: Column) -> Column:
 
 
 _SPANS = "array<struct<surface:string,value:string,a:int,b:int>>"
+#: Items of an array that are folded one by one; blocks of so many are folded as wholes.
+BLOCK = 256
+
+
+def running(numbers: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array of integers from 0 on the merge (a sum or maximum) of all before it.
+
+    Arrays grow by copying, so a fold over the whole would take quadratic time; here only blocks and the list of blocks grow.
+    """
+
+    def fold(items: Column, of) -> Column:
+        start = F.struct(F.lit(0).alias("now"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(items, start, lambda s, x: F.struct(merge(s["now"], of(x)).alias("now"), F.concat(s["out"], F.array(s["now"])).alias("out")))
+
+    def whole(all_: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(all_), F.lit(BLOCK))
+        blocks = F.transform(firsts, lambda k: fold(F.slice(all_, k, BLOCK), lambda x: x))
+        return let(blocks, lambda bs: F.flatten(F.zip_with(bs, fold(bs, lambda x: x["now"])["out"], lambda b, at: F.transform(b["out"], lambda x: merge(at, x)))))
+
+    return let(numbers, lambda all_: F.when(F.size(all_) > 0, whole(all_)).otherwise(F.array().cast("array<int>")))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
 
 
 def _spans(text: Column, pattern: str, value) -> Column:
-    """Matches as (surface, value, a, b): from a up to b; value maps a surface to a text, null for a match that doesn't count."""
+    """Matches as (surface, value, a, b): from byte a up to b; value maps a surface to a text, null for a match that doesn't count."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
 
     def place(both: Column) -> Column:
-        def step(s: Column, x: Column) -> Column:
-            at = s["at"] + F.length(x["gap"])
-            hit = F.struct(x["hit"].alias("surface"), value(x["hit"]).cast("string").alias("value"), at.alias("a"), (at + F.length(x["hit"])).alias("b"))
-            return F.struct((at + F.length(x["hit"])).alias("at"), F.concat(s["out"], F.array(hit)).alias("out"))
+        before = running(F.transform(both, lambda x: F.octet_length(x["gap"]) + F.octet_length(x["hit"])), _plus)
+
+        def hit(x: Column, at: Column) -> Column:
+            a = at + F.octet_length(x["gap"])
+            return F.struct(x["hit"].alias("surface"), value(x["hit"]).cast("string").alias("value"), a.alias("a"), (a + F.octet_length(x["hit"])).alias("b"))
 
-        return F.aggregate(both, F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out")), step, lambda s: F.filter(s["out"], lambda h: h["value"].isNotNull()))
+        return F.filter(F.zip_with(both, before, hit), lambda h: h["value"].isNotNull())
 
-    zipped = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda hit, gap: F.struct(hit.alias("hit"), gap.alias("gap")))
-    return F.when(F.size(found) > 0, let(zipped, place)).otherwise(F.array().cast(_SPANS))
+    def zipped(hits: Column) -> Column:
+        pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda hit, gap: F.struct(hit.alias("hit"), gap.alias("gap")))
+        return F.when(F.size(hits) > 0, let(pairs, place)).otherwise(F.array().cast(_SPANS))
+
+    return let(found, zipped)
 
 
 def _masked(text: Column, spans: Column) -> Column:
-    """text with as many spaces in place of its spans."""
+    """text with as many spaces in place of its spans. Bytes are taken, since a place in them is found without walking there."""
+
+    def cut(ordered: Column, raw: Column) -> Column:
+        def piece(x: Column, at: Column) -> Column:
+            return F.concat(F.substr(raw, at + 1, F.greatest(x["a"] - at, F.lit(0))).cast("string"), F.repeat(F.lit(" "), F.greatest(x["b"] - F.greatest(x["a"], at), F.lit(0))))
 
-    def step(s: Column, x: Column) -> Column:
-        cut = F.concat(s["out"], F.array(F.substr(text, s["at"] + 1, F.greatest(x["a"] - s["at"], F.lit(0))), F.repeat(F.lit(" "), F.greatest(x["b"] - F.greatest(x["a"], s["at"]), F.lit(0)))))
-        return F.struct(cut.alias("out"), F.greatest(s["at"], x["b"]).alias("at"))
+        pieces = F.zip_with(ordered, running(F.transform(ordered, lambda x: x["b"]), F.greatest), piece)
+        return F.concat(F.array_join(pieces, ""), F.substr(raw, F.array_max(F.transform(ordered, lambda x: x["b"])) + 1).cast("string"))
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
-    sorted_ = F.array_sort(F.transform(spans, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))
-    done = F.aggregate(sorted_, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, s["at"] + 1)))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))
+    return F.when(F.size(spans) > 0, let(text.cast("binary"), lambda raw: let(ordered, lambda o: cut(o, raw)))).otherwise(text)
+
+
+def _apart(spans: Column, taken: Column, inside: bool) -> Column:
+    """The spans that don't start inside one of taken (inside) or don't overlap one, in one pass over both by their places."""
+    own = F.transform(spans, lambda h: F.struct((h["a"] if inside else h["b"]).alias("at"), F.lit(1 if inside else 0).alias("kind"), F.lit(0).alias("end"), h.alias("hit")))
+    others = F.transform(taken, lambda t: F.struct(t["a"].alias("at"), F.lit(0 if inside else 1).alias("kind"), t["b"].alias("end"), F.lit(None).cast(_SPANS[6:-1]).alias("hit")))
+
+    def left(merged: Column) -> Column:
+        ends = running(F.transform(merged, lambda x: x["end"]), F.greatest)
+        both = F.zip_with(merged, ends, lambda x, end: F.struct(x["hit"].alias("hit"), end.alias("end")))
+        return F.transform(F.filter(both, lambda x: x["hit"].isNotNull() & (x["end"] <= x["hit"]["a"])), lambda x: x["hit"])
+
+    return F.when((F.size(spans) == 0) | (F.size(taken) == 0), spans).otherwise(let(F.array_sort(F.concat(own, others)), left))
 
 
 _DAY_STEPS = (
@@ -89,29 +133,19 @@ _DAY_STEPS = (
 _PARTIAL = r"(?i)(?<![A-Za-z0-9_])" + canon.MONTH_YEAR.removeprefix("(?i)") + r"(?![A-Za-z0-9_])"
 
 
-def _more_days(segment: Column, pattern: str, day):
-    """Adds the days of one format that don't start inside those already taken."""
-
-    def step(taken: Column) -> Column:
-        fresh = F.filter(_spans(segment, pattern, day), lambda h: ~F.exists(taken, lambda t: (t["a"] <= h["a"]) & (h["a"] < t["b"])))
-        return F.concat(taken, fresh)
-
-    return step
+def _with_spans(df: DataFrame, out: str, text: str, pattern: str, value, taken: str | None = None, inside: bool = True) -> DataFrame:
+    """df with the column out: the spans of a text column that stand apart from those in the column taken."""
+    df = df.withColumn(out, _spans(F.col(text), pattern, value))
+    return df.withColumn(out, _apart(F.col(out), F.col(taken), inside)) if taken else df
 
 
-def _without_dates(segment: Column) -> Column:
-    """(rest, dates, months): a segment's dates in order of format; only true days are taken out of the rest."""
-    spans = F.array().cast(_SPANS)
-    for pattern, day in _DAY_STEPS:
-        spans = let(spans, _more_days(segment, pattern, day))
-
-    def last(days: Column) -> Column:
-        months = F.filter(_spans(segment, _PARTIAL, canon.month_of), lambda h: ~F.exists(days, lambda t: (t["a"] < h["b"]) & (h["a"] < t["b"])))
-        return let(months, lambda m: F.struct(
-            _masked(segment, F.concat(days, m)).alias("rest"), F.transform(days, lambda h: F.struct(h["surface"].alias("surface"), h["value"].cast("date").alias("day"))).alias("dates"),
-            F.transform(m, lambda h: F.struct(h["surface"].alias("surface"), h["value"].cast("int").alias("month"))).alias("months")))
-
-    return let(spans, last)
+def _without_dates(df: DataFrame) -> DataFrame:
+    """Adds _days and _months (spans of _whole, in order of format) and _rest: _whole without them. Only true days are taken out."""
+    df = df.withColumn("_days", F.array().cast(_SPANS))
+    for pattern, day in _DAY_STEPS:  # a day of one format that starts inside one of a format before isn't one
+        df = _with_spans(df, "_more", "_whole", pattern, day, "_days").withColumn("_days", F.concat("_days", "_more"))
+    df = _with_spans(df, "_months", "_whole", _PARTIAL, canon.month_of, "_days", inside=False)
+    return df.withColumn("_rest", _masked(F.col("_whole"), F.concat("_days", "_months")))
 
 
 def names(segment: Column, safe=SAFE_WORDS) -> Column:
@@ -140,31 +174,31 @@ def names(segment: Column, safe=SAFE_WORDS) -> Column:
     return F.filter(F.transform(runs, trimmed), lambda r: r != "")
 
 
-def extract(segment: Column, safe=SAFE_WORDS, parts=PARTS) -> Column:
-    """(dates, months, names, numbers) of a segment: dates first, then names, then codes out, then numbers; only those of parts."""
-
-    def rest_of(d: Column) -> Column:
-        def codes(text: Column) -> Column:
-            return _spans(text, rf"(?<![\w-]){CODE}(?![\w-])", lambda c: F.when(~c.rlike(MAGNITUDE), c))
-
-        out = [d["dates"].alias("dates"), d["months"].alias("months")]
-        if "names" in parts:
-            out.append(names(d["rest"], safe).alias("names"))
-        if "numbers" in parts:
-            found = let(let(d["rest"], codes), lambda c: F.transform(F.regexp_extract_all(_masked(d["rest"], c), F.lit(NUMBER_IN_TEXT), 0), lambda n: F.regexp_replace(n, r"^\s+|\s+$", "")))
-            out.append(F.filter(F.transform(found, lambda n: F.struct(n.alias("surface"), canon.number(n).alias("value"))), lambda n: n["value"].isNotNull()).alias("numbers"))
-        return F.struct(*out)
-
-    return let(_without_dates(segment), rest_of)
+def _extracted(df: DataFrame, safe, parts) -> tuple[DataFrame, dict[str, Column]]:
+    """df with what the columns of parts need, and these columns: dates first, then names, then codes out, then numbers."""
+    # a text's segments are read in one go: no pattern reaches across what stands between them
+    df = _without_dates(df.withColumn("_whole", F.array_join("_segs", f" {_EDGE} ")))
+    out = {
+        "dates": F.transform("_days", lambda h: F.struct(h["surface"].alias("surface"), h["value"].cast("date").alias("day"))),
+        "months": F.transform("_months", lambda h: F.struct(h["surface"].alias("surface"), h["value"].cast("int").alias("month"))),
+    }
+    if "names" in parts:
+        out["names"] = names(F.col("_rest"), safe)
+    if "numbers" in parts:
+        df = _with_spans(df, "_codes", "_rest", rf"(?<![\w-]){CODE}(?![\w-])", lambda c: F.when(~c.rlike(MAGNITUDE), c))
+        df = df.withColumn("_found", F.regexp_extract_all(_masked(F.col("_rest"), F.col("_codes")), F.lit(NUMBER_IN_TEXT), 0))
+        found = F.transform("_found", lambda n: F.regexp_replace(n, r"^\s+|\s+$", ""))
+        out["numbers"] = F.filter(F.transform(found, lambda n: F.struct(n.alias("surface"), canon.number(n).alias("value"))), lambda n: n["value"].isNotNull())
+    return df, out
 
 
 def text_index(texts: DataFrame, text_col: str = "text", safe=SAFE_WORDS, parts=PARTS) -> DataFrame:
-    """texts with the column idx: seg_norm, and of dates, months, names and numbers those in parts (null text: empty)."""
-    segs = texts.withColumn("_segs", segments(canon.unify(F.coalesce(F.col(text_col), F.lit("")))))
+    """texts with the column idx: seg_norm, and of dates, months, names and numbers those in parts (null text: empty). Dates stand in order of format and place, others by place."""
+    df = texts.withColumn("_segs", segments(canon.unify(F.coalesce(F.col(text_col), F.lit("")))))
     norm = F.transform(F.split(canon.fold(F.array_join("_segs", "\n")), "\n"), canon.words)
-    segs = segs.withColumns({"_norm": norm, "_each": F.transform("_segs", lambda s: extract(s, safe, parts)) if parts else F.lit(None)})
-    idx = F.struct(F.col("_norm").alias("seg_norm"), *(F.flatten(F.col("_each")[c]).alias(c) for c in PARTS if c in parts))
-    return segs.withColumn("idx", idx).drop("_segs", "_norm", "_each")
+    df, found = _extracted(df, safe, parts) if parts else (df, {})
+    idx = F.struct(norm.alias("seg_norm"), *(found[c].alias(c) for c in PARTS if c in parts))
+    return df.withColumn("idx", idx).select(*texts.columns, "idx")
 
 
 def contains(idx: Column, v: Column) -> Column:

@@ -140,3 +140,53 @@ def test_values_are_masked_by_place(spark):
 def test_very_long_tokens(spark):
     for text in ("a1" + "-b" * 300_000 + " 7", "The " * 20_000 + "7", "of " * 5_000 + "7", "." * 300_000 + "7 7", "12 " * 3_000):
         assert index(spark, text)["numbers"][-1]["surface"] in ("7", "12")
+
+
+def test_running_sums_and_maxima(spark):
+    lists = [[(k * 37 + n) % 101 for k in range(n)] for n in (0, 1, 2, extract.BLOCK - 1, extract.BLOCK, extract.BLOCK + 1, 5 * extract.BLOCK + 7)]
+    df = spark.createDataFrame([(x,) for x in lists], "x array<int>")
+    for r in df.select("x", extract.running(F.col("x"), lambda a, b: a + b).alias("s"), extract.running(F.col("x"), F.greatest).alias("m")).collect():
+        assert r["s"] == [sum(r["x"][:k]) for k in range(len(r["x"]))] and r["m"] == [max(r["x"][:k], default=0) for k in range(len(r["x"]))]
+
+
+def test_spans_stand_apart_as_by_all_pairs(spark):
+    import random
+
+    r = random.Random(4)
+
+    def made():
+        at, out = 0, []
+        while len(out) < r.randrange(40):
+            at += r.randrange(4)
+            out.append((f"s{at}", str(at), at, at + r.randrange(1, 5)))
+            at = out[-1][3]
+        return out
+
+    rows = [(k, made(), made()) for k in range(60)]
+    df = spark.createDataFrame(rows, f"k int, x {extract._SPANS}, t {extract._SPANS}")
+    for row in df.select("k", extract._apart(F.col("x"), F.col("t"), True).alias("a"), extract._apart(F.col("x"), F.col("t"), False).alias("b")).collect():
+        _, x, t = rows[row["k"]]
+        assert sorted(map(tuple, row["a"])) == sorted(h for h in x if not any(a <= h[2] < b for _, _, a, b in t))
+        assert sorted(map(tuple, row["b"])) == sorted(h for h in x if not any(a < h[3] and h[2] < b for _, _, a, b in t))
+
+
+def test_a_long_line_takes_time_in_proportion(spark):
+    import time
+
+    def taken(n):
+        line = " ".join(f"2024-0{1 + k % 9}-1{k % 10} März IO-{k}A {k},000 on March {1 + k % 28}, 2024, in May 2031" for k in range(n))
+        start = time.perf_counter()
+        r = extract.text_index(spark.createDataFrame([(line,)], "text string")).select(*(F.size(f"idx.{c}").alias(c) for c in extract.PARTS), F.col("idx.numbers").getItem(0)["surface"].alias("first")).first()
+        assert (r["dates"], r["months"], r["first"]) == (2 * n, n, "0,000") and r["numbers"] >= n and r["names"] >= n
+        return time.perf_counter() - start
+
+    taken(10)
+    assert taken(16_000) < 8 * taken(4_000) + 5  # of quadratic work it would be sixteen times as much
+
+
+def test_numbers_of_the_documents_like_a_plain_scan(spark):
+    lines = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.explode(F.split("text", "[\n\r\x0b\x0c]")).alias("text")).where(~F.col("text").rlike(r"[^\x20-\x7E]") & F.col("text").rlike("[0-9]")).distinct()
+    rows = extract.text_index(lines, parts=("dates", "months", "numbers")).where("size(idx.dates) = 0 AND size(idx.months) = 0").select("text", "idx.numbers.surface").collect()
+    assert len(rows) > 50
+    for text, found in rows:
+        assert found == scan(text), text
