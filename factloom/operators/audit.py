@@ -1,7 +1,7 @@
 """The judge, and the audit of questions and answers.
 
 A corpus is indexed once, and the values asked for meet it on canonical keys and
-first words (containment.values_join). An answer is judged in its own row, and the
+their rarest words (containment.values_join). An answer is judged in its own row, and the
 question's verdict is a CASE over aggregates.
 """
 
@@ -18,7 +18,7 @@ from factloom.sources import scratch
 
 from . import containment
 from . import temporal as t
-from .validate import question_violations
+from .validate import flagged_questions, violation_rows
 
 def _derived() -> Column:
     return F.array_contains(F.map_keys("notes"), "derivation")
@@ -55,9 +55,9 @@ def corpus_support(questions: DataFrame, facts: DataFrame, corpus: DataFrame) ->
 
 def dry_run(questions: DataFrame, facts: DataFrame, corpus: DataFrame) -> DataFrame:
     """(seed, question_id, check, detail): all findings that need no answers."""
-    broken = question_violations(questions)
-    schema = broken.select("seed", F.col("key").alias("question_id"), F.lit("schema").alias("check"), F.concat_ws(": ", "check", "detail").alias("detail"))
-    ok = questions.join(broken.select("seed", F.col("key").alias("question_id")).distinct(), ["seed", "question_id"], "left_anti")
+    flagged = flagged_questions(questions)
+    schema = violation_rows(flagged, "question_id").select("seed", F.col("key").alias("question_id"), F.lit("schema").alias("check"), F.concat_ws(": ", "check", "detail").alias("detail"))
+    ok = flagged.where("size(violations) = 0").select(*questions.columns)  # each row by its own rules, whatever its id
 
     def finding(df: DataFrame, check: str, detail: Column) -> DataFrame:
         return df.select("seed", "question_id", F.lit(check).alias("check"), detail.cast("string").alias("detail"))

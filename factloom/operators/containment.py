@@ -1,9 +1,9 @@
 """Containment joins: which texts hold which values or passages.
 
-Dates and numbers meet texts by equality of canonical keys. Passages and names
-meet them on the hash of their first `gram` words, or of their first word where
-they are shorter, and are tested as a whole only there. What meets are keys and
-ids; a text is read again only where a key met.
+Dates and numbers meet texts by equality of canonical keys. Passages meet them on
+the hash of their first `gram` words, or of their first word where they are
+shorter, names on their rarest word or word pair; both are tested as a whole only
+there. What meets are keys and ids; a text is read again only where a key met.
 """
 
 from __future__ import annotations
@@ -53,17 +53,62 @@ def contains_join(texts: DataFrame, passages: DataFrame, text_id: str, passage_i
     return held.select(F.col("_tid").alias(text_id), F.col("_pid").alias(passage_id)).distinct()
 
 
+#: A key that more segments hold is heavy: names on it meet on two words instead where they have two.
+HEAVY = 64
+
+
+def _word_keys(words: Column, pairs: bool) -> Column:
+    """The distinct words of an array, or its pairs of adjacent words."""
+    runs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
+    return F.array_distinct(F.coalesce(runs, F.array().cast("array<string>")) if pairs else words)
+
+
+def _rarest(names: DataFrame, segs: DataFrame, scope: list[str], pairs: bool) -> DataFrame:
+    """names (scope, _n, _p) with _k, the key of theirs that the fewest segments hold, and _df, how many; names with a key that no segment holds are left out."""
+    keys = names.select(*scope, "_n", F.explode(_word_keys(F.split("_p", " "), pairs)).alias("_k"))
+    asked = scratch.written(keys.select(*scope, "_k").distinct(), "asked")
+    # words are counted before they are shuffled
+    held = segs.select(*scope, F.explode(_word_keys(F.split("_seg", " "), pairs)).alias("_k")).join(small(asked, "_k"), [*scope, "_k"], "left_semi")
+    counts = held.groupBy(*scope, "_k").agg(F.count("*").alias("_df"))
+    found = keys.join(counts, [*scope, "_k"], "left").groupBy(*scope, "_n").agg(F.min(F.struct("_df", "_k")).alias("_best"), F.count_if(F.col("_df").isNull()).alias("_absent"))
+    best = found.where("_absent = 0").select(*scope, "_n", F.col("_best._k").alias("_k"), F.col("_best._df").alias("_df"))
+    return scratch.written(names.join(best, [*scope, "_n"]).select(*scope, "_n", "_p", "_k", "_df"), "rarest")
+
+
+def names_join(segs: DataFrame, names: DataFrame, scope: list[str]) -> DataFrame:
+    """Pairs (_s, _n) of segments (scope, _s, _seg) and names (scope, _n, _p) that stand in them as runs of words, once each.
+
+    An index by document frequency: a name meets segments on the rarest of its words, or on the
+    rarest of its word pairs where all its words are frequent, so names with words in common
+    meet only the segments that hold what is their own. Keys carry no text; a segment's text is read
+    again where a key met. Both should be written tables.
+    """
+    single = _rarest(names, segs, scope, False)
+    heavy = (F.col("_df") > HEAVY) & F.contains(F.col("_p"), F.lit(" "))
+    twos = _rarest(single.where(heavy).select(*scope, "_n", "_p"), segs, scope, True)
+
+    def met(chosen: DataFrame, pairs: bool) -> DataFrame:
+        keys = segs.select(*scope, "_s", F.explode(_word_keys(F.split("_seg", " "), pairs)).alias("_k"))
+        return keys.join(small(chosen.select(*scope, "_n", "_p", "_k"), "_p"), [*scope, "_k"]).select("_s", "_n", "_p")
+
+    both = met(single.where(~heavy), False).unionByName(met(twos, True)).withColumnRenamed("_s", "_met")
+    return segs.join(both, F.col("_s") == F.col("_met")).where(F.contains(extract.padded(F.col("_seg")), extract.padded(F.col("_p")))).select("_s", "_n").distinct()
+
+
 def values_join(indexed: DataFrame, values: DataFrame, value_col: str, scope: list[str], own: list[str]) -> DataFrame:
     """Pairs (scope, own, value_col) of texts (scope, own, idx) and values (scope, value_col) that they hold, once each.
 
     indexed should be a written table, since keys and segments are read from it apart.
     """
-    wanted = scratch.written(extract.with_value(values.select(*scope, value_col).distinct(), value_col).select(*scope, value_col, "v_kind", "v_key", "v_norm"), "wanted")
+    asked = extract.with_value(values.select(*scope, value_col).distinct(), value_col).withColumn("_n", F.monotonically_increasing_id())
+    wanted = scratch.written(asked.select(*scope, value_col, "_n", "v_kind", "v_key", "v_norm"), "wanted")
     keys = F.concat(F.transform("idx.dates", lambda d: F.concat(F.lit("d:"), d["day"].cast("string"))), F.transform("idx.numbers", lambda n: F.concat(F.lit("n:"), n["value"])))
     typed = indexed.select(*scope, *own, F.explode(F.array_distinct(keys)).alias("v_key")).distinct()
     by_key = wanted.where("v_kind <> 'name'").join(typed, [*scope, "v_key"]).select(*scope, *own, value_col)
-    names = wanted.where("v_kind = 'name' AND v_norm <> ''").withColumn("_w", F.substring_index("v_norm", " ", 1))
-    segs = indexed.select(*scope, *own, F.explode(F.array_distinct("idx.seg_norm")).alias("_seg")).distinct()
-    words = segs.select(*scope, *own, "_seg", F.explode(F.array_distinct(F.split("_seg", " "))).alias("_w")).join(names.select(*scope, "_w").distinct(), [*scope, "_w"], "left_semi")
-    by_name = names.join(words, [*scope, "_w"]).where(F.contains(extract.padded(F.col("_seg")), extract.padded(F.col("v_norm")))).select(*scope, *own, value_col)
+    segs = indexed.select(*scope, *own, F.explode(F.array_distinct("idx.seg_norm")).alias("_seg")).where("_seg <> ''")
+    segs = scratch.written(segs.withColumn("_s", F.monotonically_increasing_id()), "segments")
+    names = wanted.where("v_kind = 'name' AND v_norm <> ''")
+    pairs = names_join(segs, names.select(*scope, "_n", F.col("v_norm").alias("_p")), scope)
+    of_text = pairs.join(segs.select("_s", *own), "_s") if own else pairs
+    by_name = of_text.select("_n", *own).distinct().join(names.select(*scope, value_col, "_n"), "_n").select(*scope, *own, value_col)
     return by_key.unionByName(by_name).distinct()

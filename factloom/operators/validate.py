@@ -21,10 +21,15 @@ def _bad(check: str, when: Column, detail: Column | str) -> tuple[str, Column]:
     return check, F.when(F.coalesce(when, F.lit(True)), F.struct(F.lit(check).alias("check"), detail.cast("string").alias("detail")))
 
 
-def _violations(df: DataFrame, key: str, rules: dict[str, Column], only: list[str] | None) -> DataFrame:
-    rules = [r for name, r in rules.items() if only is None or name in only]
-    found = F.filter(F.array(*rules), lambda r: r.isNotNull())
-    return df.select("seed", F.col(key).alias("key"), F.inline(found)).select("seed", "check", "key", "detail")
+def _flagged(df: DataFrame, rules: list[tuple[str, Column]], only: list[str] | None) -> DataFrame:
+    """df with the column violations: the rules that each row breaks, as structs (check, detail)."""
+    rules = [r for name, r in rules if only is None or name in only]
+    return df.withColumn("violations", F.filter(F.array(*rules), lambda r: r.isNotNull()))
+
+
+def violation_rows(flagged: DataFrame, key: str) -> DataFrame:
+    """The violations of flagged rows, a row each."""
+    return flagged.select("seed", F.col(key).alias("key"), F.inline("violations")).select("seed", "check", "key", "detail")
 
 
 def _one_of(name: str, allowed: list[str]) -> tuple[str, Column]:
@@ -47,8 +52,8 @@ def fields(df: DataFrame, ddl: str) -> list[str]:
     return [f"missing {c}" for c in sorted(want - have)] + [f"extra {c}" for c in sorted(have - want)]
 
 
-def fact_violations(facts: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """Rules of single facts; only: the names of those to test."""
+def flagged_facts(facts: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """facts with the rules of single facts that each row breaks; only: the names of those to test."""
     f = with_trust(facts)
     snapshot = F.coalesce(F.col("never_memorize"), F.lit(False))
     injected = F.coalesce(F.col("injection"), F.lit(False))
@@ -65,7 +70,11 @@ def fact_violations(facts: DataFrame, only: list[str] | None = None) -> DataFram
         _bad("snapshot_volatility", snapshot & ~F.col("volatility_class").eqNullSafe(F.lit("ephemeral")), F.col("volatility_class")),
         _bad("snapshot_interval", snapshot & ~start_day().eqNullSafe(end_day()), F.to_json("validity_interval")),
     ]
-    return _violations(f, "fact_id", dict(rules), only)
+    return _flagged(f, rules, only).select(*facts.columns, "violations")
+
+
+def fact_violations(facts: DataFrame, only: list[str] | None = None) -> DataFrame:
+    return violation_rows(flagged_facts(facts, only), "fact_id")
 
 
 def event_violations(events: DataFrame, only: list[str] | None = None) -> DataFrame:
@@ -77,10 +86,11 @@ def event_violations(events: DataFrame, only: list[str] | None = None) -> DataFr
         _bad("fact_ids", ids.isNull() | (F.size(ids) == 0) | F.exists(ids, lambda i: F.coalesce(~i.rlike(ID), F.lit(True))), F.to_json("fact_ids")),
         *(_bad(f"{c}_blank", F.col(c).isNotNull() & _blank(c), "") for c in ("agency_name", "contact_name", "deal_id", "io_id")),
     ]
-    return _violations(events, "event_id", dict(rules), only)
+    return violation_rows(_flagged(events, rules, only), "event_id")
 
 
-def question_violations(questions: DataFrame, only: list[str] | None = None) -> DataFrame:
+def flagged_questions(questions: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """questions with the rules that each row breaks."""
     q = questions.join(F.broadcast(values.query_kinds(questions.sparkSession)), "type", "left")
     sentinel = F.col("gold_kind") == "sentinel"
     tokens, points = F.col("gold_tokens"), F.col("expected_memory_points")
@@ -97,7 +107,11 @@ def question_violations(questions: DataFrame, only: list[str] | None = None) ->
         _bad("io_id_id", F.col("io_id").isNotNull() & ~F.col("io_id").rlike(ID), F.col("io_id")),
         _bad("flags", F.col("touches_injection").isNull() | F.col("touches_never_memorize").isNull(), ""), _bad("notes", F.col("notes").isNull(), ""),
     ]
-    return _violations(q, "question_id", dict(rules), only)
+    return _flagged(q, rules, only).select(*questions.columns, "violations")
+
+
+def question_violations(questions: DataFrame, only: list[str] | None = None) -> DataFrame:
+    return violation_rows(flagged_questions(questions, only), "question_id")
 
 
 def chain_violations(facts: DataFrame, as_of: Column | None = None) -> DataFrame:
@@ -127,8 +141,8 @@ def chain_violations(facts: DataFrame, as_of: Column | None = None) -> DataFrame
 
 
 def strict(df: DataFrame, violations: DataFrame) -> DataFrame:
-    """df, or an EngineError that names the first violations."""
+    """df, or an EngineError that names the first violations and says how many there are."""
     found = violations.orderBy("seed", "check", "key").limit(5).collect()
     if found:
-        raise EngineError("; ".join(f"{r['check']} at {r['key']}: {r['detail']}" for r in found))
+        raise EngineError(f"{violations.count()} violations: " + "; ".join(f"{r['check']} at {r['key']}: {r['detail']}" for r in found))
     return df
