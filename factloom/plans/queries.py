@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from factloom.functions import canon, extract, values
 from factloom.operators import audit, containment, questions, reports, validate
 from factloom.operators import temporal as t
-from factloom.plans import commerce, texts  # noqa: F401 (they register their queries)
+from factloom.plans import commerce, texts, timeline  # noqa: F401 (they register their queries)
 from factloom.plans.registry import QUERIES, SQL, query  # noqa: F401
 from factloom.sources import scratch, tables
 
