@@ -46,10 +46,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a file or folder, wherever it is."""
+def folder(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for a file or folder, wherever it is."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = folder(spark, path)
+    fs.delete(at, True)
 
 
 def drop_materialized(spark: SparkSession) -> int:

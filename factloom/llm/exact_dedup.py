@@ -2,29 +2,34 @@
 
 New rows are reduced to one candidate a digest (a map-side combine), the
 candidates meet the index in a sort-merge anti-join, and what is new is
-appended; for what isn't, its count is. The index table is bucketed by digest, so
+appended; for what isn't, its count is. The index is bucketed by digest, so
 neither the anti-join nor the lookup shuffles it.
 
-A table that has no index yet is added to one in two batches, the larger half of
-the doc_ids first: what the second batch finds in the index has the larger doc_id.
+The truth is the index's folder: a file names its buckets, and each batch is a folder of its own, moved
+into place when it is whole. A later session that opens the folder has all finished batches and none of
+a failed one; the catalog's table is only a view of it, made anew where it is missing. One writer at a time is
+assumed.
 
 Defined results: a null text counts as empty; equal texts are equal byte
 sequences; of equal texts the row with the largest doc_id stays (a null doc_id
 is the smallest; of rows that also share the doc_id, one stays). A digest that
 an earlier batch has put into the index drops every new row that has it, whatever
-its doc_id; group_size counts the rows of all batches so far. Empty input gives
-an empty result. Other columns are not read.
+its doc_id; group_size counts the rows of all batches so far. A batch that is added again under its own
+name changes nothing. Empty input gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, materialize, remove, shared_dir, table, text_or_empty
+from .common import folder, free_name, materialize, remove, shared_dir, table, text_or_empty
 
 #: A group with at least one row in so many is looked up by broadcast; there are at most so many of them.
 HOT_SHARE = 1000
@@ -37,35 +42,77 @@ INDEX = T.StructType([
     T.StructField("first", T.BooleanType()),
     T.StructField("batch", T.StringType()),
 ])
+#: The file that tells an index's folder from others.
+_NOTE = "_digest_index.json"
 
 
 class DigestIndex:
-    """A table bucketed and sorted by digest. Rows with `first` name the row that stays; the others count what came later."""
+    """A folder of batches, each bucketed and sorted by digest. Rows with `first` name the row that stays; the others count what came later."""
 
     def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int | None = None):
-        """name: of the table in the catalog; path: its folder; buckets: by default the session's shuffle partitions."""
+        """path: the index's folder, opened if it holds an index and made if it is empty; name: of the catalog's table over it; buckets: of a new index, by default the session's shuffle partitions."""
         self.spark = spark
-        self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        self.path = path or f"{shared_dir(spark)}/{self.name}"
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path = (path or f"{shared_dir(spark)}/{name or 'digest-index-' + uuid.uuid4().hex}").rstrip("/")
+        self.name = name or "digest_index_" + hashlib.md5(self.path.encode()).hexdigest()
+        fs, at = folder(spark, self.path)
+        note, new = f"{self.path}/{_NOTE}", buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if fs.exists(at) and not fs.exists(self._at(note)) and len(fs.listStatus(at)):
+            raise ValueError(f"{self.path} isn't empty and holds no digest index")
+        if not fs.exists(self._at(note)):
+            fs.mkdirs(at)
+            out = fs.create(self._at(note), False)
+            out.write(bytearray(json.dumps({"buckets": new}).encode()))
+            out.close()
+        note_in = spark.sparkContext._jvm.java.util.Scanner(fs.open(self._at(note)))
+        self.buckets = json.loads(note_in.nextLine())["buckets"]
+        note_in.close()
+        self._view()
+
+    def _at(self, path: str):
+        return folder(self.spark, path)[1]
 
     def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+        return folder(self.spark, self.path)[0].exists(self._at(f"{self.path}/{_NOTE}"))
+
+    def _view(self) -> None:
+        """The catalog's table over the folder; a table of that name over another folder is refused."""
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in INDEX)
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({fields}) USING parquet PARTITIONED BY (batch) CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
+        place = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.name}").where("col_name = 'Location'").first()["data_type"]
+        if self._at(place).toUri().getPath() != self._at(self.path).toUri().getPath():
+            raise ValueError(f"the catalog's table {self.name} is over {place}, not {self.path}")
+        self.spark.catalog.recoverPartitions(self.name)  # the batches that the folder has
+        self.spark.catalog.refreshTable(self.name)
+
+    def batches(self) -> list[str]:
+        """The finished batches."""
+        fs, at = folder(self.spark, self.path)
+        names = [x.getPath().getName() for x in fs.listStatus(at)]
+        return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch="))
 
     def table(self) -> DataFrame:
-        if not self.exists():
-            return self.spark.createDataFrame([], INDEX)
         return self.spark.table(self.name)
 
-    def append(self, rows: DataFrame) -> None:
-        """Adds rows, which must have the index's columns and no digest as first that it holds."""
-        (
-            rows.select(*INDEX.names)
-            .repartition(self.buckets, "digest")
-            .write.format("parquet").mode("append")
-            .bucketBy(self.buckets, "digest").sortBy("digest")
-            .option("path", self.path).saveAsTable(self.name)
-        )
+    def append(self, rows: DataFrame, batch: str) -> None:
+        """Adds rows (digest, keep_id, keep_row, n, first) as a batch; rows that are first must have no digest that is first in the index."""
+        if not re.fullmatch(r"[A-Za-z0-9_-]+", batch):
+            raise ValueError(f"a batch's name is of letters, digits, _ and -: {batch}")
+        staged, made = f"{self.path}/_staged-{batch}-{uuid.uuid4().hex}", f"{self.name}_{uuid.uuid4().hex}"
+        try:
+            (
+                rows.select(*(f.name for f in INDEX if f.name != "batch"))
+                .repartition(self.buckets, "digest")
+                .write.format("parquet")
+                .bucketBy(self.buckets, "digest").sortBy("digest")
+                .option("path", staged).saveAsTable(made)
+            )
+            fs, at = folder(self.spark, staged)
+            if not fs.rename(at, self._at(f"{self.path}/batch={batch}")):
+                raise OSError(f"batch {batch} couldn't be moved into {self.path}")
+        finally:
+            self.spark.sql(f"DROP TABLE IF EXISTS {made}")
+            remove(self.spark, staged)
+        self._view()
 
     def drop(self) -> None:
         """Removes the table and its files."""
@@ -78,31 +125,32 @@ def unseen(groups: DataFrame, index: DigestIndex) -> DataFrame:
     return groups.join(index.table().where("first").select("digest").hint("merge"), "digest", "left_anti")
 
 
-def _digests(docs: DataFrame, id_col: str, text_col: str, batch: Column) -> DataFrame:
+def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(text_or_empty(text_col), 256)).alias("digest"))
-    return materialize(slim.select("id", "digest", F.monotonically_increasing_id().alias("row"), batch.alias("batch")), "digests")
+    return materialize(slim.select("id", "digest", F.monotonically_increasing_id().alias("row")), "digests")
 
 
 def _add(keyed: DataFrame, index: DigestIndex, batch: str) -> None:
     """Puts the digests of one batch into the index."""
-    groups = keyed.where(F.col("batch") == batch).groupBy("digest").agg(F.max(F.struct("id", "row")).alias("best"), F.count("*").alias("n"))
+    groups = keyed.groupBy("digest").agg(F.max(F.struct("id", "row")).alias("best"), F.count("*").alias("n"))
+    if index.batches():
+        groups = materialize(groups, "groups")  # read twice
 
     def logged(df: DataFrame, first: bool) -> DataFrame:
         kept = [F.when(F.lit(first), F.col(f"best.{c}")).alias(f"keep_{c}") for c in ("id", "row")]
-        return df.select("digest", *kept, "n", F.lit(first).alias("first"), F.lit(batch).alias("batch"))
+        return df.select("digest", *kept, "n", F.lit(first).alias("first"))
 
-    if not index.exists():
-        index.append(logged(groups, True))
-        return
-    known = index.table().where("first").select("digest").hint("merge")
-    # both are written before the table that they read changes
-    index.append(materialize(logged(unseen(groups, index), True).unionByName(logged(groups.join(known, "digest", "left_semi"), False)), "batch"))
+    rows = logged(unseen(groups, index), True)
+    if index.batches():
+        known = index.table().where("first").select("digest").hint("merge")
+        rows = rows.unionByName(logged(groups.join(known, "digest", "left_semi"), False))
+    index.append(rows, batch)
 
 
-def _decided(keyed: DataFrame, index: DigestIndex, batches: list[str], id_col: str) -> DataFrame:
+def _decided(keyed: DataFrame, index: DigestIndex, batch: str, id_col: str) -> DataFrame:
     """Each row of keyed with what the index says of its digest; a digest with many of the rows is looked up by broadcast."""
     keep = F.max(F.when(F.col("first"), F.struct("keep_id", "keep_row", "batch"))).alias("k")
-    mine = F.sum(F.when(F.col("batch").isin(batches), F.col("n"))).alias("mine")
+    mine = F.sum(F.when(F.col("batch") == batch, F.col("n"))).alias("mine")
     totals = index.table().groupBy("digest").agg(keep, F.sum("n").alias("group_size"), mine).where("mine IS NOT NULL")
     totals = totals.select("digest", "k.keep_id", "k.keep_row", F.col("k.batch").alias("kept_in"), "group_size", "mine")
     rows = keyed.count()
@@ -113,29 +161,28 @@ def _decided(keyed: DataFrame, index: DigestIndex, batches: list[str], id_col: s
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",
-        ((F.col("row") == F.col("keep_row")) & (F.col("batch") == F.col("kept_in"))).alias("kept"),
+        ((F.col("row") == F.col("keep_row")) & (F.col("kept_in") == batch)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, keep_id, group_size, kept, text_sha256), one for each row of docs, after adding docs to the index as one batch."""
-    batch = uuid.uuid4().hex
-    keyed = _digests(docs, id_col, text_col, F.lit(batch))
-    _add(keyed, index, batch)
-    return _decided(keyed, index, [batch], id_col)
+def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
+    """Rows (id, keep_id, group_size, kept, text_sha256), one for each row of docs, after adding docs to the index as one batch.
+
+    With a name, a batch that is tried again after it got into the index isn't added twice. Its docs must come in the same files then, since rows
+    are told apart by their place.
+    """
+    batch = batch or uuid.uuid4().hex
+    keyed = _digests(docs, id_col, text_col)
+    if batch not in index.batches():
+        _add(keyed, index, batch)
+    return _decided(keyed, index, batch, id_col)
 
 
 def deduplicate_whole(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The same over an index of its own, in two batches from the larger doc_ids down; the index is dropped behind it."""
+    """The same with an index of its own, which is dropped behind it."""
     index = DigestIndex(docs.sparkSession)
-    middle = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), 0.5, 1000)).first()[0]
-    batches = [uuid.uuid4().hex for _ in range(2)]
-    larger = F.coalesce(F.col("id") >= F.lit(middle).cast("long"), F.lit(False))
-    keyed = _digests(docs, id_col, text_col, F.when(larger, batches[0]).otherwise(batches[1]))
-    for batch in batches:
-        _add(keyed, index, batch)
-    found = materialize(_decided(keyed, index, batches, id_col), "decisions")
+    found = materialize(deduplicate(docs, index, id_col, text_col), "decisions")
     index.drop()
     return found
 

@@ -2,6 +2,7 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -68,6 +69,73 @@ def test_exact_dedup_in_two_batches(spark):
     assert {t.name for t in spark.catalog.listTables()} == before
 
 
+def in_a_session_of_its_own(path, name, rows):
+    """(doc_id, keep_id, kept, group_size) of a batch that another process adds to the index."""
+    import json
+    import subprocess
+    import sys
+    import tempfile
+
+    code = f"""
+import json
+from pyspark.sql import SparkSession
+from factloom.llm import exact_dedup
+scratch = {tempfile.mkdtemp(prefix="spark-")!r}
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "3").config("spark.checkpoint.dir", "file://" + scratch).config("spark.sql.warehouse.dir", scratch + "/w").getOrCreate()
+docs = spark.createDataFrame({rows!r}, "doc_id long, text string")
+found = exact_dedup.deduplicate(docs, exact_dedup.DigestIndex(spark, {name!r}, {path!r})).collect()
+print("FOUND" + json.dumps(sorted([r["doc_id"], r["keep_id"], r["kept"], r["group_size"]] for r in found)))
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    return json.loads(done.stdout.split("FOUND")[1]) if "FOUND" in done.stdout else pytest.fail(done.stderr[-2000:])
+
+
+def test_the_index_outlives_its_session(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    assert in_a_session_of_its_own(path, "seen", [(1, "a"), (2, "b"), (3, "a")]) == [[1, 3, False, 2], [2, 2, True, 1], [3, 3, True, 2]]
+    assert in_a_session_of_its_own(path, "seen", [(6, "a"), (7, "b"), (8, "a"), (9, "a")]) == [[6, 3, False, 5], [7, 2, False, 2], [8, 3, False, 5], [9, 3, False, 5]]
+    index = exact_dedup.DigestIndex(spark, "seen_here", path)
+    assert (len(index.batches()), index.buckets, index.table().count()) == (2, 3, 4)
+    more = exact_dedup.deduplicate(docs(spark, [(20, "a", "s"), (21, "c", "s")]), index).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["kept"], r["group_size"]) for r in more) == [(20, 3, False, 6), (21, 21, True, 1)]
+
+
+def test_failed_appends_leave_the_index_as_it_was(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/index"
+    index = exact_dedup.DigestIndex(spark, path=path)
+    exact_dedup.deduplicate(docs(spark, [(1, "a", "s")]), index, batch="one").count()
+
+    def stop(self, *_):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as m:  # after the files are written, before they are in place
+        m.setattr(exact_dedup.DigestIndex, "_at", stop)
+        with pytest.raises(RuntimeError):
+            index.append(spark.createDataFrame([(bytearray(b"x"), 1, 1, 1, True)], "digest binary, keep_id long, keep_row long, n long, first boolean"), "two")
+    (tmp_path / "index" / "_staged-two-left").mkdir()
+    again = exact_dedup.DigestIndex(spark, path=path)
+    assert again.batches() == ["one"] and again.table().count() == 1
+    with monkeypatch.context() as m:  # in place, but the catalog's table isn't told
+        m.setattr(exact_dedup.DigestIndex, "_view", stop)
+        with pytest.raises(RuntimeError):
+            exact_dedup.deduplicate(docs(spark, [(2, "a", "s"), (3, "b", "s")]), index, batch="two")
+    again = exact_dedup.DigestIndex(spark, path=path)
+    assert again.batches() == ["one", "two"] and again.table().count() == 3
+    for _ in range(2):  # tried again, it is found to be there
+        found = exact_dedup.deduplicate(docs(spark, [(2, "a", "s"), (3, "b", "s")]), again, batch="two").collect()
+        assert sorted((r["doc_id"], r["keep_id"], r["kept"], r["group_size"]) for r in found) == [(2, 1, False, 2), (3, 3, True, 1)]
+
+
+def test_other_folders_are_refused(spark, tmp_path):
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "file").write_text("x")
+    with pytest.raises(ValueError, match="no digest index"):
+        exact_dedup.DigestIndex(spark, path=f"file://{tmp_path}/other")
+    exact_dedup.DigestIndex(spark, "taken", f"file://{tmp_path}/a")
+    with pytest.raises(ValueError, match="taken"):
+        exact_dedup.DigestIndex(spark, "taken", f"file://{tmp_path}/b")
+
+
 def brute_print(text):
     words = (text or "").encode().lower().split()
     if not words:
