@@ -1,27 +1,29 @@
 """HTML extraction by composite text density.
 
 A page is read into a tree of block elements (inline markup belongs to its
-block). Parts that name themselves as no article (menus, page headers, footers,
-sidebars, notices, adverts, forms, scripts, reader comments) are left out, by
-element, or by a word of their class, id or role. Such a word doesn't count if it
-only says what a part has (with-sidebar, hasComments), or if the part holds over
-nine tenths of the page's text: then it is the page's frame. An inline element
-that is left out ends with its block at the latest, as does a link. Each node's
+block); only what shows no text (head, scripts, styles, hidden parts) isn't part of it. Each node's
 density is its characters per tag, adjusted for links:
 
     C/T * log_b((C/LC) * (T/LT)),  b = ln(C/(C-LC) * LC + LCb/Cb * C + e)
 
 with C characters, T tags, LC link characters, LT link tags, and Cb, LCb those
-of the body. The densities of a node's children are summed, and the subtree of
+of the body. Parts that name themselves as no article (menus, page headers, footers,
+sidebars, notices, adverts, forms, reader comments), by element or by a word of their class, id or
+role, count as links, so their density is zero. Such a name doesn't count if it
+only says what a part has (with-sidebar, hasComments), or if the part holds the page's main element or
+largest article, which makes it the frame of these. An inline element that names itself so is left out, and ends with its block at
+the latest, as does a link.
+
+The densities of a node's children are summed, and the subtree of
 the largest sum is the main text. The least density on its path to the body is
-the threshold: other subtrees at or above it give their own largest-sum part.
-A heading or a short paragraph can't reach the threshold by itself, so what was
+the threshold: other subtrees at or above it give their own largest-sum part, and named
+parts below it are left out. A heading or a short paragraph can't reach the threshold by itself, so what was
 chosen is widened to the blocks of text elements next to it, in page order, up to
 a block that is mostly links, is no text element or shares only the body with the
 main text; headings right before chosen text stay in any case.
 
 Defined results: null or empty html gives an empty text; a page without text
-outside left-out parts gives an empty text; a page cut off anywhere is read as
+outside parts that name themselves gives an empty text; a page cut off anywhere is read as
 far as it goes (an unfinished tag is dropped, an unfinished reference is plain
 text); plain text without markup is one block. White space is what str.split()
 takes for it. Repeated rows give the same text.
@@ -44,22 +46,24 @@ from .common import table, workers_import_us
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
-LEFT_OUT = frozenset("nav menu aside footer form fieldset select textarea input script style noscript template svg math canvas iframe object embed audio video map head title dialog search noembed noframes xmp".split())
+GONE = frozenset("select textarea input script style noscript template svg math canvas iframe object embed audio video map head title noembed noframes xmp".split())
+NAMED = frozenset("nav menu aside footer form fieldset dialog search".split())
 ENDS_P = BLOCK - frozenset(["html", "body"])
 OWN_CLOSE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th", "tbody", "thead"), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody", "thead")}
 SCOPES = frozenset("ul ol dl table div article section main body html td th blockquote".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-TEXT = HEADINGS | frozenset("address blockquote caption dd dt figcaption li p pre summary td th".split())
+TEXT = HEADINGS | frozenset("address blockquote caption dd div dt figcaption li p pre summary td th".split())
 #: Words in class, id or role that mark a part as no article, by what the part is.
 MENUS = "nav navbar navigation menu menubar breadcrumb breadcrumbs pager pagination"
 HEADERS_FOOTERS = "masthead footer contentinfo"
 SIDEBARS = "sidebar aside complementary"
-NOTICES = "notice notices notification notifications cookie cookies consent gdpr alert alertdialog modal popup dialog toast overlay banner"
+NOTICES = "cookie cookies consent gdpr alertdialog modal popup dialog toast overlay"
 ADVERTS = "ad ads adbox adsense advert adverts advertisement advertising sponsor sponsored"
 FORMS = "form login signup newsletter"
 COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
 MARKS = COMMENTS | frozenset(" ".join([MENUS, HEADERS_FOOTERS, SIDEBARS, NOTICES, ADVERTS, FORMS]).split())
-_HEADER = frozenset(["header", "banner"])
+#: Words that do so outside an article only; within one they are its own title, or a box of its text.
+OUTSIDE = frozenset("header banner alert notice notices notification notifications".split())
 #: Words before a mark that say what a part has or lacks, not what it is.
 HAVING = frozenset("with has have no non not without show hide".split())
 
@@ -70,15 +74,16 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    """An element. out: left out by its element; marked: left out by a word, unless it is the page's frame; closed: its end was read."""
+    """An element. out: shows no text; marked: names itself as no article; named: that counts, for it or a part that it is in; closed: its end was read."""
 
-    __slots__ = ("chars", "children", "closed", "density", "link_chars", "link_tags", "marked", "name", "out", "sum", "tags", "up")
+    __slots__ = ("best", "chars", "children", "closed", "density", "link_chars", "link_tags", "marked", "name", "named", "named_tags", "out", "sum", "tags", "up")
 
     def __init__(self, name: str, up: Node | None, out: bool, marked: str = ""):
-        self.name, self.up, self.out, self.marked, self.closed = name, up, out, marked, False
+        self.name, self.up, self.out, self.marked, self.named, self.closed = name, up, out, marked, False, False
         self.children: list = []  # nodes, and [text, characters in links] runs
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.chars = self.tags = self.link_chars = self.link_tags = self.named_tags = 0
         self.density = self.sum = 0.0
+        self.best: Node = self
 
 
 def _marks(name: str, raw: str, in_article: bool) -> str:
@@ -95,11 +100,9 @@ def _marks(name: str, raw: str, in_article: bool) -> str:
         for token in value.split():
             words = [w.lower() for w in _WORD.findall(token)]
             says = {w for k, w in enumerate(words) if not k or words[k - 1] not in HAVING}
-            if in_article and name in ("h1", "h2", "p"):
-                continue
             if says & COMMENTS:
                 found = "comments"
-            elif says & MARKS or not in_article and says & _HEADER:
+            elif says & MARKS or not in_article and says & OUTSIDE:
                 found = found or "other"
     return found
 
@@ -161,7 +164,7 @@ def parse(page: str) -> Node:
             last = next((k for k in range(len(opened) - 1, -1, -1) if opened[k][0] == name), None)
             if last is not None:
                 del opened[last:]
-            elif name in BLOCK or name in LEFT_OUT:
+            elif name in BLOCK or name in GONE:
                 if name not in ("body", "html"):
                     close((name,), frozenset(["article", "main", "table"]) - {name} if name in ("p", "li", "dd", "dt") else frozenset())
             continue
@@ -181,7 +184,7 @@ def parse(page: str) -> Node:
             if name == "img":
                 add(" ")
             continue
-        if name in BLOCK or name in LEFT_OUT:
+        if name in BLOCK or name in GONE:
             if name in ENDS_P:
                 close(("p",), SCOPES)
             if name in OWN_CLOSE:
@@ -190,9 +193,11 @@ def parse(page: str) -> Node:
                 now.children.append(Node("hr", now, False))
                 continue
             marked = _marks(name, raw, article > 0)
-            if name == "main" or name == "article" and marked != "comments" and not (article and marked):
+            if name == "main" or name == "article" and marked not in ("comments", "hidden") and not (article and marked):
                 marked = ""
-            out = now.out or bool(opened) or name in LEFT_OUT or (name == "header" and not article) or marked == "hidden"
+            elif name in NAMED or name == "header" and not article:
+                marked = marked or "element"
+            out = now.out or bool(opened) or name in GONE or marked == "hidden"
             now.children.append(node := Node(name, now, out, marked))
             now = node
             article += name in ("article", "main")
@@ -206,45 +211,66 @@ def parse(page: str) -> Node:
     return root
 
 
-def resolve(root: Node) -> None:
-    """Leaves marked parts out, but for the page's frame: a part with over nine tenths of the text that isn't reader comments."""
-    held: dict[int, int] = {}
+def _size(run: list) -> int:
+    return len("".join("".join(run[0]).split()))
+
+
+def _shown(root: Node) -> list[Node]:
+    """All nodes that show text or hold some that do, each before what it holds."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
         stack.extend(c for c in node.children if isinstance(c, Node) and not c.out)
+    return order
+
+
+def resolve(root: Node) -> None:
+    """Which marks count: all but those of frames, which hold the main element or the largest article. Reader comments are never a frame."""
+    order = _shown(root)
+    held: dict[int, int] = {}
     for node in reversed(order):
-        held[id(node)] = sum(len("".join("".join(c[0]).split())) if isinstance(c, list) else held.get(id(c), 0) for c in node.children)
+        held[id(node)] = sum(_size(c) if isinstance(c, list) else held.get(id(c), 0) for c in node.children)
+    bodies = [n for n in order if n.name == "main"] or [n for n in order if n.name == "article" and not n.marked]
+    frames: set[int] = set()
+    node = max(bodies, key=lambda n: held[id(n)], default=None)
+    while node is not None:
+        frames.add(id(node))
+        node = node.up
     for node in order:
-        node.out = node.marked == "comments" or bool(node.marked) and 10 * held[id(node)] <= 9 * held[id(root)]
+        own = node.marked == "comments" or bool(node.marked) and id(node) not in frames
+        node.named = own or node.up is not None and node.up.named
 
 
 def weigh(root: Node) -> None:
-    """Counts characters and tags of every subtree, then densities and their sums, without recursion."""
-    order, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        order.append(node)
-        stack.extend(c for c in node.children if isinstance(c, Node) and not c.out)
+    """Counts characters and tags of every subtree, then densities and their sums, without recursion. What is named counts as links."""
+    order = _shown(root)
     for node in reversed(order):
         for c in node.children:
             if isinstance(c, list):
-                node.chars += len("".join("".join(c[0]).split()))
-                node.link_chars += c[1]
+                size = _size(c)
+                node.chars += size
+                node.link_chars += size if node.named else c[1]
             elif not c.out:
                 node.chars += c.chars
                 node.tags += c.tags + 1
                 node.link_chars += c.link_chars
                 node.link_tags += c.link_tags
+                node.named_tags += c.named_tags + c.named
     ratio = root.link_chars / root.chars if root.chars else 0.0
     for node in order:
-        node.density = _density(node.chars, node.tags + node.link_tags, node.link_chars, node.link_tags, ratio)
-    for node in order:
+        tags = node.tags + node.link_tags
+        node.density = _density(node.chars, tags, node.link_chars, tags if node.named else node.link_tags + node.named_tags, ratio)
+    for node in reversed(order):
         kids = [c for c in node.children if isinstance(c, Node) and not c.out]
         # a text run of its own counts as a child without tags
-        loose = sum(len("".join("".join(c[0]).split())) for c in node.children if isinstance(c, list)) if kids else 0
+        loose = sum(_size(c) for c in node.children if isinstance(c, list)) if kids and not node.named else 0
         node.sum = sum(c.density for c in kids) + loose if kids else node.density
+        # the node of the largest sum within; of equal ones the outermost, then the first
+        node.best = node
+        for c in kids:
+            if c.chars and c.best.sum > node.best.sum:
+                node.best = c.best
 
 
 def _density(chars: int, tags: int, link_chars: int, link_tags: int, ratio: float) -> float:
@@ -256,41 +282,27 @@ def _density(chars: int, tags: int, link_chars: int, link_tags: int, ratio: floa
     return chars / t * math.log(max(value, 1.0)) / math.log(base) if base > 1 + 1e-9 else chars / t * math.log(max(value, 1.0) + math.e - 1)
 
 
-def choose(root: Node) -> tuple[list[Node], Node | None]:
-    """The subtrees that hold the main text, and the frame: the part right below the body with the subtree of the largest sum."""
-    best = _best(root)
-    if best is None:
-        return [], None
-    path, node = [], best
+def choose(root: Node) -> tuple[list[Node], list[Node], Node | None]:
+    """The subtrees that hold the main text; the named parts to leave out; and the frame: the part right below the body with the subtree of the largest sum."""
+    if not root.chars:
+        return [], [], None
+    path, node = [], root.best
     while node is not None:
         path.append(node)
         node = node.up
     threshold = min(n.density for n in path)
-    chosen, stack = [best], [root]
-    while stack:
-        node = stack.pop()
-        if node.density >= threshold and node is not root:
-            part = _best(node)
-            if part is not None:
-                chosen.append(part)
-        stack.extend(c for c in node.children if isinstance(c, Node) and not c.out)
-    return chosen, path[-2] if len(path) > 1 else root
-
-
-def _best(top: Node) -> Node | None:
-    """The node of the largest density sum; of equal ones the outermost."""
-    best, stack = None, [top]
-    while stack:
-        node = stack.pop()
-        if node.chars and (best is None or node.sum > best.sum):
-            best = node
-        stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.out)
-    return best
+    order = _shown(root)
+    chosen = [root.best, *(n.best for n in order if n is not root and n.chars and n.density >= threshold)]
+    if root.link_chars < root.chars:
+        left = [n for n in order if n.named and n.density < max(threshold, math.ulp(0.0))]
+    else:  # all text is in named parts or links: only those named by their element, or as comments, are sure to be no article
+        left = [n for n in order if n.named and (n.name in NAMED or n.marked == "comments")]
+    return chosen, left, path[-2] if len(path) > 1 else root
 
 
-def blocks(root: Node, chosen: list[Node], frame: Node | None) -> list[str]:
+def blocks(root: Node, chosen: list[Node], left: list[Node], frame: Node | None) -> list[str]:
     """Texts of the chosen subtrees' blocks and of those that widen them, in page order; white space is one space."""
-    ids = {id(n) for n in chosen}
+    ids, without = {id(n) for n in chosen}, {id(n) for n in left}
     found: list[tuple[str, bool, bool, bool]] = []  # text, chosen, may widen, is a heading
     stack: list = [(root, root, False, False)]
     while stack:
@@ -300,7 +312,7 @@ def blocks(root: Node, chosen: list[Node], frame: Node | None) -> list[str]:
             if text:
                 plain = 2 * item[1] <= len(text) - text.count(" ")
                 found.append((text, taken, inside and plain and owner.name in TEXT, plain and owner.name in HEADINGS))
-        elif not item.out:
+        elif not item.out and id(item) not in without:
             taken, inside = taken or id(item) in ids, inside or item is frame
             stack.extend((c, item, taken, inside) for c in reversed(item.children))
     keep = [taken for _, taken, _, _ in found]

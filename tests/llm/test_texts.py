@@ -60,6 +60,79 @@ def test_html_on_whole_table(spark):
             assert html_text.main_text(h.replace("<article>", f"<{name}>").replace("</article>", f"</{name.split()[0]}>")) == want[i]
 
 
+def densities_again(node, ratio, inside=False):
+    """(chars, tags, link chars, link tags, counted as links: chars, tags; density) by recursion, into node.again; returns the first six."""
+    import math
+
+    chars = links = 0
+    tags, anchors, named = 0, node.link_tags - sum(c.link_tags for c in node.children if isinstance(c, html_text.Node) and not c.out), 0
+    for c in node.children:
+        if isinstance(c, list):
+            n = len(re.sub(r"\s+", "", "".join(c[0])))
+            chars, links = chars + n, links + (n if node.named else c[1])
+        elif not c.out:
+            more = densities_again(c, ratio)
+            chars, tags, links, anchors, named = chars + more[0], tags + more[1] + 1, links + more[2], anchors + more[3], named + more[4] + c.named
+    t = tags + anchors
+    lt = t if node.named else anchors + named
+    node.again = 0.0
+    if chars:
+        base = math.log(chars / max(chars - links, 1) * links + ratio * chars + math.e)
+        node.again = chars / max(t, 1) * math.log(max(chars / max(links, 1) * max(t, 1) / max(lt, 1), 1)) / math.log(base) if base > 1 + 1e-9 else chars / max(t, 1) * math.log(max(chars / max(links, 1) * max(t, 1) / max(lt, 1), 1) + math.e - 1)
+    return chars, tags, links, anchors, named
+
+
+class Again(html_text.Node):
+    __slots__ = ("again",)
+
+
+def test_densities_decide(spark, monkeypatch):
+    """Densities by a second computation, the best subtree by trying all, and nothing right without the choice."""
+    monkeypatch.setattr(html_text, "Node", Again)
+    pages = [r["html"] for r in table(spark, SF, "pages").collect()] + list(PAGES)
+    wrong = 0
+    for page in pages:
+        root = html_text.parse(page)
+        html_text.resolve(root)
+        html_text.weigh(root)
+        ratio = root.link_chars / root.chars if root.chars else 0.0
+        assert densities_again(root, ratio)[0] == root.chars
+        nodes = html_text._shown(root)
+        assert all(abs(n.again - n.density) < 1e-9 for n in nodes)
+        for n in nodes:
+            kids = [c for c in n.children if isinstance(c, html_text.Node) and not c.out]
+            loose = 0 if n.named else sum(len("".join("".join(c[0]).split())) for c in n.children if isinstance(c, list))
+            assert abs(n.sum - (sum(c.again for c in kids) + loose if kids else n.again)) < 1e-9
+        if root.chars:
+            assert root.best.sum == max(n.sum for n in nodes if n.chars)
+            wrong += "\n\n".join(html_text.blocks(root, [root], [], root)) != html_text.main_text(page)
+    assert wrong >= 50
+
+
+def test_parts_that_name_themselves():
+    long_ = "<p>long sidebar text that goes on and on for ever</p>" * 20
+    cases = {
+        '<article><h1>T</h1><p>Real text of the article is here.</p><p class="ad">Buy this now</p><p class="comment">nice post</p><p>More real text.</p></article>': "T\n\nReal text of the article is here.\n\nMore real text.",
+        f'<div class="content"><h1>T</h1><p>Short article.</p></div><div class="sidebar">{long_}</div>': "T\n\nShort article.",
+        '<main><div class="hero-banner"><h1>Big title</h1></div><p>Some real text of the page.</p><div class="alert-info">Note this well.</div><p>More text to read here.</p></main>': "Big title\n\nSome real text of the page.\n\nNote this well.\n\nMore text to read here.",
+        f"<form class=sidebar-page><main><p>The text of the page.</p></main><div class=sidebar>{long_}</div></form>": "The text of the page.",
+        f"<div class=sidebar><article><p>A teaser.</p></article></div><article><p>The longer text of the page is this one here.</p></article><div class=comments><article>{long_}</article></div>": "The longer text of the page is this one here.",
+    }
+    for page, want in cases.items():
+        assert html_text.main_text(page) == want
+    rows = "<div id=c><div>First bit of text.</div><div><div>The long row of text that is much longer than all of the other ones and so on.</div><div>x y</div></div><div>Closing words here.</div></div>"
+    assert html_text.main_text(rows).startswith("First bit of text.\n\nThe long row") and html_text.main_text(rows).endswith("Closing words here.")
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    start = time.perf_counter()
+    assert html_text.main_text("<div>" * 50_000 + "text here" + "</div>" * 50_000) == "text here"
+    assert html_text.main_text("<div><p>some text here</p>" * 50_000).count("some text") == 50_000
+    assert time.perf_counter() - start < 20
+
+
 # ---- op2
 def test_chats(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "c"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (3, 2, "user", "c"), (4, 0, "user", "a"), (5, 0, "user", "ab"),
