@@ -94,16 +94,20 @@ def _spark_sql(spark: SparkSession, sf_dir: str, select: str) -> DataFrame:
     return spark.sql(text, **{name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in TABLES})
 
 
+def _kept(spark: SparkSession, sf_dir: str, label: str, make) -> DataFrame:
+    return scratch.kept(spark, label, [f"{sf_dir}/{name}.parquet" for name in TABLES], make)
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts as FACT_DDL has them, and fact_pos; made and written once an application."""
+    """Facts as FACT_DDL has them, and fact_pos; made and written once an application and state of the tables."""
     names = [c.strip().split()[0] for c in values.FACT_DDL.replace("start:date,end:date", "").split(",")]
     interval = F.struct(F.col("start_day").alias("start"), F.col("end_day").alias("end"))
-    return scratch.kept(spark, ("commerce-facts", sf_dir), lambda: _spark_sql(spark, sf_dir, FACT_ROWS).withColumn("validity_interval", interval).select(*names, "fact_pos"))
+    return _kept(spark, sf_dir, "commerce-facts", lambda: _spark_sql(spark, sf_dir, FACT_ROWS).withColumn("validity_interval", interval).select(*names, "fact_pos"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = facts(spark, sf_dir).groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("fact_pos", "fact_id"))), lambda x: x["fact_id"]).alias("fact_ids"))
-    return scratch.kept(spark, ("commerce-events", sf_dir), lambda: _spark_sql(spark, sf_dir, EVENT_ROWS).join(ids, "event_id"))
+    return _kept(spark, sf_dir, "commerce-events", lambda: _spark_sql(spark, sf_dir, EVENT_ROWS).join(ids, "event_id"))
 
 
 def universe(spark: SparkSession, sf_dir: str) -> questions.Universe:

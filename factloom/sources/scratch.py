@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -29,11 +30,23 @@ def place(spark: SparkSession, label: str) -> str:
     return _WRITTEN[-1]
 
 
-def kept(spark: SparkSession, key: tuple[str, ...], make: Callable[[], DataFrame]) -> DataFrame:
-    """make(), written once for each key and application: for tables that many queries derive alike from the same input."""
-    key = (spark.sparkContext.applicationId, *key)
+def stamp(spark: SparkSession, *paths: str) -> str:
+    """A digest of the names, sizes and times of all files under the paths: it changes when any of them is written again."""
+    seen = []
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
+        while files.hasNext():
+            f = files.next()
+            seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.md5(repr(sorted(seen)).encode()).hexdigest()
+
+
+def kept(spark: SparkSession, label: str, inputs: list[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """make(), written once an application for each label and state of the input files: for tables that many queries derive alike from the same input."""
+    key = (spark.sparkContext.applicationId, label, stamp(spark, *inputs))
     if key not in _KEPT:
-        _KEPT[key] = written(make(), key[1])
+        _KEPT[key] = written(make(), label)
     return _KEPT[key]
 
 
