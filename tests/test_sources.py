@@ -77,3 +77,16 @@ def test_shared_folder_is_required_off_one_machine():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch._own(Session())
+
+
+def test_kept_tables_see_changed_input(spark, tmp_path):
+    path = f"{tmp_path}/t.parquet"
+
+    def total():
+        return scratch.kept(spark, "sum", [path], lambda: spark.read.parquet(path).groupBy().sum("id")).first()[0]
+
+    spark.range(10).write.parquet(path)
+    made = total()
+    assert made == 45 and total() == 45
+    spark.range(20).write.mode("overwrite").parquet(path)
+    assert total() == 190
