@@ -17,7 +17,7 @@ from factloom.operators import audit, containment, questions, reports, validate
 from factloom.operators import temporal as t
 from factloom.plans import commerce, texts, timeline  # noqa: F401 (they register their queries)
 from factloom.plans.registry import QUERIES, SQL, query  # noqa: F401
-from factloom.sources import scratch, tables
+from factloom.sources import scratch, store, tables
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,6 +107,16 @@ def supersession_chains(spark, sf_dir):
     return t.pointer_chains(_facts(spark, sf_dir)).select("root", "fact_id", "depth")
 
 
+@query(SQL["supersession_chains"])
+def stored_chains(spark, sf_dir):
+    """The same from a bucketed store that took the facts in two batches, so that half of all predecessors came late."""
+    f = _facts(spark, sf_dir)
+    kept = store.FactStore(spark, scratch.place(spark, "store"))
+    for k in range(2):
+        kept.append(f.where(F.pmod(F.xxhash64("fact_id"), F.lit(2)) == k), f"part-{k}")
+    return kept.roots().select("root", "fact_id", "depth")
+
+
 @query(f"""WITH {FACTS} SELECT entity_id, attribute, count(*) AS length, arg_min(value, start_day) AS first_value, arg_max(value, start_day) AS last_value
 FROM f WHERE NOT injection AND NOT never_memorize GROUP BY entity_id, attribute""")
 def chain_first_last(spark, sf_dir):

@@ -8,6 +8,7 @@ own, what must be found.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions import canon, extract, values
@@ -51,14 +52,24 @@ def extract_values(spark, sf_dir):
         _joined(F.col("idx.numbers.surface")).alias("numbers"), F.col("idx.numbers")[0]["value"].alias("first_value"), _joined(F.col("idx.names")).alias("names"))
 
 
-@query(f"{_SAID} SELECT k, true AS amount, true AS day, true AS company, false AS other_amount, k % 4 <> 9 AS code, false AS across FROM t")
+@query(f"""{_SAID}, own AS (SELECT k, n, n * CASE WHEN k % 3 = 2 THEN 1000 ELSE 1 END AS said, CAST(t.o_orderdate AS DATE) AS d, lag(n) OVER w AS prior_n, lag(CAST(t.o_orderdate AS DATE)) OVER w AS prior_d
+ FROM t JOIN orders ON o_orderkey = k WINDOW w AS (PARTITION BY o_custkey ORDER BY k))
+SELECT k, true AS amount, true AS day, k % 5 IN (0, 2) AS name, k % 7 = 0 AS code, said + 1 IN (2025, 2, 30) AS other_amount,
+ coalesce(prior_n IN (said, 2025, 2, 30), false) AS prior_amount, coalesce(prior_d = d, false) AS prior_day, coalesce(d = prior_d + CAST(k % 4 AS INT), false) AS near_day FROM own""")
 def value_in_text(spark, sf_dir):
-    """Whether a text holds values that are written in another form, and doesn't hold others."""
-    n = F.floor("o_totalprice").cast("long")
-    own = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), n.alias("n"), F.to_date("o_orderdate").alias("d"))
+    """Whether a text holds its own values in another form, those of the customer's order before, near ones, and names within or across its sentences."""
+    n, key = F.floor("o_totalprice").cast("long"), F.col("o_orderkey")
+    before = W.partitionBy("o_custkey").orderBy("o_orderkey")
+    own = _t(spark, sf_dir, "orders").select(key.alias("k"), n.alias("n"), F.to_date("o_orderdate").alias("d"), F.lag(n).over(before).alias("prior_n"), F.lag(F.to_date("o_orderdate")).over(before).alias("prior_d"))
     both = extract.text_index(_sentences(spark, sf_dir), parts=extract.VALUES).join(own, "k")
     amount = F.when(F.col("k") % 3 == 2, F.col("n") * 1000).otherwise(F.col("n"))
-    asked = {"amount": F.concat(amount.cast("string"), F.lit(".00")), "day": F.date_format("d", "MMMM d, yyyy"), "company": F.lit("contoso MEDIA"), "other_amount": (amount + 1).cast("string"), "code": F.concat(F.lit("io "), F.col("k").cast("string")), "across": F.lit("media the")}
+    k = F.col("k")
+    asked = {
+        "amount": F.concat(amount.cast("string"), F.lit(".00")), "day": F.date_format("d", "MMMM d, yyyy"), "other_amount": (amount + 1).cast("string"),
+        "name": F.element_at(F.array(*map(F.lit, ["contoso MEDIA", "media the", "Line-A7", "Line A72", "ntoso Media"])), (k % 5).cast("int") + 1),
+        "code": F.concat(F.lit("io "), F.when(k % 7 == 0, k).otherwise(F.concat(k.cast("string"), F.lit("0"))).cast("string")),
+        "prior_amount": F.concat(F.lit("$"), F.format_number("prior_n", 2)), "prior_day": F.date_format("prior_d", "d MMM yyyy"), "near_day": F.date_format(F.date_add("prior_d", (k % 4).cast("int")), "MM/dd/yyyy"),
+    }
     return both.select("k", *(extract.value_in_text(v, F.col("idx")).alias(name) for name, v in asked.items()))
 
 
@@ -312,3 +323,25 @@ def verdicts(spark, sf_dir):
 @query(f"{_VERDICTS}, d(verdict) AS (VALUES {', '.join(f"('{v}')" for v in values.VERDICTS)}) SELECT verdict, count(question_id) AS n FROM d LEFT JOIN w USING (verdict) GROUP BY verdict")
 def verdict_counts(spark, sf_dir):
     return audit.verdict_counts(_verdicts(spark, sf_dir)).select("verdict", "n")
+
+
+_CUES = [(s, c, k) for s, cues in values.SENTINEL_CUES.items() for k, c in enumerate(cues)]
+_SAID_CUES = [c for _, c, _ in _CUES] + [f"nothing {k}" for k in range(7)] + ["do notrecord", "recorded", "un verified"]
+
+
+@query(f"""WITH cue(sentinel, cue, pos) AS (VALUES {', '.join(f"('{s}', '{c}', {k})" for s, c, k in _CUES)}),
+said(nr, cue) AS (VALUES {', '.join(f"({k}, '{c}')" for k, c in enumerate(_SAID_CUES))}),
+a AS (SELECT c_custkey AS k, {[*values.SENTINEL_CUES]}[c_custkey % 4 + 1] AS sentinel, CASE WHEN c_custkey % 11 = 10 THEN NULL ELSE 'So far, ' || cue || ' as we see it.' END AS answer FROM customer JOIN said ON nr = (c_custkey // 4) % {len(_SAID_CUES)}),
+n AS (SELECT *, ' ' || trim(regexp_replace(lower(coalesce(answer, '')), '[^0-9a-z]+', ' ', 'g')) || ' ' AS t FROM a),
+m AS (SELECT k, arg_min(cue, pos) AS first_cue FROM n JOIN cue USING (sentinel) WHERE contains(t, ' ' || trim(regexp_replace(lower(cue), '[^0-9a-z]+', ' ', 'g')) || ' ') GROUP BY k)
+SELECT k, sentinel, first_cue IS NOT NULL AS matched, first_cue AS cue, CASE WHEN answer IS NULL THEN '{values.REASONS['none']}' WHEN first_cue IS NULL THEN replace('{values.REASONS['not_expressed'].replace("'", "''")}', '{{gold_answer}}', sentinel) ELSE replace('{values.REASONS['expressed']}', '{{gold_answer}}', sentinel) END AS reason
+FROM n LEFT JOIN m USING (k)""")
+def judge_sentinels(spark, sf_dir):
+    """Answers that express a sentinel, another one, or none, by their cues."""
+    k = F.col("c_custkey")
+    said = F.element_at(F.split(F.lit("|".join(_SAID_CUES)), r"\|"), (F.floor(k / 4) % len(_SAID_CUES)).cast("int") + 1)
+    sentinel = F.element_at(F.array(*map(F.lit, values.SENTINEL_CUES)), (k % 4).cast("int") + 1)
+    answers = _t(spark, sf_dir, "customer").select(
+        k.alias("k"), F.lit("sentinel").alias("gold_kind"), sentinel.alias("gold_answer"), F.array(sentinel).alias("gold_tokens"),
+        F.when(k % 11 != 10, F.concat(F.lit("So far, "), said, F.lit(" as we see it."))).alias("answer"))
+    return audit.judge(answers).select("k", F.col("gold_answer").alias("sentinel"), "matched", F.get("matched_tokens", F.lit(0)).alias("cue"), F.col("judge_reason").alias("reason"))
