@@ -11,13 +11,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions import values
-from factloom.sources.scratch import workers_import_us
+from factloom.functions.canon import let
 
 from . import temporal as t
 from .validate import EngineError
@@ -331,15 +330,58 @@ def quotas(pools: dict[tuple[str, str], int], low: int, high: int, floor: int, t
 
 
 def quota_table(finished: DataFrame, low: int, high: int, floor: int, targets: dict[str, int] | None, floors: dict[str, int] | None) -> DataFrame:
-    """(seed, type, as_of_horizon, quota): quotas() of each seed, worked out in a task of its own from its pool sizes."""
-    workers_import_us(finished.sparkSession)
-    sizes = finished.groupBy("seed", "type", F.coalesce("as_of_horizon", F.lit("current")).alias("h")).agg(F.count("*").alias("n"))
-
-    def of_seed(key, part):
-        taken = quotas({(k, h): int(n) for k, h, n in zip(part["type"], part["h"], part["n"], strict=True)}, low, high, floor, targets, floors)
-        return pd.DataFrame([(key[0], k, h, n) for (k, h), n in taken.items()], columns=["seed", "type", "as_of_horizon", "quota"])
+    """(seed, type, as_of_horizon, quota): quotas() of each seed from its pool sizes.
 
-    return sizes.groupBy("seed").applyInPandas(of_seed, "seed int, type string, as_of_horizon string, quota int")
+    The turns are a fold over their numbers in one expression: the state is what is left of each (type, horizon) and what
+    each horizon has got. A seed has at most 13 x 4 pool sizes, so its row is small.
+    """
+    names, n_h = values.HORIZONS, len(values.HORIZONS)
+    sizes = finished.groupBy("seed", "type", F.coalesce("as_of_horizon", F.lit("current")).alias("h")).agg(F.count("*").alias("n"))
+    seeds = sizes.groupBy("seed").agg(F.collect_list(F.struct("type", "h", "n")).alias("cells")).withColumn("kinds", F.array_sort(F.array_distinct(F.transform("cells", lambda c: c["type"]))))
+
+    def pool(kind: Column, h: str) -> Column:
+        held = F.filter("cells", lambda c: (c["type"] == kind) & (c["h"] == h))
+        return F.coalesce(F.get(F.transform(held, lambda c: c["n"].cast("int")), F.lit(0)), F.lit(0))
+
+    seeds = seeds.withColumn("first", F.flatten(F.transform("kinds", lambda k: F.array(*(pool(k, h) for h in names)))))
+    seeds = seeds.withColumn("sizes", F.transform("kinds", lambda k, i: F.aggregate(F.slice("first", i * n_h + 1, n_h), F.lit(0), lambda x, y: x + y)))
+    short = F.filter(F.zip_with("kinds", "sizes", lambda k, n: F.when(n < floor, k)), lambda k: k.isNotNull())
+    goal = (low + high) // 2
+    order = F.array_sort(F.transform("kinds", lambda k, i: F.struct((-F.get("sizes", i) + (0 if targets is None else floor)).alias("size"), k.alias("kind"), i.alias("k"))))
+    turns = F.flatten(F.array_repeat(F.transform(order, lambda o: F.struct(o["k"].alias("k"), F.lit(False).alias("must"))), goal))
+    first_turns = F.flatten(F.transform("kinds", lambda _, i: F.array_repeat(F.struct(i.alias("k"), F.lit(True).alias("must")), floor)))
+
+    def turn(s: Column, x: Column) -> Column:
+        left = [F.get(s["left"], x["k"] * n_h + j) for j in range(n_h)]
+        got = [F.get(s["got"], F.lit(j)) for j in range(n_h)]
+        first_open = F.coalesce(*(F.when(left[j] > 0, j) for j in range(n_h)))
+        if targets is None:
+            h = first_open
+        else:
+            want = [targets.get(name, 0) for name in names]
+            share = [F.struct((got[j] / max(targets.get(name, 1), 1)).alias("share"), F.lit(name).alias("name"), F.lit(j).alias("j")) for j, name in enumerate(names)]
+            under = F.array_min(F.filter(F.array(*(F.when((left[j] > 0) & (got[j] < want[j]), share[j]) for j in range(n_h))), lambda v: v.isNotNull()))
+            h = F.coalesce(under["j"], F.when(x["must"], first_open))
+
+        def less(h: Column) -> Column:
+            taken = F.struct(
+                F.transform(s["left"], lambda v, i: F.when(i == x["k"] * n_h + h, v - 1).otherwise(v)).alias("left"),
+                F.transform(s["got"], lambda v, i: F.when(i == h, v + 1).otherwise(v)).alias("got"), (s["total"] + 1).alias("total"))
+            return F.when(h.isNull(), s).otherwise(taken)
+
+        return let(F.when(x["must"] | (s["total"] < goal), h), less)
+
+    start = F.struct(F.col("first").alias("left"), F.array_repeat(F.lit(0), n_h).alias("got"), F.lit(0).alias("total"))
+    done = seeds.withColumn("end", F.aggregate(F.concat(first_turns, turns), start, turn))
+    thin = [F.when(F.get("end.got", F.lit(names.index(h))) < n, F.lit(h)) for h, n in (floors or {}).items()]
+    fault = F.when(F.size(short) > 0, F.concat(F.lit(f"types below the floor of {floor}: "), F.array_join(short, ", ")))
+    fault = fault.when((F.col("end.total") < low) | (F.col("end.total") > high), F.concat(F.col("end.total").cast("string"), F.lit(f" questions, outside {low} to {high}")))
+    if thin:
+        fault = fault.when(F.coalesce(*thin).isNotNull(), F.concat(F.lit("horizons below their floors: "), F.array_join(F.array_compact(F.array(*thin)), ", ")))
+    taken = F.zip_with("first", "end.left", lambda a, b: a - b)
+    rows = F.transform(F.when(fault.isNull(), taken).otherwise(F.raise_error(fault)), lambda n, i: F.struct(
+        F.get("kinds", F.floor(i / n_h).cast("int")).alias("type"), F.get(F.array(*map(F.lit, names)), i % n_h).alias("as_of_horizon"), n.alias("quota"), (F.get("first", i) > 0).alias("has")))
+    return done.select("seed", F.inline(rows)).where("has").drop("has")
 
 
 def pick(finished: DataFrame, plan: DataFrame, most: int) -> DataFrame:

@@ -268,9 +268,52 @@ def allocation_pick(spark, sf_dir):
     return questions.pick(pool, plan, 100).select("question_id", "type", F.col("as_of_horizon").alias("horizon"), "entity_id", "text")
 
 
+def _turns(low: int, high: int, floor: int, targets: dict[str, int] | None) -> str:
+    """SQL that plays the turns one by one: a row a turn and seed, with what is left and what each horizon has."""
+    goal, n = (low + high) // 2, len(values.HORIZONS)
+    at = [f"lft[x.k * {n} + {j + 1}]" for j in range(n)]
+    first_open = "CASE " + " ".join(f"WHEN {at[j]} > 0 THEN {j}" for j in range(n)) + " END"
+    if targets is None:
+        choice, size = first_open, "-size"
+    else:
+        share = [f"CASE WHEN {at[j]} > 0 AND got[{j + 1}] < {targets.get(h, 0)} THEN struct_pack(share := got[{j + 1}] / {max(targets.get(h, 1), 1)}.0, name := '{h}', j := {j}) END" for j, h in enumerate(values.HORIZONS)]
+        choice, size = f"coalesce(list_min(list_filter([{', '.join(share)}], lambda v: v IS NOT NULL)).j, CASE WHEN x.must THEN {first_open} END)", f"{floor} - size"
+    return f"""WITH RECURSIVE {ORACLE}, q_pool AS (SELECT seed, attribute AS type, horizon, count(*) AS n FROM act GROUP BY ALL), q_kinds AS (SELECT seed, type, sum(n) AS size, row_number() OVER (PARTITION BY seed ORDER BY type) - 1 AS k FROM q_pool GROUP BY seed, type),
+ q_cells AS (SELECT kd.seed, kd.type, kd.k, hz.h, hz.pos, coalesce(p.n, 0) AS n FROM q_kinds kd CROSS JOIN (SELECT unnest({values.HORIZONS}) AS h, unnest(range({n})) AS pos) hz LEFT JOIN q_pool p ON p.seed = kd.seed AND p.type = kd.type AND p.horizon = hz.h),
+ q_begun AS (SELECT seed, list(n ORDER BY k, pos) AS lft FROM q_cells GROUP BY seed),
+ q_steps AS (SELECT seed, k, true AS must, row_number() OVER (PARTITION BY seed ORDER BY k, r) - 1 AS step FROM q_kinds, range({floor}) t(r) UNION ALL
+  SELECT seed, k, false, {floor} * (SELECT count(*) FROM q_kinds o WHERE o.seed = q_kinds.seed) + row_number() OVER (PARTITION BY seed ORDER BY r, {size}, type) - 1 FROM q_kinds, range({goal}) t(r)),
+ q_st AS (SELECT seed, 0 AS step, lft, list_transform(range({n}), lambda v: 0) AS got, 0 AS total FROM q_begun UNION ALL
+  SELECT seed, step + 1, CASE WHEN h IS NULL THEN lft ELSE list_transform(lft, lambda v, i: CASE WHEN i = k * {n} + h + 1 THEN v - 1 ELSE v END) END,
+   CASE WHEN h IS NULL THEN got ELSE list_transform(got, lambda v, i: CASE WHEN i = h + 1 THEN v + 1 ELSE v END) END, CASE WHEN h IS NULL THEN total ELSE total + 1 END
+  FROM (SELECT q_st.*, x.k, CASE WHEN x.must OR total < {goal} THEN {choice} END AS h FROM q_st JOIN q_steps x ON x.seed = q_st.seed AND x.step = q_st.step)),
+ q_ended AS (SELECT seed, arg_max(lft, step) AS lft FROM q_st GROUP BY seed)
+SELECT seed, type, h AS horizon, n - lft[k * {n} + pos + 1] AS quota FROM q_cells JOIN q_ended USING (seed) WHERE n > 0"""
+
+
+def _quotas(spark: SparkSession, sf_dir: str, *settings) -> DataFrame:
+    pool = universe(spark, sf_dir).active.select("seed", F.col("attribute").alias("type"), F.col("horizon").alias("as_of_horizon"))
+    return questions.quota_table(pool, *settings, None).select("seed", "type", F.col("as_of_horizon").alias("horizon"), "quota")
+
+
+_MIX = (100, 140, 1, {"current": 60, "early": 20, "mid": 20, "late": 20})
+
+
+@query(_turns(*_MIX))
+def allocation_horizon_mix(spark, sf_dir):
+    """Floors first, then turns up to the middle of the window, each to the horizon furthest below its target."""
+    return _quotas(spark, sf_dir, *_MIX)
+
+
+@query(_turns(300, 340, 1, None))
+def allocation_type_window(spark, sf_dir):
+    """The same without targets: types take turns, the largest first, from their first horizon that has any left."""
+    return _quotas(spark, sf_dir, 300, 340, 1, None)
+
+
 @query()
 def allocation_quota(spark, sf_dir):
-    """All candidates of five builders, picked by quotas that are worked out from pool sizes; the turns are no SQL, and a test holds them by hand."""
+    """All candidates of five builders, picked by quotas that are worked out from pool sizes; the turns have SQL of their own (allocation_horizon_mix), and so has picking (allocation_pick)."""
     u = universe(spark, sf_dir)
     pool = questions.finish(u, questions.candidates(u, ["mapping_lookup", "conflict_resolution", "injection_probe", "temporal", "inference_only"]))
     return questions.allocate(scratch.written(pool, "pool"), 100, 140, 8, {"current": 60, "early": 20, "mid": 20, "late": 20}, None).select("question_id", "type", "as_of_horizon", "text")
