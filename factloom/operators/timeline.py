@@ -96,7 +96,7 @@ def digest_tree(df: DataFrame, line: Column, order: list[str], leaf: int = LEAF)
 
     Nodes hold fixed numbers of lines, so the digest doesn't depend on how rows are spread. A node's text is its
     lines, or its children's digests in hexadecimal, joined by line feeds. No task holds more than a node's lines at once, and none
-    come to the driver. The order must have no ties. An empty set has the digest of an empty text.
+    come to the driver. Rows that tie in the order must have equal lines. An empty set has the digest of an empty text.
     """
     taken = {f"_k{k}": F.col(c) for k, c in enumerate(order)}
     lines = df.select(F.lit(0).alias("seed"), line.alias("text"), *(c.alias(name) for name, c in taken.items()))
