@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions import canon, extract, values
+from factloom.functions import canon, extract, notes, values
 from factloom.functions.canon import let
 from factloom.sources import scratch
 
@@ -20,9 +20,6 @@ from . import containment
 from . import temporal as t
 from .validate import flagged_questions, violation_rows
 
-def _derived() -> Column:
-    return F.array_contains(F.map_keys("notes"), "derivation")
-
 
 def corpus_holds(tokens: DataFrame, corpus: DataFrame, token_col: str = "token") -> DataFrame:
     """tokens (seed, token) with `present`: whether any text of the seed's corpus holds the value."""
@@ -33,14 +30,14 @@ def corpus_holds(tokens: DataFrame, corpus: DataFrame, token_col: str = "token")
 
 def required_tokens(questions: DataFrame, facts: DataFrame) -> DataFrame:
     """(seed, question_id, token): gold tokens of plain value questions, else the evidence values."""
-    plain = (F.col("gold_kind") == "value") & ~_derived()
+    plain = (F.col("gold_kind") == "value") & ~notes.has(questions, "derivation")
     gold = questions.where(plain).select("seed", "question_id", F.explode("gold_tokens").alias("token"))
     ids = questions.where(~plain).select("seed", "question_id", F.explode("evidence_fact_ids").alias("fact_id"))
     return gold.unionByName(ids.join(facts.select("seed", "fact_id", F.col("value").alias("token")), ["seed", "fact_id"]).select("seed", "question_id", "token"))
 
 
 def forbidden_tokens(questions: DataFrame) -> DataFrame:
-    return questions.select("seed", "question_id", F.col("notes")["fabricated_io_id"].alias("token")).where("token IS NOT NULL")
+    return questions.select("seed", "question_id", notes.text(questions, "fabricated_io_id").alias("token")).where("token IS NOT NULL")
 
 
 def corpus_support(questions: DataFrame, facts: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -64,7 +61,7 @@ def dry_run(questions: DataFrame, facts: DataFrame, corpus: DataFrame) -> DataFr
 
     known = t.with_successor(facts).select("seed", "fact_id", "value", "injection", "never_memorize", "validity_interval", "succ_start", F.lit(True).alias("known"))
     evidence = ok.select("seed", "question_id", F.explode("evidence_fact_ids").alias("fact_id"))
-    gold = ok.where((F.col("gold_kind") == "value") & ~_derived()).select("seed", "question_id", F.explode("gold_tokens").alias("token"))
+    gold = ok.where((F.col("gold_kind") == "value") & ~notes.has(ok, "derivation")).select("seed", "question_id", F.explode("gold_tokens").alias("token"))
     gold = gold.withColumn("v_key", canon.key(F.col("token")))
     shown = evidence.join(known.select("seed", "fact_id", canon.key(F.col("value")).alias("v_key")), ["seed", "fact_id"]).select("seed", "question_id", "v_key")
     trace = finding(gold.join(shown, ["seed", "question_id", "v_key"], "left_anti"), "gold_traceability", F.col("token"))
@@ -138,7 +135,7 @@ def injected_values(facts: DataFrame) -> DataFrame:
 
 def swallowed(judged: DataFrame, facts: DataFrame) -> DataFrame:
     """(seed, question_id, swallowed): the planted lies that each answer holds, the question's own first, then the others by value."""
-    own = judged.select("seed", "question_id", F.col("notes")["injected_value"].alias("lie"), F.lit(0).alias("rank")).where("lie IS NOT NULL")
+    own = judged.select("seed", "question_id", notes.text(judged, "injected_value").alias("lie"), F.lit(0).alias("rank")).where("lie IS NOT NULL")
     every = injected_values(facts)
     held = scratch.written(containment.values_join(judged.select("seed", "question_id", "idx"), every.unionByName(own.select("seed", "lie")), "lie", ["seed"], ["question_id"]), "held")
     # another question's own lie counts only where it is a planted value

@@ -13,9 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions import canon, extract, values
-from factloom.operators import audit, containment, questions, reports, validate
+from factloom.operators import audit, containment, questions, reports, table_functions, validate
 from factloom.operators import temporal as t
-from factloom.plans import commerce, texts, timeline  # noqa: F401 (they register their queries)
+from factloom.plans import commerce, notes, sketches, texts, timeline  # noqa: F401 (they register their queries)
 from factloom.plans.registry import QUERIES, SQL, query  # noqa: F401
 from factloom.sources import scratch, store, tables
 
@@ -82,6 +82,15 @@ def asof_current_value(spark, sf_dir):
     return t.current_values(_facts(spark, sf_dir)).select("entity_id", "attribute", "fact_id", "value", _iso("as_of"))
 
 
+@query(SQL["asof_current_value"])
+def table_function_asof(spark, sf_dir):
+    """The same by the table function in SQL; the day is worked out before, as an argument of it must be a constant."""
+    table_functions.register(spark)
+    f = _facts(spark, sf_dir)
+    day = t.current_as_of(f).first()["as_of"]
+    return spark.sql(f"SELECT entity_id, attribute, fact_id, value, '{day}' AS as_of FROM asof(TABLE(SELECT * FROM {{f}} WHERE NOT injection AND NOT never_memorize), DATE'{day}')", f=f)
+
+
 @query(f"WITH {FACTS} SELECT horizon, CAST(as_of AS DATE)::VARCHAR AS as_of, entity_id, attribute, fact_id, value FROM st WHERE status = 'active' AND NOT injection AND NOT never_memorize")
 def asof_horizons(spark, sf_dir):
     f = _facts(spark, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import timeline
+from factloom.operators import table_functions, timeline
 from factloom.plans.registry import query
 
 
@@ -82,6 +82,13 @@ def interval_gaps(spark, sf_dir):
     return g.groupBy("k").agg(F.count("*").alias("gaps"), F.sum(F.datediff("end", "start") + 1).alias("days"))
 
 
+@query(f"WITH {_OPEN} SELECT k, CAST(s AS VARCHAR) AS start_day, CAST(e AS VARCHAR) AS end_day, n FROM periods")
+def table_function_periods(spark, sf_dir):
+    """interval_periods again, by the table function in SQL over views."""
+    table_functions.register(spark)
+    return spark.sql("SELECT k, CAST(start AS STRING) AS start_day, CAST(`end` AS STRING) AS end_day, n FROM periods(TABLE(SELECT * FROM {waiting}), 'k', 's', 'e')", waiting=_waiting(spark, sf_dir))
+
+
 #: The whole line is the order, so that rows which tie are equal.
 _LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
 
