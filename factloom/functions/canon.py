@@ -9,8 +9,10 @@ texts of any length.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +38,20 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def once(build: Callable) -> Callable:
+    """build, whose expressions are of columns by name only, called once for equal arguments and JVM: large ones take thousands of calls to the JVM to put together, and hold for any table."""
+    made: dict = {}
+
+    @functools.wraps(build)
+    def get(*args):
+        key = (id(SparkContext._gateway), *args)
+        if key not in made:
+            made[key] = build(*args)
+        return made[key]
+
+    return get
+
+
 def _beyond_ascii(text: Column) -> Column:
     return text.rlike(r"[^\x00-\x7F]")
 
@@ -148,6 +164,12 @@ def key(value: Column) -> Column:
     return F.coalesce(F.concat(F.lit("d:"), date(plain).cast("string")), F.concat(F.lit("n:"), number(plain)), F.concat(F.lit("s:"), words(fold(plain))))
 
 
+@once
+def key_of(column: str) -> Column:
+    """key() of a named column."""
+    return key(F.col(column))
+
+
 def values_match(left: Column, right: Column) -> Column:
     return key(left) == key(right)
 

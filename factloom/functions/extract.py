@@ -133,19 +133,23 @@ _DAY_STEPS = (
 _PARTIAL = r"(?i)(?<![A-Za-z0-9_])" + canon.MONTH_YEAR.removeprefix("(?i)") + r"(?![A-Za-z0-9_])"
 
 
-def _with_spans(df: DataFrame, out: str, text: str, pattern: str, value, taken: str | None = None, inside: bool = True) -> DataFrame:
-    """df with the column out: the spans of a text column that stand apart from those in the column taken."""
-    df = df.withColumn(out, _spans(F.col(text), pattern, value))
-    return df.withColumn(out, _apart(F.col(out), F.col(taken), inside)) if taken else df
+#: Columns to be added to a table one after the other: names, and expressions over the columns before.
+Steps = list[tuple[str, Column]]
 
 
-def _without_dates(df: DataFrame) -> DataFrame:
-    """Adds _days and _months (spans of _whole, in order of format) and _rest: _whole without them. Only true days are taken out."""
-    df = df.withColumn("_days", F.array().cast(_SPANS))
+def _span_steps(out: str, text: str, pattern: str, value, taken: str | None = None, inside: bool = True) -> Steps:
+    """The column out: the spans of a text column that stand apart from those in the column taken."""
+    steps = [(out, _spans(F.col(text), pattern, value))]
+    return [*steps, (out, _apart(F.col(out), F.col(taken), inside))] if taken else steps
+
+
+def _date_steps() -> Steps:
+    """_days and _months (spans of _whole, in order of format) and _rest: _whole without them. Only true days are taken out."""
+    steps = [("_days", F.array().cast(_SPANS))]
     for pattern, day in _DAY_STEPS:  # a day of one format that starts inside one of a format before isn't one
-        df = _with_spans(df, "_more", "_whole", pattern, day, "_days").withColumn("_days", F.concat("_days", "_more"))
-    df = _with_spans(df, "_months", "_whole", _PARTIAL, canon.month_of, "_days", inside=False)
-    return df.withColumn("_rest", _masked(F.col("_whole"), F.concat("_days", "_months")))
+        steps += [*_span_steps("_more", "_whole", pattern, day, "_days"), ("_days", F.concat("_days", "_more"))]
+    steps += _span_steps("_months", "_whole", _PARTIAL, canon.month_of, "_days", inside=False)
+    return [*steps, ("_rest", _masked(F.col("_whole"), F.concat("_days", "_months")))]
 
 
 def names(segment: Column, safe=SAFE_WORDS) -> Column:
@@ -174,31 +178,33 @@ def names(segment: Column, safe=SAFE_WORDS) -> Column:
     return F.filter(F.transform(runs, trimmed), lambda r: r != "")
 
 
-def _extracted(df: DataFrame, safe, parts) -> tuple[DataFrame, dict[str, Column]]:
-    """df with what the columns of parts need, and these columns: dates first, then names, then codes out, then numbers."""
-    # a text's segments are read in one go: no pattern reaches across what stands between them
-    df = _without_dates(df.withColumn("_whole", F.array_join("_segs", f" {_EDGE} ")))
-    out = {
-        "dates": F.transform("_days", lambda h: F.struct(h["surface"].alias("surface"), h["value"].cast("date").alias("day"))),
-        "months": F.transform("_months", lambda h: F.struct(h["surface"].alias("surface"), h["value"].cast("int").alias("month"))),
-    }
+@canon.once
+def _index_steps(text_col: str, safe: tuple[str, ...], parts: tuple[str, ...]) -> Steps:
+    """The column idx of what is asked for in parts, and the columns that it needs: dates first, then names, then codes out, then numbers."""
+    steps = [("_segs", segments(canon.unify(F.coalesce(F.col(text_col), F.lit("")))))]
+    out = {}
+    if parts:
+        # a text's segments are read in one go: no pattern reaches across what stands between them
+        steps += [("_whole", F.array_join("_segs", f" {_EDGE} ")), *_date_steps()]
+        out["dates"] = F.transform("_days", lambda h: F.struct(h["surface"].alias("surface"), h["value"].cast("date").alias("day")))
+        out["months"] = F.transform("_months", lambda h: F.struct(h["surface"].alias("surface"), h["value"].cast("int").alias("month")))
     if "names" in parts:
         out["names"] = names(F.col("_rest"), safe)
     if "numbers" in parts:
-        df = _with_spans(df, "_codes", "_rest", rf"(?<![\w-]){CODE}(?![\w-])", lambda c: F.when(~c.rlike(MAGNITUDE), c))
-        df = df.withColumn("_found", F.regexp_extract_all(_masked(F.col("_rest"), F.col("_codes")), F.lit(NUMBER_IN_TEXT), 0))
+        steps += _span_steps("_codes", "_rest", rf"(?<![\w-]){CODE}(?![\w-])", lambda c: F.when(~c.rlike(MAGNITUDE), c))
+        steps.append(("_found", F.regexp_extract_all(_masked(F.col("_rest"), F.col("_codes")), F.lit(NUMBER_IN_TEXT), 0)))
         found = F.transform("_found", lambda n: F.regexp_replace(n, r"^\s+|\s+$", ""))
         out["numbers"] = F.filter(F.transform(found, lambda n: F.struct(n.alias("surface"), canon.number(n).alias("value"))), lambda n: n["value"].isNotNull())
-    return df, out
+    norm = F.transform(F.split(canon.fold(F.array_join("_segs", "\n")), "\n"), canon.words)
+    return [*steps, ("idx", F.struct(norm.alias("seg_norm"), *(out[c].alias(c) for c in PARTS if c in parts)))]
 
 
 def text_index(texts: DataFrame, text_col: str = "text", safe=SAFE_WORDS, parts=PARTS) -> DataFrame:
     """texts with the column idx: seg_norm, and of dates, months, names and numbers those in parts (null text: empty). Dates stand in order of format and place, others by place."""
-    df = texts.withColumn("_segs", segments(canon.unify(F.coalesce(F.col(text_col), F.lit("")))))
-    norm = F.transform(F.split(canon.fold(F.array_join("_segs", "\n")), "\n"), canon.words)
-    df, found = _extracted(df, safe, parts) if parts else (df, {})
-    idx = F.struct(norm.alias("seg_norm"), *(found[c].alias(c) for c in PARTS if c in parts))
-    return df.withColumn("idx", idx).select(*texts.columns, "idx")
+    df = texts
+    for name, column in _index_steps(text_col, tuple(safe), tuple(parts)):
+        df = df.withColumn(name, column)
+    return df.select(*(c for c in texts.columns if c != "idx"), "idx")
 
 
 def contains(idx: Column, v: Column) -> Column:
@@ -224,10 +230,15 @@ def value(text: Column) -> Column:
     return canon.let(let(canon.unify(text), lambda p: F.struct(canon.date(p).alias("day"), canon.number(p).alias("num"), canon.words(canon.fold(p)).alias("norm"))), whole)
 
 
+@canon.once
+def _value_of(col: str) -> Column:
+    return value(F.col(col))
+
+
 def with_value(df: DataFrame, col: str, prefix: str = "v") -> DataFrame:
     """df with the canonical columns of a value column: {prefix}_kind, _day, _num, _norm, _key."""
     own = f"_{prefix}"
-    return df.withColumn(own, value(F.col(col))).withColumns({f"{prefix}_{c}": F.col(f"{own}.{c}") for c in ("kind", "day", "num", "norm", "key")}).drop(own)
+    return df.withColumn(own, _value_of(col)).withColumns({f"{prefix}_{c}": F.col(f"{own}.{c}") for c in ("kind", "day", "num", "norm", "key")}).drop(own)
 
 
 def holds(idx: Column, prefix: str = "v") -> Column:

@@ -62,8 +62,8 @@ def dry_run(questions: DataFrame, facts: DataFrame, corpus: DataFrame) -> DataFr
     known = t.with_successor(facts).select("seed", "fact_id", "value", "injection", "never_memorize", "validity_interval", "succ_start", F.lit(True).alias("known"))
     evidence = ok.select("seed", "question_id", F.explode("evidence_fact_ids").alias("fact_id"))
     gold = ok.where((F.col("gold_kind") == "value") & ~notes.has(ok, "derivation")).select("seed", "question_id", F.explode("gold_tokens").alias("token"))
-    gold = gold.withColumn("v_key", canon.key(F.col("token")))
-    shown = evidence.join(known.select("seed", "fact_id", canon.key(F.col("value")).alias("v_key")), ["seed", "fact_id"]).select("seed", "question_id", "v_key")
+    gold = gold.withColumn("v_key", canon.key_of("token"))
+    shown = evidence.join(known.select("seed", "fact_id", canon.key_of("value").alias("v_key")), ["seed", "fact_id"]).select("seed", "question_id", "v_key")
     trace = finding(gold.join(shown, ["seed", "question_id", "v_key"], "left_anti"), "gold_traceability", F.col("token"))
 
     points = ok.select("seed", "question_id", "as_of", F.inline("expected_memory_points")).withColumnRenamed("status", "listed").join(known, ["seed", "fact_id"], "left")
@@ -93,23 +93,18 @@ def _cue_column(idx: Column, cues: list[str]) -> Column:
     return let(F.array_position(held, True), lambda k: F.when(k > 0, F.get(F.split(F.lit("\n".join(cues)), "\n"), (k - 1).cast("int"))))
 
 
-def judge(answers: DataFrame) -> DataFrame:
-    """answers (gold_kind, gold_answer, gold_tokens, answer, ...) with matched, judge_reason, matched_tokens, missing_tokens, refusal and idx.
-
-    A sentinel matches if any of its cues stands in the answer (the first is
-    reported); a value if all gold tokens do. Null and blank answers don't match.
-    A projection: each answer is judged in the row that it is in.
-    """
-    df = extract.text_index(answers, "answer", parts=extract.VALUES)
+@canon.once
+def _judgement() -> tuple[dict[str, Column], dict[str, Column]]:
+    """What judge() adds to indexed answers: columns that it needs on the way, and its own."""
     blank = F.coalesce(F.col("answer").rlike(r"^\s*$"), F.lit(True))
     cue = F.lit(None).cast("string")
     for sentinel, cues in values.SENTINEL_CUES.items():
         cue = F.when(F.col("gold_answer") == sentinel, _cue_column(F.col("idx"), cues)).otherwise(cue)
     is_sentinel = F.col("gold_kind") == "sentinel"
-    df = df.withColumns({
+    first = {
         "_cue": F.when(is_sentinel, cue),
         "_hits": F.when(~is_sentinel & ~blank, F.transform("gold_tokens", lambda t: F.struct(t.alias("token"), extract.value_in_text(t, F.col("idx")).alias("hit")))),
-    })
+    }
     none = F.array().cast("array<string>")
 
     def picked(hit: Column) -> Column:
@@ -120,12 +115,23 @@ def judge(answers: DataFrame) -> DataFrame:
     told = {k: values.filled(v) for k, v in values.REASONS.items()}
     reason = F.when(F.col("answer").isNull(), told["none"]).when(blank, told["empty"]).when(is_sentinel & matched, told["expressed"])
     reason = reason.when(is_sentinel, told["not_expressed"]).when(matched, told["all"]).otherwise(told["missing"])
-    return df.withColumns({
+    return first, {
         "matched": matched, "judge_reason": reason,
         "matched_tokens": F.when(blank, none).when(is_sentinel, F.when(matched, F.array("_cue")).otherwise(none)).otherwise(found),
         "missing_tokens": F.when(blank, none).when(is_sentinel, F.when(matched, none).otherwise(F.array("gold_answer"))).otherwise(lost),
         "refusal": _cue_column(F.col("idx"), values.refusal_cues()).isNotNull(),
-    }).drop("_cue", "_hits")
+    }
+
+
+def judge(answers: DataFrame) -> DataFrame:
+    """answers (gold_kind, gold_answer, gold_tokens, answer, ...) with matched, judge_reason, matched_tokens, missing_tokens, refusal and idx.
+
+    A sentinel matches if any of its cues stands in the answer (the first is
+    reported); a value if all gold tokens do. Null and blank answers don't match.
+    A projection: each answer is judged in the row that it is in.
+    """
+    first, own = _judgement()
+    return extract.text_index(answers, "answer", parts=extract.VALUES).withColumns(first).withColumns(own).drop("_cue", "_hits")
 
 
 def injected_values(facts: DataFrame) -> DataFrame:
