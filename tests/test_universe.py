@@ -200,3 +200,21 @@ def test_judge_calibration(spark):
 def test_safe_words_are_a_setting(spark):
     df = spark.createDataFrame([("Zebra runs. Contoso grows.",)], "text string")
     assert extract.text_index(df, safe=("zebra",)).select("idx.names").first()[0] == ["Contoso"]
+
+
+def test_commerce_facts_carry_the_successor_that_the_join_finds(spark):
+    """Lines give a fact's successor as they are made; the join over `supersedes` must find the same one for every fact."""
+    from factloom.plans import commerce
+
+    f = commerce.facts(spark, "/root/testdata/sf0.001")
+    found = t.with_successor(f.drop("succ_id", "succ_start"))
+    differ = f.alias("a").join(found.alias("b"), ["seed", "fact_id"], "full").where("NOT (a.succ_id <=> b.succ_id AND a.succ_start <=> b.succ_start)")
+    assert f.where("succ_id IS NOT NULL").count() > 0 and f.count() == found.count() and differ.count() == 0
+
+
+def test_commerce_events_list_their_facts(spark):
+    from factloom.plans import commerce
+
+    f, e = commerce.facts(spark, "/root/testdata/sf0.001"), commerce.events(spark, "/root/testdata/sf0.001")
+    listed = t.event_facts(e, f.drop("fact_pos"))
+    assert listed.count() == f.count() and listed.join(f.select("seed", "fact_id", "event_id", F.col("fact_pos").alias("own")), ["seed", "fact_id", "event_id"]).where("fact_pos = own").count() == f.count()
