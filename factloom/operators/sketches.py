@@ -53,6 +53,27 @@ def overlaps(parts: DataFrame, pairs: DataFrame, key: str, lg: int = LG) -> Data
     return out.withColumn("bound", SIGMAS * F.sqrt(F.col("estimate") * F.col("_over")) + few).drop("_l", "_r", "_over")
 
 
+def exact_counts(df: DataFrame, keys: list[str], item: str, out: str = "exact") -> DataFrame:
+    """(keys, out): the distinct items of each key, counted; nulls are no items."""
+    return df.where(F.col(item).isNotNull()).select(*keys, item).distinct().groupBy(*keys).agg(F.count("*").alias(out))
+
+
+def settled_counts(parts: DataFrame, df: DataFrame, keys: list[str], item: str, lg: int = LG) -> DataFrame:
+    """(keys, estimate) without an error: from the sketches of parts where they hold their set whole, counted from df's rows for the other keys. Keys mustn't be null."""
+    known = counted(parts, lg).select(*keys, "estimate", "bound")
+    rows = df.join(known.where("bound > 0").select(*keys), keys, "left_semi")
+    both = known.join(exact_counts(rows, keys, item), keys, "left")
+    return both.select(*keys, F.when(F.col("bound") > 0, F.col("exact")).otherwise(F.col("estimate")).alias("estimate"))
+
+
+def settled_overlaps(parts: DataFrame, df: DataFrame, pairs: DataFrame, key: str, item: str, lg: int = LG) -> DataFrame:
+    """pairs with `estimate` without an error: from sketches where both hold their sets whole, counted from df's rows for the other pairs. The table of pairs should have each pair once."""
+    names = [f"left_{key}", f"right_{key}"]
+    known = overlaps(parts, pairs, key, lg)
+    found = exact_overlaps(df, known.where("bound > 0").select(*names), key, item)
+    return known.join(found, names, "left").withColumn("estimate", F.when(F.col("bound") > 0, F.col("shared")).otherwise(F.col("estimate"))).drop("bound", "shared")
+
+
 def exact_overlaps(df: DataFrame, pairs: DataFrame, key: str, item: str) -> DataFrame:
     """pairs with `shared`, counted: the left key's items meet the right key's by (right key, item), so an item that many keys have is spread over them."""
     items = df.where(F.col(item).isNotNull()).select(key, item).distinct()

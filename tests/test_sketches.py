@@ -44,3 +44,12 @@ def test_empty(spark):
     made = sketches.sketches(none, ["k"], "item")
     assert made.isEmpty() and sketches.merged(made, ["k"]).isEmpty() and sketches.overlaps(made, pairs, "k").isEmpty()
     assert [tuple(r) for r in sketches.exact_overlaps(none, pairs, "k", "item").collect()] == [(1, 2, 0)]
+
+
+def test_sets_that_a_sketch_does_not_hold_are_counted(spark):
+    """Counts and overlaps have no error, whether or not a sketch holds its set."""
+    df = spark.range(9000).selectExpr("CASE WHEN id < 8000 THEN 1 ELSE 2 END AS k", "id AS x").unionByName(spark.range(7000, 7600).selectExpr("2 AS k", "id AS x")).unionByName(spark.range(9000, 9010).selectExpr("3 AS k", "id AS x"))
+    parts = sketches.sketches(df, ["k"], "x")
+    assert {(r["k"], r["estimate"]) for r in sketches.settled_counts(parts, df, ["k"], "x").collect()} == {(1, 8000), (2, 1600), (3, 10)}
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "left_k int, right_k int")
+    assert {tuple(r) for r in sketches.settled_overlaps(parts, df, pairs, "k", "x").select("left_k", "right_k", "estimate").collect()} == {(1, 2, 600), (1, 3, 0), (2, 3, 0)}
