@@ -108,3 +108,12 @@ def test_digest_tree(spark, n):
     for parts in (1, 7):
         got = timeline.digest_tree(df.repartition(parts), F.format_string("line %04d", "k"), ["k"], leaf=4).first()
         assert (got["rows"], got["levels"], got["digest"]) == (n, levels, level[0])
+
+
+def test_digest_nodes_give_a_row_a_node(spark):
+    """More lines than one node of the second level holds: a digest for each, as the SQL of ordered_digest gives them."""
+    df = spark.range(30).select(F.format_string("%03d", "id").alias("line"))
+    got = [r["digest"] for r in timeline.digest_nodes(df, F.col("line"), ["line"], 2, leaf=3).orderBy("node").collect()]
+    sha = lambda parts: hashlib.sha256("\n".join(parts).encode()).hexdigest()
+    leaves = [sha([f"{k:03d}" for k in range(at, at + 3)]) for at in range(0, 30, 3)]
+    assert got == [sha(leaves[at:at + 3]) for at in range(0, 10, 3)]
