@@ -52,3 +52,13 @@ def test_plans_read_tables_once_and_join_by_key(spark):
         plan = entry.queries()[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "SinglePartition" not in plan and "Python" not in plan, name
         assert plan.count("FileScan parquet") <= scans, name
+
+
+def test_planted_amounts_are_not_said_by_chance(spark, tmp_path):
+    """Orders whose number or budget is an amount that the fidelity queries plant or look for."""
+    rows = [(77123, 500.0), (11, 77123.5), (9001, 9001.25), (9002, 9002.0), (16, 16.0), (7, 77123.0)]
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT k AS o_orderkey, p AS o_totalprice, TIMESTAMP '1996-05-04' AS o_orderdate FROM (VALUES {', '.join(map(str, rows))}) v(k, p)) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    for name in ("fidelity_report", "fidelity_summary"):
+        assert plain(entry.queries()[name](spark, str(tmp_path)).toPandas()) == plain(con.execute(entry.oracle_sql()[name]).df())
