@@ -190,3 +190,13 @@ def test_numbers_of_the_documents_like_a_plain_scan(spark):
     assert len(rows) > 50
     for text, found in rows:
         assert found == scan(text), text
+
+
+def test_texts_are_indexed_by_many_tasks(spark, tmp_path):
+    """Orders in one file of one row group are dealt out before their texts are indexed, without loss."""
+    from factloom.plans import texts
+
+    path = f"{tmp_path}/orders.parquet"
+    spark.range(3 * texts.TEXTS).selectExpr("id AS o_orderkey", "double(id) AS o_totalprice", "timestamp'1996-05-04' AS o_orderdate").coalesce(1).write.parquet(path)
+    said = texts._sentences(spark, str(tmp_path))
+    assert said.rdd.getNumPartitions() == 3 and said.select("k").distinct().count() == said.count() == 3 * texts.TEXTS
