@@ -218,3 +218,35 @@ def test_commerce_events_list_their_facts(spark):
     f, e = commerce.facts(spark, "/root/testdata/sf0.001"), commerce.events(spark, "/root/testdata/sf0.001")
     listed = t.event_facts(e, f.drop("fact_pos"))
     assert listed.count() == f.count() and listed.join(f.select("seed", "fact_id", "event_id", F.col("fact_pos").alias("own")), ["seed", "fact_id", "event_id"]).where("fact_pos = own").count() == f.count()
+
+
+def test_commerce_facts_carry_the_history_and_label_that_operators_find(spark):
+    """What rows of the written lines know of a key's history and of an entity's name must be what windows and joins find."""
+    from factloom.plans import commerce
+
+    f, e = commerce.facts(spark, "/root/testdata/sf0.001").drop("fact_pos"), commerce.events(spark, "/root/testdata/sf0.001")
+    plain = questions.Universe(f.drop(*t.HISTORY, "label", "advertiser_id", "advertiser_name"), e.drop("facts", "deal_name"))
+    told = ["pos", "length", "first_value", "last_value", "next_id", "next_start"]
+    own = t.history(f).select("fact_id", *told, "chain_ids", "first_start", "label")
+    found = plain.history.join(plain.chains().select(*t.KEY, "chain_ids", F.col("chain")[0]["start"].alias("first_start")), t.KEY)
+    found = scratch.written(found.join(plain.labels(), ["seed", "entity", "entity_id"]).select(own.columns), "found")
+    assert own.where("length > 1").count() > 0 and own.count() == found.count() == own.distinct().count()
+    assert own.exceptAll(found).isEmpty() and found.exceptAll(own).isEmpty()
+    carried, joined = (render.manifests(x, f) for x in (e, e.drop("facts", "deal_name")))
+    assert carried.count() == joined.count() and carried.select(joined.columns).exceptAll(joined).isEmpty()
+
+
+@pytest.mark.parametrize("name", ["build_single_fact", "build_temporal", "build_multi_session", "build_knowledge_update_current", "build_knowledge_update_past", "build_episodic", "manifests", "rendered_texts"])
+def test_rows_of_the_commerce_universe_are_not_shuffled(spark, name):
+    from factloom.plans.registry import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "Window" not in plan and "Aggregate" not in plan
+
+
+def test_among_keeps_what_is_wanted_and_little_else(spark):
+    rows = spark.range(20000).select((F.col("id") % 3).cast("int").alias("seed"), F.concat(F.lit("F"), F.col("id").cast("string")).alias("fact_id"))
+    wanted = rows.where("fact_id LIKE '%77'")
+    kept = t.among(rows, ["seed", "fact_id"], wanted)
+    assert kept.columns == rows.columns and wanted.exceptAll(kept).isEmpty() and wanted.count() <= kept.count() < 2000
+    assert t.among(rows, ["seed", "fact_id"], rows).count() == 20000 and t.among(rows, ["seed", "fact_id"], wanted.limit(0)).isEmpty()
