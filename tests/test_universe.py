@@ -250,3 +250,11 @@ def test_among_keeps_what_is_wanted_and_little_else(spark):
     kept = t.among(rows, ["seed", "fact_id"], wanted)
     assert kept.columns == rows.columns and wanted.exceptAll(kept).isEmpty() and wanted.count() <= kept.count() < 2000
     assert t.among(rows, ["seed", "fact_id"], rows).count() == 20000 and t.among(rows, ["seed", "fact_id"], wanted.limit(0)).isEmpty()
+
+
+def test_pick_sorts_only_what_may_be_picked(spark):
+    pool = spark.range(30000).select(F.lit(1).alias("seed"), F.lit("t").alias("type"), F.lit("current").alias("as_of_horizon"), F.lit("2024-01-01").cast("date").alias("as_of"), F.concat(F.lit("E"), F.col("id").cast("string")).alias("entity_id"), F.lit("q").alias("text"))
+    plan = spark.createDataFrame([(1, "t", "current", 40)], "seed int, type string, as_of_horizon string, quota int")
+    best = pool.orderBy(F.md5(F.concat_ws("|", F.col("seed").cast("string"), "text", "entity_id", F.col("as_of").cast("string")))).limit(40)
+    assert {r[0] for r in questions.pick(pool, plan, 50).select("entity_id").collect()} == {r[0] for r in best.select("entity_id").collect()}
+    assert questions._near(pool, 50).count() < 200
