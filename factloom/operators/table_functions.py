@@ -16,15 +16,18 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from datetime import date, timedelta
+from datetime import date
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, SelectedColumn, udtf
 
 from factloom.operators.temporal import KEY
 from factloom.sources.scratch import workers_import_us
 
+_EPOCH, _LAST = date(1970, 1, 1).toordinal(), date.max.toordinal() - date(1970, 1, 1).toordinal()
 _ASOF_NEEDS = [*KEY, "fact_id", "supersedes", "validity_interval"]
 
 
@@ -84,8 +87,8 @@ class AsOf:
 class Periods:
     """The periods of each key in which n intervals of a table hold, as operators.timeline.periods has them.
 
-    keys names the key columns, parted by commas; start and end name date columns. Intervals that have no start, or end before
-    it, count as none; a null end is open.
+    keys names the key columns, parted by commas; start and end name date columns, or columns of arrays of dates, where a row holds
+    several intervals of its key (packed). Intervals that have no start, or end before it, count as none; a null end is open.
     """
 
     @staticmethod
@@ -94,51 +97,74 @@ class Periods:
             raise ValueError("periods takes names of columns as constant strings")
         names = [k.strip() for k in keys.value.split(",")]
         schema = _table("periods", intervals, [*names, start.value, end.value])
-        for c in (start.value, end.value):
-            if not isinstance(schema[c].dataType, T.DateType):
-                raise ValueError(f"periods: {c} must be a DATE")
+        kinds = [schema[c].dataType for c in (start.value, end.value)]
+        several = all(isinstance(k, T.ArrayType) and isinstance(k.elementType, T.DateType) for k in kinds)
+        for c, kind in zip((start.value, end.value), kinds, strict=True):
+            if not several and not isinstance(kind, T.DateType):
+                raise ValueError(f"periods: {c} must be a DATE, or both columns arrays of them")
         out = T.StructType([schema[k] for k in names]).add("start", T.DateType()).add("end", T.DateType()).add("n", T.LongType())
-        return AnalyzeResult(
-            schema=out, partitionBy=[PartitioningColumn(k) for k in names], orderBy=[OrderingColumn(start.value)],
-            select=[SelectedColumn(c) for c in dict.fromkeys([*names, start.value, end.value])])
+        # days come as numbers, which cost less to bring to Python than dates; rows of equal first starts are ordered by their last ones
+        days = (f"transform(`{c}`, d -> unix_date(d))" if several else f"array(unix_date(`{c}`))" for c in (start.value, end.value))
+        select = [*(SelectedColumn(f"`{k}`", k) for k in names), *map(SelectedColumn, days, ("_starts", "_ends"))]
+        at = f"`{start.value}`"
+        order = [OrderingColumn(f"get({at}, 0)"), OrderingColumn(f"get({at}, size({at}) - 1)")] if several else [OrderingColumn(at)]
+        return AnalyzeResult(schema=out, partitionBy=[PartitioningColumn(f"`{k}`") for k in names], orderBy=order, select=select)
 
     def __init__(self):
         self.key: tuple | None = None
-        self.changes: dict[date, int] = {}
-        self.days: list[date] = []
+        self.changes: dict[int, int] = {}
+        self.days: list[int] = []
         self.since: date | None = None
         self.n = 0
 
     def eval(self, intervals, keys, start, end) -> Iterator[tuple]:
-        first, last = intervals[start], intervals[end]
-        if first is None or (last is not None and last < first):
+        *key, starts, ends = intervals
+        first = next((s for s in starts or () if s is not None), None)
+        if first is None:
             return
         if self.key is None:
-            self.key = tuple(intervals[k.strip()] for k in keys.split(","))
+            self.key = tuple(key)
+        changes, days = self.changes, self.days
         yield from self._upto(first)
-        self._change(first, 1)
-        if last is not None and last < date.max:
-            self._change(last + timedelta(1), -1)
+        for s, e in zip(starts, ends, strict=True):
+            if s is None or (e is not None and e < s):
+                continue
+            for day, by in ((s, 1),) if e is None or e >= _LAST else ((s, 1), (e + 1, -1)):
+                if day in changes:
+                    changes[day] += by
+                else:
+                    heapq.heappush(days, day)
+                    changes[day] = by
 
     def terminate(self) -> Iterator[tuple]:
         yield from self._upto(None)
         if self.n:
             yield *self.key, self.since, None, self.n
 
-    def _change(self, day: date, by: int) -> None:
-        if day not in self.changes:
-            heapq.heappush(self.days, day)
-        self.changes[day] = self.changes.get(day, 0) + by
-
-    def _upto(self, day: date | None) -> Iterator[tuple]:
+    def _upto(self, day: int | None) -> Iterator[tuple]:
         """Periods that end before the day, since starts come in order."""
         while self.days and (day is None or self.days[0] < day):
             at = heapq.heappop(self.days)
             by = self.changes.pop(at)
             if by:
                 if self.since is not None:
-                    yield *self.key, self.since, at - timedelta(1), self.n
-                self.since, self.n = at, self.n + by
+                    yield *self.key, self.since, date.fromordinal(_EPOCH + at - 1), self.n
+                self.since, self.n = date.fromordinal(_EPOCH + at), self.n + by
+
+
+#: Intervals of a key in one row of packed().
+PACK = 1000
+
+
+def packed(intervals: DataFrame, keys: list[str], start: str, end: str, size: int = PACK) -> DataFrame:
+    """(keys, start, end) with up to `size` intervals of a key in a row, as arrays in order of start: calls of periods() cost a row in Python, not an interval.
+
+    Rows are numbered as they stream by, so a key with very many of them is held nowhere.
+    """
+    order = W.partitionBy(*keys).orderBy(start)
+    part = F.floor((F.row_number().over(order) - 1) / size)
+    rows = intervals.withColumn("_part", part).groupBy(*keys, "_part").agg(F.sort_array(F.collect_list(F.struct(start, end))).alias("_held"))
+    return rows.select(*keys, F.col(f"_held.{start}").alias(start), F.col(f"_held.{end}").alias(end))
 
 
 def register(spark: SparkSession) -> None:

@@ -67,6 +67,18 @@ def test_periods_are_those_of_the_sweep(spark, sql):
     assert [tuple(x) for x in got.where("k = 'touch'").collect()] == [("touch", 0, day(1), day(9), 1)]
 
 
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_periods_of_packed_rows(spark, sql, size):
+    """Many starts on one day, so that rows begin and end on it, and keys without a sound interval."""
+    r = random.Random(9)
+    rows = [(r.choice(["hot", "hot", "a", None]), day(r.choice([None, 4, 4, 4, *range(12)])), day(r.choice([None, *range(30)]))) for _ in range(400)] + [("never", day(5), day(4)), ("none", None, None)]
+    df = spark.createDataFrame(rows, "k string, s date, e date")
+    pack = table_functions.packed(df, ["k"], "s", "e", size)
+    assert pack.where(f"size(s) > {size} OR size(s) <> size(e)").count() == 0 and pack.count() >= len(rows) / size
+    got = sql("SELECT * FROM periods(TABLE(SELECT * FROM {d}), 'k', 's', 'e')", d=pack)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, timeline.periods(df, ["k"], "s", "e").collect())))
+
+
 @pytest.mark.parametrize(
     "call",
     ["asof(TABLE(SELECT 1 AS a), DATE'2024-01-01')", "asof(1, DATE'2024-01-01')", "periods(TABLE(SELECT 1 AS k, 2 AS s, 3 AS e), 'k', 's', 'e')", "periods(TABLE(SELECT 1 AS k), 'k', 's', 'e')"],
