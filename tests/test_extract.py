@@ -200,3 +200,14 @@ def test_texts_are_indexed_by_many_tasks(spark, tmp_path):
     spark.range(3 * texts.TEXTS).selectExpr("id AS o_orderkey", "double(id) AS o_totalprice", "timestamp'1996-05-04' AS o_orderdate").coalesce(1).write.parquet(path)
     said = texts._sentences(spark, str(tmp_path))
     assert said.rdd.getNumPartitions() == 3 and said.select("k").distinct().count() == said.count() == 3 * texts.TEXTS
+
+
+def test_audited_texts_are_dealt_out(spark, tmp_path):
+    """Customers in one file of one row group become questions, facts and texts of many files, each of which a task reads, without loss."""
+    from factloom.plans import texts
+
+    path = f"{tmp_path}/customer.parquet"
+    spark.range(3 * texts.TEXTS).selectExpr("id AS c_custkey", "'Customer ' || id AS c_name").coalesce(1).write.parquet(path)
+    questions, facts, corpus = texts._audited(spark, str(tmp_path))
+    assert [len(df.inputFiles()) for df in (questions, facts, corpus)] == [3, 6, 3]  # facts are of two parts, true ones and lies
+    assert questions.select("question_id").distinct().count() == questions.count() == corpus.count() == facts.where("NOT injection").count() == 3 * texts.TEXTS
