@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from factloom.functions import values
 from factloom.operators import temporal as t
 from factloom.operators import validate
+from factloom.sources import scratch
 
 
 def fact(i, entity_id, attribute, value, start, end=None, supersedes=None, **more):
@@ -101,3 +102,15 @@ def test_fact_mutants(spark, i, change, check):
 def test_empty(spark):
     none = t.empty_facts(spark)
     assert t.current_values(none).isEmpty() and t.pointer_chains(none).isEmpty() and validate.chain_violations(none).isEmpty()
+
+
+def test_facts_are_joined_by_shuffle(spark, monkeypatch):
+    """A written table of facts is a small file of many rows: Spark, left alone, broadcasts all of them through the driver."""
+    from factloom.plans import texts
+
+    plans, write = [], scratch.written
+    monkeypatch.setattr(scratch, "written", lambda df, label: plans.append(df) or write(df, label))
+    plans.append(texts.chain_rules(spark, "/root/testdata/sf0.001"))
+    shown = [df._jdf.queryExecution().executedPlan().toString() for df in plans]
+    joins = [line for plan in shown for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert len(joins) == 1 and "as_of" in joins[0] and sum(plan.count("SortMergeJoin") for plan in shown) >= 4
