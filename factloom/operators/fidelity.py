@@ -1,71 +1,66 @@
 """Fidelity of rendered texts in both directions: nothing planted is missing, nothing unsupported is there.
 
-Texts are indexed once. Both tests work within one event's rows, joined by
-(seed, event_id), so no text meets values of other events.
+A manifest meets its text by (seed, event_id), so no text meets values of other
+events. All else is worked out in that row: the text is indexed once, and what may
+stand in it once, as one text of all values.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import canon, extract
-from factloom.sources import scratch
 
 #: Manifest columns whose text may appear beside the facts.
 HEADER = ["subject", "author", "advertiser_name", "agency_name", "contact_name", "deal_name", "io_id"]
 
 
-def planted(manifests: DataFrame) -> DataFrame:
-    """(seed, event_id, fact_id, attribute, value) of every manifest fact, with canonical columns."""
-    each = manifests.select("seed", "event_id", F.inline("facts")).select("seed", "event_id", "fact_id", "attribute", "value")
-    return extract.with_value(each, "value")
-
-
-def missing_facts(manifests: DataFrame, indexed: DataFrame) -> DataFrame:
-    """Planted values that their own text doesn't hold; all of an event without a text."""
-    texts = indexed.select("seed", "event_id", "idx")
-    both = planted(manifests).join(texts, ["seed", "event_id"], "left")
-    return both.where(F.col("idx").isNull() | ~extract.holds(F.col("idx"))).select("seed", "event_id", "fact_id", "attribute", "value")
-
-
-def support(manifests: DataFrame, safe=extract.SAFE_WORDS) -> DataFrame:
-    """(seed, event_id, nums, days, phrases): what each event's text may contain, from fact values, header columns and dates."""
-    m = manifests.withColumn("timestamp", F.col("timestamp").cast("string"))
-    facts = m.select("seed", "event_id", F.explode("facts").alias("f")).select("seed", "event_id", F.explode(F.array("f.value", F.col("f.validity_interval.start").cast("string"), F.col("f.validity_interval.end").cast("string"))).alias("value"))
-    heads = m.select("seed", "event_id", F.explode(F.array(*HEADER, "timestamp")).alias("value"))
-    every = facts.unionByName(heads).where("value IS NOT NULL").distinct()
-    idx = extract.text_index(extract.with_value(every, "value"), "value", safe)
-    none = F.array()
-    nums = F.array_union(F.transform("idx.numbers", lambda n: n["value"]), F.when(F.col("v_num").isNotNull(), F.array("v_num")).otherwise(none.cast("array<string>")))
-    days = F.array_union(F.transform("idx.dates", lambda d: d["day"]), F.when(F.col("v_day").isNotNull(), F.array("v_day")).otherwise(none.cast("array<date>")))
-    # one event's support is as large as its manifest
-    return idx.groupBy("seed", "event_id").agg(F.array_distinct(F.flatten(F.collect_list(nums))).alias("nums"), F.array_distinct(F.flatten(F.collect_list(days))).alias("days"), F.collect_set("v_norm").alias("phrases"))
-
-
-def unsupported(manifests: DataFrame, indexed: DataFrame, safe=extract.SAFE_WORDS) -> DataFrame:
-    """(seed, event_id, numbers, dates, names): surfaces without support, sorted and distinct."""
-    both = indexed.select("seed", "event_id", "idx").join(support(manifests, safe), ["seed", "event_id"])
-    numbers = F.transform(F.filter("idx.numbers", lambda n: ~F.array_contains(F.col("nums"), n["value"])), lambda n: n["surface"])
-    dates = F.transform(F.filter("idx.dates", lambda d: ~F.array_contains(F.col("days"), d["day"])), lambda d: d["surface"])
-    months = F.transform(F.filter("idx.months", lambda m: ~F.exists("days", lambda d: F.year(d) * 100 + F.month(d) == m["month"])), lambda m: m["surface"])
-    both = both.withColumn("_names", F.col("idx.names"))
-    norm = F.transform("_names", lambda n: F.struct(n.alias("surface"), canon.words(F.lower(n)).alias("norm")))
-    names = F.transform(F.filter(norm, lambda n: ~extract.supports_name(F.split(n["norm"], " "), F.col("phrases"), safe)), lambda n: n["surface"])
+#: Texts that one task indexes.
+TEXTS = 4000
 
-    def tidy(a):
-        return F.array_sort(F.array_distinct(a))
 
-    return both.select("seed", "event_id", tidy(numbers).alias("numbers"), tidy(F.concat(dates, months)).alias("dates"), tidy(names).alias("names"))
+def _with_text(manifests: DataFrame, texts: DataFrame) -> DataFrame:
+    """Manifests with their text (null: none), over as many tasks as texts need: what is shuffled is small, and Spark would give very many to a task."""
+    m = manifests.select("seed", "event_id", "facts", *HEADER, F.col("timestamp").cast("string").alias("timestamp"))
+    n = -(-m.count() // TEXTS) or 1
+    return m.repartition(n, "seed", "event_id").join(texts.select("seed", "event_id", "text").repartition(n, "seed", "event_id").hint("merge"), ["seed", "event_id"], "left")
+
+
+def _with_support(both: DataFrame, safe) -> DataFrame:
+    """both with what its text may contain, from fact values, header columns and dates: nums, days, phrases (normalised), and _canon, the values with their canonical forms."""
+    own = F.flatten(F.transform("facts", lambda f: F.array(f["value"], f["validity_interval"]["start"].cast("string"), f["validity_interval"]["end"].cast("string"))))
+    every = F.array_distinct(F.filter(F.concat(own, F.array(*HEADER, "timestamp")), lambda v: v.isNotNull()))
+    df = both.withColumn("_values", every).withColumn("_canon", F.transform("_values", lambda v: F.struct(v.alias("text"), extract.value(v).alias("v"))))
+    # no pattern reaches across a line's end, so the values' own index is that of their lines
+    df = extract.text_index(df.withColumn("_said", F.array_join("_values", "\n")), "_said", safe, extract.VALUES)
+
+    def shown(c: str) -> Column:
+        return F.filter(F.transform("_canon", lambda x: x["v"][c]), lambda x: x.isNotNull())
+
+    nums, days = F.transform("idx.numbers", lambda n: n["value"]), F.transform("idx.dates", lambda d: d["day"])
+    return df.withColumns({"nums": F.array_distinct(F.concat(nums, shown("num"))), "days": F.array_distinct(F.concat(days, shown("day"))), "phrases": F.array_distinct(shown("norm"))})
 
 
 def verify(manifests: DataFrame, texts: DataFrame, safe=extract.SAFE_WORDS) -> DataFrame:
-    """(seed, event_id, status, missing, numbers, dates, names), one row a manifest: pass if nothing is missing or unsupported."""
-    indexed = scratch.written(extract.text_index(texts, "text", safe).select("seed", "event_id", "idx"), "indexed")
-    lost = missing_facts(manifests, indexed).groupBy("seed", "event_id").agg(F.sort_array(F.collect_list(F.struct("fact_id", "attribute", "value"))).alias("missing"))
-    out = manifests.select("seed", "event_id").join(lost, ["seed", "event_id"], "left").join(unsupported(manifests, indexed, safe), ["seed", "event_id"], "left")
-    out = out.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("numbers", "dates", "names")})
-    out = out.withColumn("missing", F.coalesce("missing", F.array().cast("array<struct<fact_id:string,attribute:string,value:string>>")))
+    """(seed, event_id, status, missing, numbers, dates, names), one row a manifest: pass if nothing is missing or unsupported.
+
+    missing: planted values that the text doesn't hold, all where there is no text; the rest are surfaces without support, sorted and distinct.
+    """
+    df = extract.text_index(_with_text(manifests, texts), "text", safe).withColumnRenamed("idx", "_own")
+    df = _with_support(df, safe)
+    held = lambda f: F.coalesce(F.exists("_canon", lambda c: (c["text"] == f["value"]) & extract.contains(F.col("_own"), c["v"])), F.lit(False))
+    missing = F.transform(F.filter("facts", lambda f: ~held(f)), lambda f: F.struct(f["fact_id"].alias("fact_id"), f["attribute"].alias("attribute"), f["value"].alias("value")))
+    numbers = F.transform(F.filter("_own.numbers", lambda n: ~F.array_contains("nums", n["value"])), lambda n: n["surface"])
+    dates = F.transform(F.filter("_own.dates", lambda d: ~F.array_contains("days", d["day"])), lambda d: d["surface"])
+    months = F.transform(F.filter("_own.months", lambda m: ~F.exists("days", lambda d: F.year(d) * 100 + F.month(d) == m["month"])), lambda m: m["surface"])
+    norm = F.transform("_own.names", lambda n: F.struct(n.alias("surface"), canon.words(F.lower(n)).alias("norm")))
+    names = F.transform(F.filter(norm, lambda n: ~extract.supports_name(F.split(n["norm"], " "), F.col("phrases"), safe)), lambda n: n["surface"])
+
+    def tidy(a):
+        return F.array_sort(F.array_distinct(a))
+
+    out = df.select("seed", "event_id", F.coalesce(F.sort_array(missing), F.array().cast("array<struct<fact_id:string,attribute:string,value:string>>")).alias("missing"), tidy(numbers).alias("numbers"), tidy(F.concat(dates, months)).alias("dates"), tidy(names).alias("names"))
     clean = (F.size("missing") == 0) & (F.size("numbers") == 0) & (F.size("dates") == 0) & (F.size("names") == 0)
     return out.select("seed", "event_id", F.when(clean, "pass").otherwise("fail").alias("status"), "missing", "numbers", "dates", "names")
 
