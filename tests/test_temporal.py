@@ -114,3 +114,21 @@ def test_facts_are_joined_by_shuffle(spark, monkeypatch):
     shown = [df._jdf.queryExecution().executedPlan().toString() for df in plans]
     joins = [line for plan in shown for line in plan.splitlines() if "BroadcastHashJoin" in line]
     assert len(joins) == 1 and "as_of" in joins[0] and sum(plan.count("SortMergeJoin") for plan in shown) >= 4
+
+
+def test_quota_report_walks_linked_facts_only(spark, monkeypatch):
+    """Of facts that carry their successor, those outside all chains aren't written for the walk along pointers."""
+    from factloom.plans import commerce
+
+    sizes, write = {}, scratch.written
+    def seen(df, label):
+        out = write(df, label)
+        sizes.setdefault(label, out.count())
+        return out
+    monkeypatch.setattr(scratch, "written", seen)
+    u = commerce.universe(spark, "/root/testdata/sf0.001")
+    report = {tuple(r) for r in t.quota_report(u.facts, u.events).collect()}
+    linked = u.facts.where("succ_id IS NOT NULL OR supersedes IS NOT NULL").count()
+    assert sizes["walk"] == linked < u.facts.count() / 2
+    plain = u.facts.drop("succ_id", "succ_start", *t.HISTORY)
+    assert report == {tuple(r) for r in t.quota_report(plain, u.events).collect()}
